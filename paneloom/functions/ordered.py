@@ -14,7 +14,7 @@ rows below it, rows tied with it, rows in total. Two plans give the same counts:
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from paneloom.session import resolve_method
+from paneloom.session import cut_lineage, resolve_method
 
 BUCKETS_PER_OCTAVE = 1024
 
@@ -61,11 +61,15 @@ def order_counts(df: DataFrame, keys, value, prefix="", method="auto") -> DataFr
     keys = list(keys)
     below, ties, total = f"{prefix}below", f"{prefix}ties", f"{prefix}total"
     if resolve_method(df, method) == "window":
-        v = F.col(value)
-        ordered = W.partitionBy(*keys).orderBy(v.asc_nulls_last())
-        return (df.withColumn(below, F.when(v.isNotNull(), F.rank().over(ordered).cast("long") - 1))
+        # one sort by (keys, value) serves all three frames; NULLs sort first and are subtracted
+        v, whole = F.col(value), W.partitionBy(*keys)
+        unknown = F.count(F.lit(1)).over(whole) - F.count(v).over(whole)
+        rank = F.rank().over(whole.orderBy(v))
+        return (df.withColumn(below, F.when(v.isNotNull(), rank - 1 - unknown))
                 .withColumn(ties, F.when(v.isNotNull(), F.count(v).over(W.partitionBy(*keys, value))))
-                .withColumn(total, F.when(v.isNotNull(), F.count(v).over(W.partitionBy(*keys)))))
+                .withColumn(total, F.when(v.isNotNull(), F.count(v).over(whole))))
+    # the rows are read twice (to count and to receive the counts), so they are made once
+    df = cut_lineage(df)
     prof = (distinct_profile(df, keys, value)
             .withColumnsRenamed({"n": ties, "n_below": below, "n_total": total}))
     return null_safe_join(df, prof, [*keys, value], "left")
@@ -76,17 +80,20 @@ def average_rank(prefix=""):
     return F.col(f"{prefix}below") + (F.col(f"{prefix}ties") + 1) / F.lit(2.0)
 
 
-def quantile_from_counts(value, q, prefix=""):
-    """Aggregate expression: linear-interpolated quantile of the counted column."""
+def quantile_parts(value, q, prefix=""):
+    """Aggregates over the counted column around its q-quantile position: the values at the two
+    neighbouring ranks, the weight between them, rows up to each and rows below each."""
     v, below, ties, total = (F.col(value), F.col(f"{prefix}below"), F.col(f"{prefix}ties"),
                              F.col(f"{prefix}total"))
     pos = F.lit(float(q)) * (total - 1)
-
-    def at(k):
-        return F.max(F.when((below <= k) & (k < below + ties), v))
-
-    lo, hi, frac = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
-    return lo, hi, frac
+    out = {}
+    for tag, k in (("a", F.floor(pos)), ("b", F.ceil(pos))):
+        here = (below <= k) & (k < below + ties)
+        out[f"{tag}"] = F.max(F.when(here, v))
+        out[f"{tag}_upto"] = F.max(F.when(here, below + ties))
+        out[f"{tag}_below"] = F.max(F.when(here, below))
+    out["f"] = F.max(pos - F.floor(pos))
+    return out
 
 
 def suffix_min(df: DataFrame, keys, order, value, out, method="auto") -> DataFrame:
@@ -95,6 +102,7 @@ def suffix_min(df: DataFrame, keys, order, value, out, method="auto") -> DataFra
     if resolve_method(df, method) == "window":
         w = W.partitionBy(*keys).orderBy(order).rangeBetween(W.currentRow, W.unboundedFollowing)
         return df.withColumn(out, F.min(value).over(w))
+    df = cut_lineage(df)
     folded = (df.where(F.col(order).isNotNull()).groupBy(*keys, order)
               .agg(F.min(value).alias("__v")).withColumn("__b", value_bucket(F.col(order))))
     mins = folded.groupBy(*keys, "__b").agg(F.min("__v").alias("__bv"))

@@ -36,7 +36,7 @@ def bh_fdr(df: DataFrame, p="p_value", family=(), out="q_value", method="auto")
     method = resolve_method(df, method)
     c = order_counts(df, family, p, "__p_", method)
     c = c.withColumn("__crit", F.col(p) * F.col("__p_total") / (F.col("__p_below") + F.col("__p_ties")))
-    c = suffix_min(c, family, p, "__q", method)
+    c = suffix_min(c, family, p, "__crit", "__q", method)
     return (c.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("__q"))))
             .drop("__p_below", "__p_ties", "__p_total", "__crit", "__q"))
 
@@ -86,8 +86,9 @@ def payoff_persistence(scores: DataFrame, lags=(1, 4), min_obs=8, fdr=0.10, meth
     """Regress each raw score on its own past; untestable pairs stay, with NULL estimates, and
     count towards the family size shown but not towards the correction."""
     w = W.partitionBy("factor").orderBy("date")
-    lagged = scores.select("factor", "ic", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.lag("ic", k).over(w).alias("past")) for k in lags])).alias("l"))
+    past = scores.select("factor", "ic", *[F.lag("ic", k).over(w).alias(f"__past_{k}") for k in lags])
+    lagged = past.select("factor", "ic", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("lag"), F.col(f"__past_{k}").alias("past")) for k in lags])).alias("l"))
     lagged = lagged.select("factor", "ic", "l.lag", "l.past")
     fit = ols(lagged, ["factor", "lag"], "past", "ic")
     enough = F.col("n") >= min_obs

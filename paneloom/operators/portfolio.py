@@ -2,28 +2,38 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from paneloom.functions.expr import theme_slug
-from paneloom.operators.themes import theme_weights
+from paneloom.operators.themes import theme_weights, weights_per_date
 
 
-def theme_ranks(ranked: DataFrame, themes: DataFrame, entity="ticker", y=None) -> DataFrame:
-    """Mean rank of each entity's known member factors per theme. Rows are placed by
-    (date, entity) once, before themes multiply them, and both later aggregations reuse that
-    placement. Factors outside every theme keep the entity with a NULL theme."""
+def theme_ranks(ranked: DataFrame, themes: DataFrame, per_date: DataFrame, entity="ticker", y=None) -> DataFrame:
+    """Mean rank of each entity's known member factors per theme, with the theme's weight, on the
+    dates of `per_date` (one row per date with its weight map, so it is broadcast).
+
+    Rows are placed by (date, entity) once, before themes multiply them, and both later
+    aggregations reuse that placement. A factor outside every theme keeps its entity with a NULL
+    theme."""
     cols = ["date", entity, "factor", "rank"] + ([y] if y else [])
-    placed = ranked.select(*cols).repartition("date", entity)
+    dated = ranked.select(*cols).join(F.broadcast(per_date), "date")
+    placed = dated.repartition("date", entity)
     j = placed.join(F.broadcast(themes.select("factor", "priority")), "factor", "left")
-    aggs = [F.avg("rank").alias("theme_rank")] + ([F.max(y).alias(y)] if y else [])
+    aggs = [F.avg("rank").alias("theme_rank"),
+            F.max(F.try_element_at("weights", "priority")).alias("weight")]
+    aggs += [F.max(y).alias(y)] if y else []
     return j.groupBy("date", entity, "priority").agg(*aggs)
 
 
-def composite_scores(tranks: DataFrame, weights: DataFrame, entity="ticker", y=None) -> DataFrame:
+def composite_scores(tranks: DataFrame, entity="ticker", y=None, slots=()) -> DataFrame:
     """Weighted sum of theme ranks; a missing theme adds nothing, so an entity without any rank
-    scores 0 and is still ranked. `weights` holds one row per date and theme."""
-    j = tranks.join(F.broadcast(weights), ["date", "priority"], "left")
+    scores 0 and is still ranked. `slots` lists themes whose own rank is shown beside it."""
     aggs = [F.coalesce(F.sum(F.col("weight") * F.col("theme_rank")), F.lit(0.0)).alias("composite_score")]
     aggs += [F.max(y).alias(y)] if y else []
-    return j.groupBy("date", entity).agg(*aggs)
+    aggs += [F.max(F.when((F.col("priority") == t) & F.col("weight").isNotNull(), F.col("theme_rank")))
+             .alias(slug(t)) for t in slots]
+    return tranks.groupBy("date", entity).agg(*aggs)
+
+
+def slug(theme: str) -> str:
+    return "score__" + theme.lower().replace(" ", "_")
 
 
 def top_n(scored: DataFrame, n=20, entity="ticker") -> DataFrame:
@@ -32,47 +42,35 @@ def top_n(scored: DataFrame, n=20, entity="ticker") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _ranking_anchor(ranked, pscores, as_of_date):
-    """(date, at): the day to rank and the scored day its weights come from. An explicit day must
-    itself be scored; the default (latest panel day) falls back to the last scored day."""
+def ranking_day(ranked: DataFrame, per_date: DataFrame, as_of_date=None) -> DataFrame:
+    """(date, weights) of the one day to rank. An explicit day must itself be scored, else there
+    is no row; the default is the latest panel day, weighted as of the last scored day when it is
+    not scored itself."""
     if as_of_date is not None:
-        day = F.lit(as_of_date).cast("date")
-        return pscores.where(F.col("date") == day).select("date", F.col("date").alias("at")).distinct()
-    panel_day = ranked.agg(F.max("date").alias("date"))
-    last = pscores.agg(F.max("date").alias("last"))
-    scored = pscores.select(F.col("date").alias("same")).distinct()
-    one = panel_day.withColumn("last", last.scalar())
-    return one.join(F.broadcast(scored), F.col("date") == F.col("same"), "left").select(
-        "date", F.coalesce("same", "last").alias("at")).where("at IS NOT NULL")
+        return per_date.where(F.col("date") == F.lit(as_of_date).cast("date"))
+    latest = ranked.agg(F.max("date")).scalar()
+    dated = per_date.withColumn("__day", latest)
+    best = dated.orderBy((F.col("date") == F.col("__day")).desc(), F.col("date").desc()).limit(1)
+    return best.select(F.col("__day").alias("date"), "weights")
 
 
 def composite_ranks(ranked: DataFrame, pscores: DataFrame, themes: DataFrame, n=20, as_of_date=None,
                     smoothing=4, theme_names=None, entity="ticker") -> DataFrame:
     """Top-n entities of one day: ticker, composite_score, score__<theme>..., rank, as_of_date."""
-    anchor = _ranking_anchor(ranked, pscores, as_of_date)
-    weights = (theme_weights(pscores, smoothing).withColumnRenamed("date", "at")
-               .join(F.broadcast(anchor), "at").select("date", "priority", "weight"))
-    day = ranked.join(F.broadcast(anchor.select("date")), "date", "left_semi")
-    tr = theme_ranks(day, themes, entity)
-    best = top_n(composite_scores(tr, weights, entity), n, entity)
+    per_date = weights_per_date(theme_weights(pscores, smoothing))
+    day = ranking_day(ranked, per_date, as_of_date)
     names = theme_names or sorted(r[0] for r in themes.select("priority").distinct().collect())
-    slugs = ["score__" + t.lower().replace(" ", "_") for t in names]
-    used = (tr.join(F.broadcast(best.select("date", entity)), ["date", entity], "left_semi")
-            .join(F.broadcast(weights.select("date", "priority")), ["date", "priority"], "left_semi")
-            .withColumn("slug", theme_slug("priority"))
-            .groupBy("date", entity).pivot("slug", slugs).agg(F.max("theme_rank")))
-    return (best.join(used, ["date", entity], "left")
-            .select(entity, "composite_score", *slugs, "rank", F.col("date").alias("as_of_date")))
+    scored = composite_scores(theme_ranks(ranked, themes, day, entity), entity, slots=names)
+    return top_n(scored, n, entity).select(entity, "composite_score", *[slug(t) for t in names], "rank",
+                                           F.col("date").alias("as_of_date"))
 
 
 def walk_forward(ranked: DataFrame, pscores: DataFrame, themes: DataFrame, n=20, smoothing=4,
                  y="forward_excess_return", entity="ticker") -> DataFrame:
     """Realised mean outcome of the top n at every scored date, all dates in one query. The cut
     comes before missing outcomes are dropped."""
-    weights = theme_weights(pscores, smoothing)
-    days = F.broadcast(weights.select("date").distinct())
-    tr = theme_ranks(ranked.join(days, "date", "left_semi"), themes, entity, y)
-    best = top_n(composite_scores(tr, weights, entity, y), n, entity)
+    per_date = weights_per_date(theme_weights(pscores, smoothing))
+    best = top_n(composite_scores(theme_ranks(ranked, themes, per_date, entity, y), entity, y), n, entity)
     return (best.groupBy("date").agg(F.count(y).alias("n_holdings"),
                                      F.avg(y).alias("portfolio_forward_excess_return"))
             .where("n_holdings > 0")

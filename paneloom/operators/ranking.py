@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from paneloom.functions.expr import clip
-from paneloom.functions.ordered import average_rank, null_safe_join, order_counts, quantile_from_counts
+from paneloom.functions.ordered import average_rank, null_safe_join, order_counts, quantile_parts
 from paneloom.session import resolve_method
 
 
@@ -19,39 +19,61 @@ def pct_rank(df: DataFrame, keys, value, out="pct_rank", method="auto") -> DataF
             .drop("__p_below", "__p_ties", "__p_total"))
 
 
-def winsorize(df: DataFrame, keys, value, out="winsorized", lo=0.01, hi=0.99, min_n=5,
-              method="auto") -> DataFrame:
-    """Clip at interpolated group quantiles; groups below min_n values are left alone."""
-    method = resolve_method(df, method)
+def _with_bounds(df, keys, value, lo, hi, method):
+    """Order counts plus, per group, the interpolated clip bounds and how many rows lie at or
+    beyond them."""
     c = order_counts(df, keys, value, "__q_", method)
-    names, exprs = [], []
-    for tag, q in (("lo", lo), ("hi", hi)):
-        for part, e in zip(("a", "b", "f"), quantile_from_counts(value, q, "__q_")):
-            names.append(f"__{tag}_{part}")
-            exprs.append(e)
+    parts = {f"__{t}_{n}": e for t, q in (("lo", lo), ("hi", hi))
+             for n, e in quantile_parts(value, q, "__q_").items()}
     if method == "window":
         w = W.partitionBy(*keys)
-        c = c.withColumns({n: e.over(w) for n, e in zip(names, exprs)})
+        c = c.withColumns({n: e.over(w) for n, e in parts.items()})
     else:
-        bounds = c.groupBy(*keys).agg(*[e.alias(n) for n, e in zip(names, exprs)])
+        bounds = c.groupBy(*keys).agg(*[e.alias(n) for n, e in parts.items()])
         c = null_safe_join(c, bounds, list(keys), "left")
-    at = lambda tag: F.col(f"__{tag}_a") + (F.col(f"__{tag}_b") - F.col(f"__{tag}_a")) * F.col(f"__{tag}_f")
+    at = lambda t: F.col(f"__{t}_a") + (F.col(f"__{t}_b") - F.col(f"__{t}_a")) * F.col(f"__{t}_f")
+    c = c.withColumns({"__lo": at("lo"), "__hi": at("hi")}).withColumns({
+        "__n_lo": F.when(F.col("__lo") == F.col("__lo_b"), F.col("__lo_b_upto")).otherwise(F.col("__lo_a_upto")),
+        "__n_hi": F.col("__q_total") - F.when(F.col("__hi") == F.col("__hi_a"), F.col("__hi_a_below"))
+        .otherwise(F.col("__hi_b_below"))})
+    return c.drop(*parts)
+
+
+_SCRATCH = ["__q_below", "__q_ties", "__q_total", "__lo", "__hi", "__n_lo", "__n_hi"]
+
+
+def winsorize(df: DataFrame, keys, value, out="winsorized", lo=0.01, hi=0.99, min_n=5,
+              method="auto") -> DataFrame:
+    """Clip at interpolated group quantiles; groups below min_n values are left alone."""
+    c = _with_bounds(df, keys, value, lo, hi, resolve_method(df, method))
     v = F.col(value)
-    return (c.withColumn(out, F.when(F.col("__q_total") >= min_n, clip(v, at("lo"), at("hi"))).otherwise(v))
-            .drop(*names, "__q_below", "__q_ties", "__q_total"))
+    return (c.withColumn(out, F.when(F.col("__q_total") >= min_n, clip(v, "__lo", "__hi")).otherwise(v))
+            .drop(*_SCRATCH))
 
 
 def rank_factors(long: DataFrame, keys=("date", "factor"), value="value", sector=None,
                  lo=0.01, hi=0.99, min_n=5, method="auto") -> DataFrame:
     """Winsorise within `keys`, rank within `keys` (plus sector when given). Adds `w` and `rank`.
-    A row without a sector gets no sector-neutral rank."""
+    A row without a sector gets no sector-neutral rank.
+
+    Clipping keeps order and only merges each tail into one tie, so the ranks after clipping
+    follow from the counts before it: values are ordered once, not twice."""
     keys = list(keys)
     method = resolve_method(long, method)
-    w = winsorize(long, keys, value, "w", lo, hi, min_n, method)
-    if sector is None:
-        return pct_rank(w, keys, "w", "rank", method)
-    w = w.withColumn("__s", F.when(F.col(sector).isNotNull(), F.col("w")))
-    return pct_rank(w, [*keys, sector], "__s", "rank", method).drop("__s")
+    if sector is not None:
+        w = winsorize(long, keys, value, "w", lo, hi, min_n, method)
+        w = w.withColumn("__s", F.when(F.col(sector).isNotNull(), F.col("w")))
+        return pct_rank(w, [*keys, sector], "__s", "rank", method).drop("__s")
+    c = _with_bounds(long, keys, value, lo, hi, method)
+    v, total = F.col(value), F.col("__q_total")
+    clipped = total >= min_n
+    low, high = v <= F.col("__lo"), v >= F.col("__hi")
+    rank = (F.when(clipped & low & high, (total + 1) / F.lit(2.0))
+            .when(clipped & low, (F.col("__n_lo") + 1) / F.lit(2.0))
+            .when(clipped & high, total - (F.col("__n_hi") - 1) / F.lit(2.0))
+            .otherwise(average_rank("__q_")))
+    return (c.withColumn("w", F.when(clipped, clip(v, "__lo", "__hi")).otherwise(v))
+            .withColumn("rank", rank / total).drop(*_SCRATCH))
 
 
 def factor_coverage(ranked: DataFrame, min_coverage=0.4) -> DataFrame:

@@ -54,17 +54,21 @@ def theme_overlap(themes: DataFrame, present: DataFrame) -> DataFrame:
 
 def trailing_theme_means(pscores: DataFrame, smoothing=4) -> DataFrame:
     """(date, priority, pos, now): positive part of each theme's mean over the last `smoothing`
-    scored dates up to and including `date`; `now` tells whether the theme is scored on it."""
-    days = pscores.select("date").distinct()
-    days = days.select("date", F.row_number().over(W.orderBy("date")).alias("i"),
-                       F.count(F.lit(1)).over(W.partitionBy()).cast("int").alias("n"))
-    s = pscores.select("date", "priority", "priority_score").join(F.broadcast(days), "date")
-    reach = s.select("priority", "priority_score", "i", F.explode(F.sequence(
+    scored dates up to and including `date`; `now` tells whether the theme is scored on it.
+
+    Scored dates are numbered and every score is handed to the dates that look back on it. All
+    rows here are date x theme (calendar-bounded), so the un-keyed numbering is small."""
+    everything = W.partitionBy()
+    s = pscores.select("date", "priority", "priority_score",
+                       F.dense_rank().over(everything.orderBy("date")).alias("i"))
+    s = s.withColumn("n", F.max("i").over(everything))
+    reach = s.select("date", "priority", "priority_score", "i", F.explode(F.sequence(
         "i", F.least(F.col("i") + (smoothing - 1), F.col("n")))).alias("at"))
+    own = F.col("i") == F.col("at")
     mean = reach.groupBy("at", "priority").agg(
-        positive_part(F.avg("priority_score")).alias("pos"),
-        F.max(F.col("i") == F.col("at")).alias("now"))
-    return mean.join(F.broadcast(days.select("date", F.col("i").alias("at"))), "at").drop("at")
+        positive_part(F.avg("priority_score")).alias("pos"), F.max(own).alias("now"),
+        F.max(F.when(own, F.col("date"))).alias("__own"))
+    return mean.select(F.max("__own").over(W.partitionBy("at")).alias("date"), "priority", "pos", "now")
 
 
 def theme_weights(pscores: DataFrame, smoothing=4) -> DataFrame:
@@ -79,3 +83,9 @@ def theme_weights(pscores: DataFrame, smoothing=4) -> DataFrame:
 
 def disclosed_weights(weights: DataFrame, floor=0.001) -> DataFrame:
     return weights.where(F.col("weight") > floor)
+
+
+def weights_per_date(weights: DataFrame) -> DataFrame:
+    """One row per scored date with its theme -> weight map (as many entries as themes)."""
+    return weights.groupBy("date").agg(
+        F.map_from_entries(F.collect_list(F.struct("priority", "weight"))).alias("weights"))

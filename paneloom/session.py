@@ -2,6 +2,7 @@
 how big the input is, and where lineage may be cut."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +30,7 @@ def input_bytes(df: DataFrame):
     None when the statistics cannot be read."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                    for i in range(leaves.size()))
     except Exception:
         return None
@@ -45,10 +46,20 @@ def resolve_method(df: DataFrame, method: str) -> str:
     return "window" if size is not None and size <= limit else "split"
 
 
+def _shared_folder(spark) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="paneloom-")
+        sc.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="paneloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them back: what follows survives lost
+    executors without redoing what came before, reads only the columns it needs, and starts from
+    a relation of known size."""
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/paneloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -417,9 +417,6 @@ def _(s, d):
     return _j1(s, d, span_days=365)
 
 
-_J2F = "(SELECT DISTINCT date, CAST(date - INTERVAL 10 DAY AS DATE) AS at FROM monthly)"
-
-
 @q("j2_attach_macro", f"""SELECT p.ticker, p.date, {r(*[f'm.{c} AS {c}' for c in STATES])} FROM monthly p
    LEFT JOIN (SELECT a.date AS pd, ms.* FROM (SELECT DISTINCT date FROM monthly) a ASOF LEFT JOIN ms ON a.date >= ms.date) m ON m.pd = p.date""")
 def _(s, d):
@@ -454,10 +451,9 @@ def _(s, d):
 
 @q("j8_rank_to_outcome", f"SELECT date, ticker, rank, {r('y')} FROM topn")
 def _(s, d):
-    tr = pf.theme_ranks(b.ranked(s, d), b.theme_map(s), y="y")
-    w = th.theme_weights(b.theme_scores(s, d))
-    tr = tr.join(F.broadcast(w.select("date").distinct()), "date", "left_semi")
-    return pf.top_n(pf.composite_scores(tr, w, y="y"), 20).select("date", "ticker", "rank", "y")
+    per_date = th.weights_per_date(th.theme_weights(b.theme_scores(s, d)))
+    tr = pf.theme_ranks(b.ranked(s, d), b.theme_map(s), per_date, y="y")
+    return pf.top_n(pf.composite_scores(tr, y="y"), 20).select("date", "ticker", "rank", "y")
 
 
 _HINTS = {("f1", "credit_spread_z"): "first wording", ("mom", "vix_z"): "second wording"}
@@ -619,9 +615,8 @@ def _(s, d):
 
 @q("a13_composite", f"SELECT date, ticker, {r('composite_score')} FROM cs WHERE date IN (SELECT date FROM tw)")
 def _(s, d):
-    w = th.theme_weights(b.theme_scores(s, d))
-    days = F.broadcast(w.select("date").distinct())
-    return pf.composite_scores(pf.theme_ranks(b.ranked(s, d).join(days, "date", "left_semi"), b.theme_map(s)), w)
+    per_date = th.weights_per_date(th.theme_weights(b.theme_scores(s, d)))
+    return pf.composite_scores(pf.theme_ranks(b.ranked(s, d), b.theme_map(s), per_date))
 
 
 _WF = f"SELECT date, n_holdings, {r('portfolio_forward_excess_return')}, hit FROM wf"
@@ -691,9 +686,6 @@ def _(s, d):
 
 # --- inference -------------------------------------------------------------------------------
 
-_BHP = "SELECT *, CASE WHEN ticker % 7 <> 0 THEN abs(f4 - 0.01 * mi % 1) END AS p FROM panel0"
-
-
 def _bh_in(s, d):
     """A p-like number per supplier and month, ties and missing values included; one family per month."""
     return b.monthly(s, d).select("ticker", "date", F.when(F.col("ticker") % 7 != 0, F.col("f4")).alias("p_value"))
@@ -854,9 +846,6 @@ def _(s, d):
     return b.theme_scores(s, d).select("date", "priority", "priority_z")
 
 
-_FILL = "last_value(roe IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
-
-
 @q("w21_yoy_growth", f"""SELECT ticker, date, {r('f / nullif(lag(f, 4) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS growth')} FROM
    (SELECT ticker, date, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS f
     FROM (SELECT ticker, date, CASE WHEN month(date) <> 9 THEN revenue_growth END AS v FROM fund))""")
