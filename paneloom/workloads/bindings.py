@@ -16,8 +16,23 @@ CHAIN_THEMES = {"Theme One": ["f1", "f2"], "Theme Two": ["f2", "f4"], "Theme Thr
 AS_OF = "2001-06-30"
 
 
+# declared, so that opening a table starts no job
+SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def out(df: DataFrame, digits=6) -> DataFrame:
@@ -157,7 +172,7 @@ def states(spark, d) -> DataFrame:
 
 def panel_states(spark, d) -> DataFrame:
     """Macro states on the panel's dates (one row per date)."""
-    return features.attach_macro(panel(spark, d).select("date").distinct(), states(spark, d))
+    return features.attach_macro(monthly(spark, d).select("date").distinct(), states(spark, d))
 
 
 def macro_store(spark, d) -> DataFrame:
