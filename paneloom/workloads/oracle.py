@@ -210,7 +210,7 @@ def tp(t, v):
 
 def ols_rel(name, src, keys, x, y):
     """name0 holds moments, name the estimates."""
-    rel(name + "_m", f"""SELECT {keys}, regr_count({y},{x}) AS n, regr_sxx({y},{x}) AS sxx, regr_syy({y},{x}) AS syy,
+    rel(name + "_m", f"""SELECT {keys}, CAST(regr_count({y},{x}) AS BIGINT) AS n, regr_sxx({y},{x}) AS sxx, regr_syy({y},{x}) AS syy,
         regr_sxy({y},{x}) AS sxy, regr_avgx({y},{x}) AS mx, regr_avgy({y},{x}) AS my FROM {src} GROUP BY {keys}""")
     rel(name + "_b", f"""SELECT *, n - 2 AS dof, CASE WHEN n >= 5 AND sxx > 0 THEN sxy/sxx END AS beta FROM {name}_m""")
     rel(name + "_e", f"""SELECT *, my - beta*mx AS alpha, sqrt(greatest(syy - beta*sxy, 0)/dof/sxx) AS se,
