@@ -7,7 +7,7 @@ two engines rank them identically, ties included.
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from paneloom.functions.expr import change, quarter_end
-from paneloom.operators import features, ranking, rolling, scores, themes as th
+from paneloom.operators import calendar, features, ranking, rolling, scores, themes as th
 
 # chain vocabulary used by the score, theme and portfolio queries
 CHAIN_FACTORS = ["f1", "f2", "f4", "mom"]
@@ -73,6 +73,14 @@ def daily(spark, d) -> DataFrame:
         price_expr().alias("adj_close"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("volume"))
 
 
+def days(spark, d) -> DataFrame:
+    return calendar.trading_calendar(lines(spark, d), "ship")
+
+
+def month_ends(spark, d) -> DataFrame:
+    return calendar.trading_calendar(lines(spark, d).select(F.last_day("ship").alias("date")))
+
+
 def monthly(spark, d) -> DataFrame:
     """Monthly cross-section: one row per supplier and month end, f2 missing for every 7th."""
     m = lines(spark, d).groupBy(F.col("l_suppkey").alias("ticker"), F.last_day("ship").alias("date")).agg(

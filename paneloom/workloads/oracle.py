@@ -294,3 +294,35 @@ for tag in "dm":
 # attributes
 rel("fund2", """SELECT *, -debt_to_equity AS debt_to_equity_inv, CASE WHEN pe > 0 THEN 1/pe END AS earnings_yield,
     CASE WHEN ev_ebitda > 0 THEN 1/ev_ebitda END AS ev_ebitda_inv, -shares_dilution AS shares_dilution_inv FROM fund""")
+
+# --- the whole run on the monthly binding: catalogue factors and themes -----------------------
+CHAIN = ["lp", "lp_pos", "lp_q", "wz", "rk", "pairs", "ics", "sps", "sls", "sc", "ro0", "ro", "tm", "ps0", "ps", "psd",
+         "tw0", "tw", "tr", "cs", "topn", "wf", "panel", "pst", "pstl", "ip", "ip2", "fit", "fit_m", "fit_b", "fit_e",
+         "fit_t", "fit12", "it", "lagged", "ar", "ar_m", "ar_b", "ar_e", "ar_t", "ar8", "pe"]
+_PAT = re.compile(r"\b(" + "|".join(sorted(CHAIN, key=len, reverse=True)) + r")\b")
+
+
+def on_full(text):
+    """The same relation over the full-run panel."""
+    return _PAT.sub(r"x_\1", text)
+
+
+for _n in CHAIN:
+    rel("x_" + _n, on_full(REL[_n]))
+rel("mpx_f", "SELECT ticker, year(date)*12+month(date) AS mi, adj_close AS px FROM monthly")
+rel("mgrid_f", REL["mgrid"].replace("mpx", "mpx_f").replace("FROM daily", "FROM monthly"))
+rel("mret_f", REL["mret"].replace("mgrid", "mgrid_f"))
+rel("cs_f", REL["cs_m"].replace("mret", "mret_f"))
+rel("x_panel", """SELECT p.*, p.forward_excess_return AS y, commodity_sensitivity, f.fcf_yield, f.debt_to_equity_inv, f.roe, f.revenue_growth,
+    f.shares_dilution_inv, f.earnings_yield, f.ev_ebitda_inv, f.dividend_yield
+    FROM (SELECT *, CAST(date - INTERVAL 60 DAY AS DATE) AS cut FROM pfm) p
+    LEFT JOIN cs_f c ON c.date = p.date AND c.ticker = p.ticker ASOF LEFT JOIN fund2 f ON f.ticker = p.ticker AND p.cut >= f.date""")
+FULL_FACTORS = ["fcf_yield", "debt_to_equity_inv", "roe", "revenue_growth", "shares_dilution_inv", "earnings_yield", "ev_ebitda_inv",
+                "dividend_yield", "momentum_6m", "low_volatility", "low_beta", "commodity_sensitivity"]
+rel("x_lp0", " UNION ALL ".join(f"SELECT date, ticker, y, '{f}' AS factor, {f} AS value FROM x_panel" for f in FULL_FACTORS))
+rel("x_lp", """SELECT * FROM x_lp0 WHERE factor IN (SELECT factor FROM x_lp0 GROUP BY 1 HAVING CAST(count(value) AS DOUBLE)/count(*) >= 0.4)""")
+
+
+def theme_values(themes):
+    rows = ",".join(f"('{t}','{f}',{len(fs)})" for t, fs in themes.items() for f in fs)
+    return f"SELECT * FROM (VALUES {rows}) v(priority, factor, n_members_defined)"

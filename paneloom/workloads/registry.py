@@ -10,7 +10,7 @@ from paneloom.operators import (asof, calendar as cal, features as ft, inference
 from paneloom.plans import ingest as ig, research
 from paneloom.sources import readers as rd, store as st
 from paneloom.workloads import bindings as b
-from paneloom.workloads.oracle import PRICE, STATES, N, corr, pct, avg_rank, r, share, sql, tp
+from paneloom.workloads.oracle import PRICE, STATES, N, avg_rank, corr, on_full, pct, r, rel, sql, theme_values, tp
 
 QUERIES, ORACLES = {}, {}
 
@@ -272,8 +272,7 @@ def _(s, d):
 
 @q("p13_annualised_volatility", f"SELECT ticker, {r('-stddev_samp(ret) * sqrt(252) AS low_volatility')} FROM ret_d GROUP BY 1")
 def _(s, d):
-    p = b.daily(s, d)
-    g = cal.price_grid(p, cal.trading_calendar(p))
+    g = cal.price_grid(b.daily(s, d), b.days(s, d))
     return g.groupBy("ticker").agg((-F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("low_volatility"))
 
 
@@ -425,7 +424,7 @@ def _(s, d):
 
 @q("j3_benchmark_on_calendar", f"SELECT date, {r('bench', digits=3)} FROM bench_d", digits=3)
 def _(s, d):
-    return ft.benchmark_on_calendar(cal.trading_calendar(b.daily(s, d)), b.macro(s, d))
+    return ft.benchmark_on_calendar(b.days(s, d), b.macro(s, d))
 
 
 @q("j4_sensitivity_join", f"SELECT p.date, p.ticker, {r('momentum_6m', 'commodity_sensitivity')} FROM pfm p LEFT JOIN cs_m c ON c.date = p.date AND c.ticker = p.ticker")
@@ -505,12 +504,12 @@ def _(s, d):
 
 @q("a1_rebalance_calendar", "SELECT date, i AS day_idx FROM reb_d")
 def _(s, d):
-    return cal.rebalance_dates(cal.trading_calendar(b.daily(s, d)), "Q", 252, 63)
+    return cal.rebalance_dates(b.days(s, d), "Q", 252, 63)
 
 
 @q("a1_rebalance_monthly", "SELECT max(date) AS date, max(i) AS day_idx FROM cal_d GROUP BY date_trunc('month', date) HAVING max(i) >= 252 AND max(i) + 63 < max(n)")
 def _(s, d):
-    return cal.rebalance_dates(cal.trading_calendar(b.daily(s, d)), "M", 252, 63)
+    return cal.rebalance_dates(b.days(s, d), "M", 252, 63)
 
 
 @q("a2_equal_weight_benchmark", f"SELECT date, {r('avg(adj_close) AS bench', digits=4)} FROM daily GROUP BY 1", digits=4)
@@ -663,13 +662,9 @@ def _(s, d):
 
 
 def _sens(s, d, freq="D"):
-    p = b.daily(s, d)
-    if freq == "M":
-        days = cal.trading_calendar(b.monthly(s, d))
-        rd_ = cal.rebalance_dates(days, "Q", 12, 3)
-    else:
-        rd_ = cal.rebalance_dates(cal.trading_calendar(p), "Q", 252, 63)
-    return ft.commodity_sensitivity(p, cal.trading_calendar(p), rd_, b.macro(s, d))
+    days = b.days(s, d)
+    dates = (cal.rebalance_dates(b.month_ends(s, d), "Q", 12, 3) if freq == "M" else cal.rebalance_dates(days, "Q", 252, 63))
+    return ft.commodity_sensitivity(b.daily(s, d), days, dates, b.macro(s, d))
 
 
 @q("a19_commodity_sensitivity", f"SELECT date, ticker, {r('commodity_sensitivity')} FROM cs_d")
@@ -724,8 +719,7 @@ def _(s, d):
 
 @q("w1_pad_filled_return", f"SELECT ticker, i AS day_idx, {r('adj_close', 'filled', 'ret')} FROM ret_d")
 def _(s, d):
-    p = b.daily(s, d)
-    return cal.price_grid(p, cal.trading_calendar(p)).select("ticker", "day_idx", "adj_close", "filled", "ret")
+    return cal.price_grid(b.daily(s, d), b.days(s, d)).select("ticker", "day_idx", "adj_close", "filled", "ret")
 
 
 _WZ = f"SELECT date, ticker, factor, {r('value', 'w')} FROM wz"
@@ -790,8 +784,7 @@ def _(s, d):
 
 def _price_panel(s, d):
     """All price look-backs on the monthly calendar: 6/6/12 steps back, 3 ahead."""
-    p = b.monthly(s, d)
-    days = cal.trading_calendar(p)
+    p, days = b.monthly(s, d), b.month_ends(s, d)
     return ft.price_features(p, days, cal.rebalance_dates(days, "Q", 12, 3), ft.benchmark_on_calendar(days, b.macro(s, d)),
                              6, 6, 12, 3, 12)
 
@@ -802,8 +795,7 @@ def _(s, d):
 
 
 def _daily_panel(s, d):
-    p = b.daily(s, d)
-    days = cal.trading_calendar(p)
+    p, days = b.daily(s, d), b.days(s, d)
     return ft.price_features(p, days, cal.rebalance_dates(days), ft.benchmark_on_calendar(days, b.macro(s, d)))
 
 
@@ -829,8 +821,7 @@ def _(s, d):
 
 @q("w14_monthly_returns", f"SELECT ticker, {r('adj_close', 'filled', 'ret')}, mi - 1 AS month_no FROM mret")
 def _(s, d):
-    p = b.daily(s, d)
-    return ft.monthly_returns(p, cal.trading_calendar(p))
+    return ft.monthly_returns(b.daily(s, d), b.days(s, d))
 
 
 for _name, _cols in {"w15_rolling_mean": ["rolling_ic", "rolling_spread"], "w16_rolling_se": ["rolling_ic_se"],
@@ -995,3 +986,44 @@ def _(s, d):
    CASE WHEN (SELECT count(*) FROM it WHERE significant_fdr) = 0 THEN 'PASSED' ELSE 'REVIEW NEEDED' END AS specificity""")
 def _(s, d):
     return rp.specificity_check(inf.interaction_tests(b.score_rows(s, d), b.panel_states(s, d)), b.rolled(s, d))
+
+
+# --- the whole run ---------------------------------------------------------------------------
+
+FULL = research.Config(rebalance="Q", holding_months=3, steps_per_month=1, momentum=6, volatility=6, beta=12, lookback=12,
+                       steps_per_year=12)
+rel("x_tm", theme_values(vocab.THEMES))
+
+
+def _full(s, d):
+    return research.run(b.monthly(s, d).select("date", "ticker", "adj_close"), b.fundamentals(s, d), b.macro(s, d), FULL)
+
+
+@q("full_run_factor_scores", f"SELECT date, factor, {r('ic', 'spread', 'payoff_slope')}, n_stocks, {r(*ROLLED)} FROM x_ro")
+def _(s, d):
+    return _full(s, d)["factor_scores"]
+
+
+@q("full_run_priority_scores", on_full(_PS))
+def _(s, d):
+    return _full(s, d)["priority_scores"]
+
+
+@q("full_run_interactions", on_full(f"SELECT factor, macro_state, {r(*_ITC)}, n_periods, significant_fdr, n_tests_in_family FROM it"))
+def _(s, d):
+    return _full(s, d)["interaction_tests"]
+
+
+@q("full_run_persistence", on_full(f"SELECT factor, lag, {r('beta', 't_stat', 'p_value', 'q_value')}, n, significant_fdr, n_tests_in_family, classification FROM pe"))
+def _(s, d):
+    return _full(s, d)["factor_persistence"]
+
+
+@q("full_run_stock_ranks", on_full(f"SELECT ticker, {r('composite_score')}, row_number() OVER (ORDER BY composite_score DESC, ticker) AS rank, date AS as_of_date FROM cs WHERE date = (SELECT max(date) FROM panel) ORDER BY rank LIMIT 20"))
+def _(s, d):
+    return _full(s, d)["latest_stock_ranks"].select("ticker", "composite_score", "rank", "as_of_date")
+
+
+@q("full_run_walk_forward", on_full(_WF))
+def _(s, d):
+    return _full(s, d)["walk_forward_results"]
