@@ -14,7 +14,7 @@ rows below it, rows tied with it, rows in total. Two plans give the same counts:
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from paneloom.session import cut_lineage, resolve_method
+from paneloom.session import made_once, resolve_method
 
 BUCKETS_PER_OCTAVE = 1024
 
@@ -69,7 +69,7 @@ def order_counts(df: DataFrame, keys, value, prefix="", method="auto") -> DataFr
                 .withColumn(ties, F.when(v.isNotNull(), F.count(v).over(W.partitionBy(*keys, value))))
                 .withColumn(total, F.when(v.isNotNull(), F.count(v).over(whole))))
     # the rows are read twice (to count and to receive the counts), so they are made once
-    df = cut_lineage(df)
+    df = made_once(df)
     prof = (distinct_profile(df, keys, value)
             .withColumnsRenamed({"n": ties, "n_below": below, "n_total": total}))
     return null_safe_join(df, prof, [*keys, value], "left")
@@ -102,7 +102,7 @@ def suffix_min(df: DataFrame, keys, order, value, out, method="auto") -> DataFra
     if resolve_method(df, method) == "window":
         w = W.partitionBy(*keys).orderBy(order).rangeBetween(W.currentRow, W.unboundedFollowing)
         return df.withColumn(out, F.min(value).over(w))
-    df = cut_lineage(df)
+    df = made_once(df)
     folded = (df.where(F.col(order).isNotNull()).groupBy(*keys, order)
               .agg(F.min(value).alias("__v")).withColumn("__b", value_bucket(F.col(order))))
     mins = folded.groupBy(*keys, "__b").agg(F.min("__v").alias("__bv"))

@@ -29,11 +29,8 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_on, right_on, matched_
     right = keep_last(right.where(F.col(right_on).isNotNull()), [*by, right_on], [seq] if seq else carried)
     hit = F.struct(F.col(right_on).alias(matched_as), *carried)
     lrow = F.struct(*left.columns)
-    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), hit.alias("__hit"),
-                     F.lit(None).cast(left.select(lrow).schema[0].dataType).alias("__row"))
-    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1).alias("__side"),
-                    F.lit(None).cast(right.select(hit).schema[0].dataType).alias("__hit"),
-                    lrow.alias("__row"))
+    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), hit.alias("__hit"))
+    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1).alias("__side"), lrow.alias("__row"))
     part = by
     if span_days:
         span = F.floor(F.datediff(F.col("__t"), F.lit("1970-01-01").cast("date")) / span_days)
@@ -43,7 +40,7 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_on, right_on, matched_
     w = W.partitionBy(*part).orderBy(F.col("__t").asc_nulls_first(), "__side") \
          .rowsBetween(W.unboundedPreceding, W.currentRow)
     # a NULL time sorts first and therefore matches nothing
-    both = r.unionByName(l).withColumn("__hit", F.last("__hit", ignorenulls=True).over(w))
+    both = r.unionByName(l, allowMissingColumns=True).withColumn("__hit", F.last("__hit", ignorenulls=True).over(w))
     rows = both.where("__side = 1")
     return rows.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns],
                        F.col(f"__hit.{matched_as}").alias(matched_as),
@@ -63,8 +60,7 @@ def _span_seeds(r: DataFrame, l: DataFrame, by) -> DataFrame:
             .withColumn("__prev_t", F.last("__t", ignorenulls=True).over(w))
             .where("__ask = 1 AND __prev_t IS NOT NULL")
             .select(*by, F.col("__prev_t").alias("__t"), F.lit(0).alias("__side"),
-                    F.col("__prev").alias("__hit"),
-                    F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), "__span"))
+                    F.col("__prev").alias("__hit"), "__span"))
 
 
 def asof_by_date(left: DataFrame, series: DataFrame, date="date", series_date="date",

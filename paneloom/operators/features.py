@@ -83,9 +83,9 @@ def month_end_last(df: DataFrame, keys, date="date", value="value") -> DataFrame
 
 def monthly_returns(prices: DataFrame, calendar: DataFrame, entity="ticker", price="adj_close") -> DataFrame:
     """(entity, month_no, price, filled, ret) on every month of the covered span."""
-    span = calendar.agg(_month_no(F.min("date")).alias("__lo"), _month_no(F.max("date")).alias("__hi"))
     m = month_end_last(prices, [entity], "date", price).withColumn("month_no", _month_no(F.col("date")))
-    m = m.withColumn("__k", F.lit(1)).join(F.broadcast(span.withColumn("__k", F.lit(1))), "__k")
+    m = m.withColumns({"__lo": calendar.agg(_month_no(F.min("date"))).scalar(),
+                       "__hi": calendar.agg(_month_no(F.max("date"))).scalar()})
     return padded_grid(m, entity, "month_no", price)
 
 
@@ -107,8 +107,8 @@ def commodity_sensitivity(prices: DataFrame, calendar: DataFrame, rebalance: Dat
     chg = chg.select(_month_no(F.col("date")).alias("month_no"), "chg")
     d = F.col("date")
     newest = F.when(d == F.last_day(d), _month_no(d)).otherwise(_month_no(d) - 1)
-    first = calendar.agg(_month_no(F.min("date")).alias("__lo")).withColumn("__k", F.lit(1))
-    spans = rebalance.select("date", newest.alias("__new"), F.lit(1).alias("__k")).join(F.broadcast(first), "__k")
+    first = calendar.agg(_month_no(F.min("date"))).scalar()
+    spans = rebalance.select("date", newest.alias("__new"), first.alias("__lo"))
     spans = spans.where(F.col("__new") >= F.col("__lo")).select("date", F.explode(F.sequence(
         F.greatest(F.col("__new") - (months - 1), F.col("__lo")), F.col("__new"))).alias("month_no"))
     spans = spans.join(chg, "month_no", "left")

@@ -77,35 +77,41 @@ def walk_forward(ranked: DataFrame, pscores: DataFrame, themes: DataFrame, n=20,
             .withColumn("hit", F.col("portfolio_forward_excess_return") > 0))
 
 
-def winsorized_summary(wf: DataFrame, value="portfolio_forward_excess_return", limit=0.05, min_n=4) -> DataFrame:
-    """Mean, standard error and t after capping both tails (one row per date: small)."""
-    q = wf.agg(F.percentile(value, limit).alias("lo"), F.percentile(value, 1 - limit).alias("hi"),
-               F.count(value).alias("n"))
+def _capped(wf: DataFrame, value, limit, min_n=4) -> DataFrame:
+    """Adds the outcome with both tails capped at interpolated quantiles; fewer than min_n dates
+    stay as they are. One row per date, so the whole-table frame is calendar-bounded."""
+    every = W.partitionBy()
+    lo, hi = (F.percentile(value, q).over(every) for q in (limit, 1 - limit))
     v = F.col(value)
-    capped = F.when(F.col("n") < min_n, v).otherwise(F.greatest("lo", F.least("hi", v)))
-    one = (wf.withColumn("__k", F.lit(1)).join(F.broadcast(q.withColumn("__k", F.lit(1))), "__k")
-           .agg(F.avg(capped).alias("mean"), F.stddev_samp(capped).alias("sd"), F.count(v).alias("n")))
-    se = F.col("sd") / F.sqrt(F.col("n").cast("double"))
-    return one.select(F.col("mean").alias("mean_forward_excess_return_winsorized"),
-                      F.when(F.col("n") > 1, se).alias("se_winsorized"),
-                      F.when(F.col("n") > 1, F.try_divide("mean", se)).alias("t_stat_winsorized"))
+    return wf.withColumn("__capped", F.when(F.count(v).over(every) < min_n, v)
+                         .otherwise(F.greatest(lo, F.least(hi, v))))
+
+
+def _mean_se_t(value):
+    """mean, standard error and t; the last two need more than one date."""
+    n = F.count(value)
+    mean, se = F.avg(value), F.stddev_samp(value) / F.sqrt(F.nullif(n, F.lit(0)).cast("double"))
+    return mean, F.when(n > 1, se), F.when(n > 1, F.try_divide(mean, se))
+
+
+def winsorized_summary(wf: DataFrame, value="portfolio_forward_excess_return", limit=0.05) -> DataFrame:
+    mean, se, t = _mean_se_t("__capped")
+    return _capped(wf, value, limit).agg(mean.alias("mean_forward_excess_return_winsorized"),
+                                         se.alias("se_winsorized"), t.alias("t_stat_winsorized"))
 
 
 def walk_forward_summary(wf: DataFrame, limit=0.05, small=20) -> DataFrame:
-    """One row: raw and winsorised statistics side by side, with a small-sample warning."""
+    """One row, in one pass: raw and winsorised statistics side by side, and a small-sample warning."""
     v = "portfolio_forward_excess_return"
-    raw = wf.agg(F.count(F.lit(1)).alias("n_periods"), F.avg(v).alias("mean_forward_excess_return"),
-                 F.stddev_samp(v).alias("sd"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    (mean, se, t), (w_mean, w_se, w_t) = _mean_se_t(v), _mean_se_t("__capped")
+    one = _capped(wf, v, limit).agg(
+        F.count(F.lit(1)).alias("n_periods"), mean.alias("mean_forward_excess_return"), se.alias("se"),
+        t.alias("t_stat"), F.avg(F.col("hit").cast("double")).alias("hit_rate"),
+        w_mean.alias("mean_forward_excess_return_winsorized"), w_se.alias("se_winsorized"),
+        w_t.alias("t_stat_winsorized"), F.lit(limit).alias("winsorize_limit"))
     n = F.col("n_periods")
-    raw = raw.withColumn("se", F.when(n > 1, F.col("sd") / F.sqrt(n.cast("double"))))
     few = F.concat(F.lit("Only "), n.cast("string"), F.lit(
         " real historical rebalance period(s) available -- treat this as exploratory, not a validated "
         "backtest, until more real history accumulates."))
     none = F.lit("No rebalance periods had enough trailing history to evaluate.")
-    raw = raw.withColumn("t_stat", F.try_divide("mean_forward_excess_return", "se")).withColumn("__k", F.lit(1))
-    cap = winsorized_summary(wf, v, limit).withColumn("__k", F.lit(1))
-    return raw.join(F.broadcast(cap), "__k", "left").select(
-        "n_periods", "mean_forward_excess_return", "se", "t_stat", "hit_rate",
-        "mean_forward_excess_return_winsorized", "se_winsorized", "t_stat_winsorized",
-        F.lit(limit).alias("winsorize_limit"),
-        F.when(n == 0, none).when(n < small, few).alias("warning"))
+    return one.withColumn("warning", F.when(n == 0, none).when(n < small, few))

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from paneloom.functions.expr import clip
-from paneloom.functions.ordered import average_rank, null_safe_join, order_counts, quantile_parts
-from paneloom.session import resolve_method
+from paneloom.functions.ordered import (average_rank, distinct_profile, null_safe_join, order_counts,
+                                        quantile_parts)
+from paneloom.session import made_once, resolve_method
 
 
 def to_long(panel: DataFrame, factors, ids) -> DataFrame:
@@ -21,22 +22,29 @@ def pct_rank(df: DataFrame, keys, value, out="pct_rank", method="auto") -> DataF
 
 def _with_bounds(df, keys, value, lo, hi, method):
     """Order counts plus, per group, the interpolated clip bounds and how many rows lie at or
-    beyond them."""
-    c = order_counts(df, keys, value, "__q_", method)
+    beyond them. In the split plan all of it is worked out on the distinct values and reaches the
+    rows by one join."""
+    keys = list(keys)
     parts = {f"__{t}_{n}": e for t, q in (("lo", lo), ("hi", hi))
              for n, e in quantile_parts(value, q, "__q_").items()}
     if method == "window":
         w = W.partitionBy(*keys)
-        c = c.withColumns({n: e.over(w) for n, e in parts.items()})
-    else:
-        bounds = c.groupBy(*keys).agg(*[e.alias(n) for n, e in parts.items()])
-        c = null_safe_join(c, bounds, list(keys), "left")
+        c = order_counts(df, keys, value, "__q_", method)
+        return _bounds(c.withColumns({n: e.over(w) for n, e in parts.items()})).drop(*parts)
+    df = made_once(df)
+    prof = distinct_profile(df, keys, value).withColumnsRenamed(
+        {"n": "__q_ties", "n_below": "__q_below", "n_total": "__q_total"})
+    bounds = prof.groupBy(*keys).agg(*[e.alias(n) for n, e in parts.items()])
+    prof = _bounds(null_safe_join(prof, bounds, keys, "inner")).drop(*parts)
+    return null_safe_join(df, prof, [*keys, value], "left")
+
+
+def _bounds(c):
     at = lambda t: F.col(f"__{t}_a") + (F.col(f"__{t}_b") - F.col(f"__{t}_a")) * F.col(f"__{t}_f")
-    c = c.withColumns({"__lo": at("lo"), "__hi": at("hi")}).withColumns({
+    return c.withColumns({"__lo": at("lo"), "__hi": at("hi")}).withColumns({
         "__n_lo": F.when(F.col("__lo") == F.col("__lo_b"), F.col("__lo_b_upto")).otherwise(F.col("__lo_a_upto")),
         "__n_hi": F.col("__q_total") - F.when(F.col("__hi") == F.col("__hi_a"), F.col("__hi_a_below"))
         .otherwise(F.col("__hi_b_below"))})
-    return c.drop(*parts)
 
 
 _SCRATCH = ["__q_below", "__q_ties", "__q_total", "__lo", "__hi", "__n_lo", "__n_hi"]

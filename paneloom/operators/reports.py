@@ -79,12 +79,10 @@ def sensitivity_check(tests: DataFrame, rolled: DataFrame, pairs: DataFrame, fac
 
 
 def specificity_check(tests: DataFrame, rolled: DataFrame, max_t=2.5) -> DataFrame:
-    s = tests.agg(F.count_if("significant_fdr").alias("n_survivors")).withColumn("__k", F.lit(1))
-    t = latest_slice(rolled).agg(F.count_if(F.abs("rolling_ic_t") > max_t).alias("n_large_t")) \
-        .withColumn("__k", F.lit(1))
-    return s.join(F.broadcast(t), "__k").select(
-        "n_survivors", "n_large_t",
-        F.when(F.col("n_survivors") == 0, "PASSED").otherwise("REVIEW NEEDED").alias("specificity"))
+    survivors_n = tests.agg(F.count_if("significant_fdr")).scalar()
+    t = latest_slice(rolled).agg(F.count_if(F.abs("rolling_ic_t") > max_t).alias("n_large_t"))
+    return t.select(survivors_n.alias("n_survivors"), "n_large_t").withColumn(
+        "specificity", F.when(F.col("n_survivors") == 0, "PASSED").otherwise("REVIEW NEEDED"))
 
 
 def all_tests(tests: DataFrame) -> DataFrame:

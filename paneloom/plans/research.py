@@ -38,10 +38,10 @@ class Config:
 
 
 def build_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cfg: Config = Config(),
-                seq=None) -> DataFrame:
+                seq=None, keep=lambda df: df) -> DataFrame:
     """One row per (rebalance date, ticker): look-backs, forward excess return, as-of attributes,
-    macro states."""
-    days = cal.trading_calendar(prices)
+    macro states. `keep` is applied to the calendar, which is read in many places."""
+    days = keep(cal.trading_calendar(prices))
     bench = (features.benchmark_on_calendar(days, macro) if "benchmark_adj_close" in macro.columns
              else cal.equal_weight_benchmark(prices))
     rdates = cal.rebalance_dates(days, cfg.rebalance, cfg.lookback, cfg.holding)
@@ -55,11 +55,12 @@ def build_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cf
 
 def run(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cfg: Config = Config(),
         theme_map=None, seq=None, cut=True) -> dict:
-    """All result tables. The panel and the scores each feed several results, so their lineage is
-    cut by a reliable checkpoint (cut=False keeps everything lazy)."""
+    """All result tables. The calendar, the panel, the ranks and the scores each feed several
+    results, so each is written once to the shared checkpoint folder and read back (cut=False
+    keeps everything lazy)."""
     keep = cut_lineage if cut else (lambda df: df)
     spark = prices.sparkSession
-    panel = keep(build_panel(prices, fundamentals, macro, cfg, seq))
+    panel = keep(build_panel(prices, fundamentals, macro, cfg, seq, keep))
     states = inference.states_by_date(panel, vocab.MACRO_STATES)
     sector = ["sector"] if cfg.sector_neutral and "sector" in panel.columns else []
     long = ranking.to_long(panel, vocab.FACTORS, ["date", "ticker", "forward_excess_return", *sector])

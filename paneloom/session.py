@@ -1,6 +1,7 @@
 """Session helper and the two run-time decisions every plan shares:
 how big the input is, and where lineage may be cut."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Inputs at most this large are ranked with one window per group. Above it the
 # two-level plan in functions/ordered.py is used, which never holds a whole group in one task.
 WINDOW_BYTES_CONF = "paneloom.window.maxInputBytes"
-WINDOW_BYTES_DEFAULT = 512 << 20
+WINDOW_BYTES_DEFAULT = 128 << 20
 
 
 def get_session(master="local[*]", shuffle_partitions=None, **conf) -> SparkSession:
@@ -56,6 +57,22 @@ def _shared_folder(spark) -> str:
     return named
 
 
+_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Expand|Union|Sort|Distinct|RepartitionByExpression|RDD)\b")
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when the plan only reads, filters and projects, so reading it again costs no shuffle."""
+    try:
+        return not _COSTLY.search(df._jdf.queryExecution().optimizedPlan().toString())
+    except Exception:
+        return False
+
+
+def made_once(df: DataFrame) -> DataFrame:
+    """For plans that read `df` more than once: itself when it is a plain scan, else cut."""
+    return df if is_plain_scan(df) else cut_lineage(df)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and read them back: what follows survives lost
     executors without redoing what came before, reads only the columns it needs, and starts from
