@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from paneloom.operators.themes import theme_weights, weights_per_date
+from paneloom.vocab import FEW_PERIODS, NO_PERIODS
 
 
 def theme_ranks(ranked: DataFrame, themes: DataFrame, per_date: DataFrame, entity="ticker", y=None) -> DataFrame:
@@ -110,8 +111,5 @@ def walk_forward_summary(wf: DataFrame, limit=0.05, small=20) -> DataFrame:
         w_mean.alias("mean_forward_excess_return_winsorized"), w_se.alias("se_winsorized"),
         w_t.alias("t_stat_winsorized"), F.lit(limit).alias("winsorize_limit"))
     n = F.col("n_periods")
-    few = F.concat(F.lit("Only "), n.cast("string"), F.lit(
-        " real historical rebalance period(s) available -- treat this as exploratory, not a validated "
-        "backtest, until more real history accumulates."))
-    none = F.lit("No rebalance periods had enough trailing history to evaluate.")
-    return one.withColumn("warning", F.when(n == 0, none).when(n < small, few))
+    few = F.replace(F.lit(FEW_PERIODS), F.lit("{n}"), n.cast("string"))
+    return one.withColumn("warning", F.when(n == 0, NO_PERIODS).when(n < small, few))

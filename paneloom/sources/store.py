@@ -105,7 +105,6 @@ def with_month(df: DataFrame, date) -> DataFrame:
 def ingest(spark: SparkSession, path, rows: DataFrame, keys, date) -> DataFrame:
     """Upsert one delivery and return its log row. Failure leaves the store unchanged and is
     reported in the row."""
-    provider = rows.select("provider").limit(1)
     try:
         delivered = with_month(rows, date)
         n = delivered.count()

@@ -105,3 +105,8 @@ NO_HISTORY = "inconclusive (insufficient history)"
 NOISE = "inconclusive (not distinguishable from noise)"
 MOMENTUM = "persistent (momentum in payoff)"
 REVERTING = "mean-reverting"
+
+# Small-sample notices of the walk-forward summary; {n} is the number of dates.
+FEW_PERIODS = ("Only {n} real historical rebalance period(s) available -- treat this as exploratory, not a "
+               "validated backtest, until more real history accumulates.")
+NO_PERIODS = "No rebalance periods had enough trailing history to evaluate."
