@@ -23,5 +23,5 @@ def rows():
     def get(df, *cols, nd=9):
         cols = cols or df.columns
         fix = lambda v: round(v, nd) if isinstance(v, float) else v
-        return sorted((tuple(fix(r[c]) for c in cols) for r in df.collect()), key=str)
+        return sorted((tuple(fix(r[c]) for c in cols) for r in df.collect()), key=lambda t: [str(v) for v in t])
     return get

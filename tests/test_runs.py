@@ -83,5 +83,5 @@ def test_against_duckdb(spark, rows, name):
     cols = [c[0] for c in cur.description]
     df = entry.queries()[name](spark, SF)
     assert sorted(cols) == sorted(df.columns)
-    want = sorted((tuple(dict(zip(cols, r))[c] for c in df.columns) for r in cur.fetchall()), key=str)
+    want = sorted((tuple(dict(zip(cols, r))[c] for c in df.columns) for r in cur.fetchall()), key=lambda t: [str(v) for v in t])
     assert rows(df) == want
