@@ -2,7 +2,6 @@
 how big the input is, and where lineage may be cut."""
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +46,11 @@ def resolve_method(df: DataFrame, method: str) -> str:
     return "window" if size is not None and size <= limit else "split"
 
 
-def _shared_folder(spark) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="paneloom-")
-        sc.setCheckpointDir(named)
-    return named
+def shared_folder(spark) -> str:
+    """The folder the cluster names for checkpoints; where none is named, a folder of the warehouse, which
+    driver and executors share as well. Never a machine-local temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
 _COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Expand|Union|Sort|Distinct|RepartitionByExpression|RDD)\b")
@@ -77,6 +73,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and read them back: what follows survives lost
     executors without redoing what came before, reads only the columns it needs, and starts from
     a relation of known size."""
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/paneloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/paneloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
