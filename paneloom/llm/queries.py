@@ -2,13 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media
+from paneloom.llm import media, simhash
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_near_dedup(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_media_columns(spark, sf_dir):
     m = media.index(media.pack(table(spark, sf_dir, "documents")))
     last = F.element_at("keyframes", -1)
@@ -20,6 +25,7 @@ def op6_media_columns(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op6_media_columns": op6_media_columns,
 }
 ORACLES = {}
