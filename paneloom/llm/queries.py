@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, simhash
+from paneloom.llm import media, quality_lm, simhash
 
 
 def table(spark, sf_dir, name):
@@ -24,8 +24,13 @@ def op6_media_columns(spark, sf_dir):
         F.size("keyframes").cast("long").alias("n_keyframes"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality_lm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
 }
 ORACLES = {}
