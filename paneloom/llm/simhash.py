@@ -4,9 +4,10 @@ Two fingerprints within `tau` bits agree, in at least one of m groups of bits, w
 the thresholds sum to tau - m + 1. Correlated bits share a group; a dynamic program chooses unequal thresholds by the
 estimated number of candidates; each fingerprint probes every value within the threshold and candidates are verified.
 
-Values that many fingerprints share ("warm" values, e.g. within a large group of near copies) would make candidates
-grow with the square of their number. Every fingerprint in or within reach of a warm value goes another, exact way
-instead: it is sent to all points within tau/2 bits of it, and all that meet at a point are linked to one of them.
+Values that many fingerprints share ("warm" values, e.g. within a large group of near copies) would make the links grow
+with the square of their number. The fingerprints in or within reach of a warm value go another, exact way instead:
+they are dealt into blocks of bounded size, each pair of blocks is compared in memory as whole matrices, and only the
+links of a spanning forest leave it.
 
 Defined results: NULL and empty texts have the fingerprint zero and are linked like any other; repeated rows and equal
 texts share a fingerprint; a component is named by its smallest non-NULL id; only the named columns are read.
@@ -15,6 +16,7 @@ texts share a fingerprint; a component is named by its smallest non-NULL id; onl
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +26,7 @@ from paneloom.llm.media import small_batches
 
 BITS = 64
 PIECE = 1 << 16      # shingles counted at once
+BLOCK = 1024         # fingerprints of a block
 
 
 def fingerprint(text, words_per_shingle=4) -> int:
@@ -161,18 +164,37 @@ def links(fps: DataFrame, tau=4, groups=3, warm=32) -> DataFrame:
     kept = cool.select("part", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
     on = (probes["part"] == kept["part"]) & (probes["key"] == kept["key"]) & (F.col("a") < F.col("b")) & near
-    light = probes.join(kept, on).select("a", "b").distinct()
-
-    reach = hot.select("part", spread(F.col("key")).alias("key")).distinct()
-    dense = stored(values.join(reach, ["part", "key"], "left_semi").select("fp").distinct())
-    close, far = flips(range(BITS), tau // 2), flips(range(BITS), tau - tau // 2)
-    at = dense.select("fp", F.posexplode(F.lit(far)).alias("i", "m")).select(
-        "fp", fp.bitwiseXOR(F.col("m")).alias("point"), (F.col("i") < len(close)).alias("close"))
-    first = at.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("low"), F.min("fp").alias("l"), F.max("fp").alias("h")).where("low is not null and l < h").select("point", "low")
-    met = at.join(first, "point").where(fp != F.col("low")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    # probes are many times the rows they come from, which size estimates do not see: never a broadcast
+    light = probes.hint("merge").join(kept, on).select("a", "b").distinct()
+
+    reach = hot.select("part", "key", spread(F.col("key")).alias("near")).select("part", F.col("key").alias("warm"), F.col("near").alias("key"))
+    dense = stored(values.join(reach, ["part", "key"]).select("part", "warm", "fp"))
+    blocks = dense.groupBy("part", "warm").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = dense.join(blocks, ["part", "warm"]).select("part", "warm", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = pairs.groupBy("part", "warm", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInPandas(
+        lambda pdf: spanning(pdf["fp"].to_numpy(), tau), "a long, b long").distinct()
     return light.unionByName(met)
 
 
+def spanning(fps, tau):
+    """Links of a spanning forest of the fingerprints within tau bits of each other."""
+    x = np.unique(fps).view(np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= tau
+    a, b, new = [], [], np.ones(len(x), bool)
+    for start in range(len(x)):
+        front = np.array([start]) if new[start] else np.array([], np.int64)
+        new[start] = False
+        while len(front):
+            reached = np.flatnonzero(near[front].any(0) & new)
+            a.append(front[near[np.ix_(front, reached)].argmax(0)])
+            b.append(reached)
+            new[reached] = False
+            front = reached
+    a, b = (np.concatenate(v) if v else np.array([], np.int64) for v in (a, b))
+    return pd.DataFrame({"a": x[a].view(np.int64), "b": x[b].view(np.int64)})
+
+
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=4, tau=4, groups=3) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest id that a chain of links reaches)."""
     marked = stored(fingerprints(docs, id_col, text_col, words_per_shingle))
