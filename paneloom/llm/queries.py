@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, quality_lm, simhash
+from paneloom.llm import media, pii, quality_lm, simhash
 
 
 def table(spark, sf_dir, name):
@@ -24,12 +24,18 @@ def op6_media_columns(spark, sf_dir):
         F.size("keyframes").cast("long").alias("n_keyframes"))
 
 
+def op5_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_classifier(spark, sf_dir):
     return quality_lm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
 }
