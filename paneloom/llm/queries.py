@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, pii, quality_lm, simhash
+from paneloom.llm import media, mixing, pii, quality_lm, simhash
 
 
 def table(spark, sf_dir, name):
@@ -33,10 +33,44 @@ def op7_quality_classifier(spark, sf_dir):
     return quality_lm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+DOMAINS = {f"src{i}": "web" if i < 10 else "books" if i < 15 else "code" for i in range(20)}
+WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.select(table(spark, sf_dir, "documents"), DOMAINS, WEIGHTS, share=(1, 2), max_epochs=2, seed="mix")
+
+
+def cases(column, table, default):
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {default!r} END"
+
+
+def shared_sql(name, children, parent, level):
+    """DuckDB form of one level of sharing: the full children are those whose share of what the fuller ones leave fills them."""
+    part = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    keys = ", ".join([*parent, level])
+    return f"""
+{name}_a AS (SELECT *, greatest(total - coalesce(sum(cap) OVER ({part} ORDER BY cap / weight, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS lft,
+  sum(weight) OVER ({part} ORDER BY cap / weight, {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM ({children})),
+{name}_b AS (SELECT *, cap * ws <= lft * weight AS is_full FROM {name}_a),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE least(cap, (weight * arg_max(lft, ws) FILTER (NOT is_full) OVER ({part})) // (max(ws) FILTER (NOT is_full) OVER ({part}))) END AS budget FROM {name}_b)"""
+
+
+OP10_SQL = f"""WITH d AS (SELECT doc_id, {cases("source", DOMAINS, "other")} AS domain, lang, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS t, sum(tokens)::HUGEINT * 2 AS cap FROM d GROUP BY ALL),
+{shared_sql("n1", f"SELECT domain, sum(cap)::HUGEINT AS cap, ({cases('domain', WEIGHTS['domain'], 1)})::HUGEINT AS weight, (SELECT sum(t) // 2 FROM leaf)::HUGEINT AS total FROM leaf GROUP BY domain", [], "domain").strip()},
+{shared_sql("n2", f"SELECT l.*, budget AS total FROM (SELECT domain, lang, sum(cap)::HUGEINT AS cap, ({cases('lang', WEIGHTS['lang'], 1)})::HUGEINT AS weight FROM leaf GROUP BY domain, lang) l JOIN n1 USING (domain)", ["domain"], "lang").strip()},
+{shared_sql("n3", f"SELECT l.*, budget AS total FROM (SELECT domain, lang, source, cap, ({cases('source', WEIGHTS['source'], 1)})::HUGEINT AS weight FROM leaf) l JOIN n2 USING (domain, lang)", ["domain", "lang"], "source").strip()},
+p AS (SELECT domain, lang, source, CASE WHEN t > 0 THEN budget // t ELSE 0 END AS epochs, CASE WHEN t > 0 THEN budget % t ELSE budget END AS rest FROM n3 JOIN leaf USING (domain, lang, source)),
+x AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix:' || epochs || ':' || doc_id), doc_id) AS upto FROM d JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM x WHERE epochs > 0 OR upto <= rest"""
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
+    "op10_mixing": op10_mixing,
 }
-ORACLES = {}
+ORACLES = {"op10_mixing": OP10_SQL}
