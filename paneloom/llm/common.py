@@ -2,6 +2,8 @@
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneloom.session import shared_folder
@@ -48,3 +50,39 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def small_batches(batches, limit=8 << 20):
+    """The same rows in pieces of about `limit` bytes, so that long texts never meet in one large batch."""
+    for b in batches:
+        rows = max(1, b.num_rows * limit // max(limit, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as compressed Arrow."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows that `dealt` packed, from the `rows` of one block."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("rows").to_pylist()])
+
+
+def dealt(df: DataFrame, blocks: int) -> DataFrame:
+    """The rows of df, whose last column is the number of their block, as (block, rows) with all rows of a block in one
+    partition. Rows are compressed before they are moved, as whole texts are most of what a shuffle would carry."""
+    def run(batches):
+        for b in small_batches(batches, 32 << 20):
+            place = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")
+            groups = [g for g in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(g)]
+            rows = b.select(range(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([pa.array([place[g[0]] for g in groups], pa.int32()),
+                                              pa.array([packed(rows.take(pa.array(g))) for g in groups], pa.binary())], ["block", "rows"])
+
+    return df.mapInArrow(run, "block int, rows binary").repartition(blocks, "block")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paneloom.llm.common import small_batches
+
 UNIT = 64            # bytes of one sample
 CHUNK = 256          # samples of one chunk
 SYNC = 16            # one sample in so many is listed as a point of random access
@@ -144,14 +146,6 @@ def read_payload(data, index: dict) -> bytes:
     return b"".join(bytes(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist()))
 
 
-def small_batches(batches, limit=8 << 20):
-    """The same rows in pieces of about `limit` bytes, so that long texts never meet in one large batch."""
-    for b in batches:
-        rows = max(1, b.num_rows * limit // max(limit, b.nbytes))
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def pack(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One media file for each row, its payload the padded UTF-8 text."""
     def run(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paneloom.llm import tagger
-from paneloom.llm.media import small_batches
+from paneloom.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)            # outside, then first and further characters of each kind

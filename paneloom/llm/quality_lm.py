@@ -12,10 +12,10 @@ repeated rows get equal results, NULL ids included; only the named columns are r
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paneloom.llm.common import stored
+from paneloom.llm.common import dealt, stored, unpacked
 
 ORDER = 3
 SHIFT = 21                            # bits of a symbol
@@ -93,7 +93,7 @@ class Block:
         return np.add.reduceat(each, np.cumsum(self.lengths) - self.lengths)
 
 
-def dealt(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
+def together(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
     """Documents and labels in one frame, dealt into blocks by id."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
                     F.lit(None).cast("int").alias("good"))
@@ -101,74 +101,73 @@ def dealt(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
     n = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"),
                                                   F.coalesce(good, F.lit(False)).cast("int").alias("good"))
     block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int")
-    return d.unionByName(n).withColumn("block", block).repartition(blocks, "block")
+    return dealt(d.unionByName(n).withColumn("block", block), blocks)
 
 
-def split(pdf):
+def split(table: pa.Table):
     """The documents of a block, with columns trusted and held_out."""
-    votes = pdf[pdf["good"].notna()].groupby("doc_id")["good"].min()
-    docs = pdf[pdf["good"].isna()].reset_index(drop=True)
-    docs["trusted"] = docs["doc_id"].map(votes).fillna(0) == 1
-    docs["held_out"] = docs["trusted"] & (mixed(docs["doc_id"].fillna(0).to_numpy().astype(np.int64)) % np.uint64(HELD_OUT) == 0)
+    pdf = unpacked(table).to_pandas(integer_object_nulls=True)
+    is_doc = pdf["good"].isna()
+    votes = pdf[~is_doc].groupby("doc_id")["good"].min()
+    docs = pdf[is_doc].reset_index(drop=True)
+    docs["trusted"] = docs["doc_id"].map(votes).fillna(0).astype(int) == 1
+    folds = mixed(np.array([0 if i is None else i for i in docs["doc_id"]], np.int64)) % np.uint64(HELD_OUT)
+    docs["held_out"] = docs["trusted"] & (folds == 0)
     return docs
 
 
-def count_block(pdf):
-    docs = split(pdf)
-    if docs.empty:
-        return pd.DataFrame({"block": [], "gram": [], "n": []}).astype({"block": "int32", "gram": "int64", "n": "int64"})
-    g, _, n = Block(docs["text"]).counts(docs["trusted"] & ~docs["held_out"])
-    return pd.DataFrame({"block": np.full(len(g), pdf["block"].iloc[0], np.int32), "gram": g, "n": n})
-
-
-def score_block(pdf, model):
-    docs = split(pdf)
-    if docs.empty:
-        return pd.DataFrame({c: [] for c in ("doc_id", "lang", "n_symbols", "log_chance", "held_out")})
-    b = Block(docs["text"])
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_symbols": b.lengths,
-                         "log_chance": b.sums(model["gram"].to_numpy(), model["logp"].to_numpy()), "held_out": docs["held_out"]})
-
-
-def chances(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gram, logp) of each wanted trigram, by interpolated modified Kneser-Ney from the counted trigrams (gram, c)."""
-    def tail(k):
-        return F.col("gram").bitwiseAND(F.lit((1 << SHIFT * (k - 1)) - 1))
-
-    def level(k, want, c):
-        n = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double") for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        # i - (i + 1) Y n[i+1] / n[i], within 0 and i; where a count of counts is zero, no more than is left to discount
-        step = [F.greatest(F.lit(0.0), F.least(F.lit(float(i + 1)), F.coalesce(i + 1 - (i + 2) * F.try_divide(y0 * n[i + 1], n[i]), F.lit(0.5 * (i + 1)))))
-                for i, y0 in enumerate([F.coalesce(F.try_divide(n[0], n[0] + 2 * n[1]), F.lit(0.0))] * 3)]
-        d = c.agg(*(s.alias(f"d{i + 1}") for i, s in enumerate(step))).withColumn("k", F.lit(k))
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        # one row, so bounded
-        c = c.withColumn("k", F.lit(k)).join(F.broadcast(d), "k").select("gram", "c", cut.alias("cut"))
-        context = c.groupBy(F.shiftright("gram", SHIFT).alias("context")).agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("spare"))
-        if k == 1:
-            size = want.agg(F.count("*").cast("double").alias("size")).withColumn("context", F.lit(0).cast("long"))
-            lower = want.withColumn("context", F.lit(0).cast("long")).join(F.broadcast(size), "context").select("gram", (1 / F.col("size")).alias("lower"), "context")
-        else:
-            low = level(k - 1, want.select(tail(k).alias("gram")).distinct(), c.groupBy(tail(k).alias("gram")).agg(F.count("*").alias("c")))
-            lower = (want.withColumn("rest", tail(k)).join(low.withColumnRenamed("gram", "rest").withColumnRenamed("p", "lower"), "rest")
-                     .select("gram", "lower", F.shiftright("gram", SHIFT).alias("context")))
-        own = F.coalesce((F.col("c") - F.col("cut")) / F.col("total"), F.lit(0.0))
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own + F.col("spare") / F.col("total") * F.col("lower"))
-        return lower.join(c, "gram", "left").join(context, "context", "left").select("gram", p.alias("p"))
-
-    return level(ORDER, wanted, counts).select("gram", F.log("p").alias("logp"))
+def count_block(table: pa.Table) -> pa.Table:
+    docs = split(table)
+    g, _, n = Block(docs["text"]).counts(docs["trusted"] & ~docs["held_out"]) if len(docs) else ([], [], [])
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(g), pa.int32()), "gram": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def score_block(table: pa.Table, model: pa.Table) -> pa.Table:
+    docs = split(table)
+    sums, lengths = [], []
+    if len(docs):
+        b = Block(docs["text"])
+        sums, lengths = b.sums(model.column("gram").to_numpy(), model.column("logp").to_numpy()), b.lengths
+    return pa.table({"doc_id": pa.array(list(docs["doc_id"]), pa.int64()), "lang": pa.array(list(docs["lang"]), pa.string()), "n_symbols": pa.array(lengths, pa.int64()),
+                     "log_chance": pa.array(sums, pa.float64()), "held_out": pa.array(docs["held_out"], pa.bool_())})
+
+
+def discounts(n1, n2, n3, n4):
+    """What is taken from counts of 1, 2 and 3 or more: i - (i + 1) Y n[i+1] / n[i], within 0 and i."""
+    n = [float(x or 0) for x in (n1, n2, n3, n4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    return [max(0.0, min(i, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+
+def chances(wanted: DataFrame, counts: DataFrame, k=ORDER) -> DataFrame:
+    """(gram, p) of each wanted k-gram, by interpolated modified Kneser-Ney from the counted ones (gram, c). Lower
+    orders count in how many contexts a gram occurs."""
+    rest = F.col("gram").bitwiseAND(F.lit((1 << SHIFT * (k - 1)) - 1))
+    c = F.col("c")
+    d = discounts(*counts.agg(*(F.sum((c == i).cast("long")) for i in (1, 2, 3, 4))).first())
+    cut = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+    seen = counts.select("gram", "c", cut.alias("cut"))
+    context = seen.groupBy(F.shiftright("gram", SHIFT).alias("context")).agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("spare"))
+    if k == 1:
+        lower = wanted.select("gram", F.lit(1.0 / max(1, wanted.count())).alias("lower"))
+    else:
+        low = chances(stored(wanted.select(rest.alias("gram")).distinct()), stored(counts.groupBy(rest.alias("gram")).agg(F.count("*").alias("c"))), k - 1)
+        lower = wanted.withColumn("rest", rest).join(stored(low.withColumnsRenamed({"gram": "rest", "p": "lower"})), "rest").select("gram", "lower")
+    own = F.coalesce((c - F.col("cut")) / F.col("total"), F.lit(0.0))
+    p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own + F.col("spare") / F.col("total") * F.col("lower"))
+    return (lower.join(seen, "gram", "left").withColumn("context", F.shiftright("gram", SHIFT)).join(context, "context", "left")
+            .select("gram", p.alias("p")))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, block_chars=BLOCK_CHARS) -> DataFrame:
     """doc_id, lang, n_symbols, log_chance, perplexity, held_out for each row of docs."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    x = dealt(docs, labels, 1 + size // block_chars)
-    asked = x.groupBy("block").applyInPandas(count_block, "block int, gram long, n long").repartition("gram")
-    grams = asked.groupBy("gram").agg(F.sum("n").alias("c"), F.min("block").alias("some"))
-    model = chances(grams.select("gram"), grams.where("c > 0").select("gram", "c"))
-    answers = asked.join(model, "gram").select("block", "gram", "logp", "n")
-    scored = x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    x = together(docs, labels, 1 + size // block_chars)
+    asked = stored(x.groupBy("block").applyInArrow(count_block, "block int, gram long, n long"))
+    grams = stored(asked.groupBy("gram").agg(F.sum("n").alias("c")))
+    model = chances(grams.select("gram"), grams.where("c > 0")).select("gram", F.log("p").alias("logp"))
+    answers = asked.join(model, "gram").select("block", "gram", "logp")
+    scored = x.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score_block, "doc_id long, lang string, n_symbols long, log_chance double, held_out boolean")
     return scored.select("doc_id", "lang", "n_symbols", "log_chance",
                          F.exp(-F.col("log_chance") / F.col("n_symbols")).alias("perplexity"), "held_out")

@@ -21,8 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from paneloom.llm.common import components, stored
-from paneloom.llm.media import small_batches
+from paneloom.llm.common import components, small_batches, stored
 
 BITS = 64
 PIECE = 1 << 16      # shingles counted at once
