@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, mixing, pii, quality_lm, simhash
+from paneloom.llm import media, mixing, pieces, pii, quality_lm, simhash
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark, sf_dir, name):
@@ -24,6 +26,13 @@ def op6_media_columns(spark, sf_dir):
         F.size("keyframes").cast("long").alias("n_keyframes"))
 
 
+def op3_sentencepiece(spark, sf_dir, model=MODEL):
+    v = pieces.Vocabulary.load(model)
+    got = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), v), v)
+    return got.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.hex(F.xxhash64("ids")).alias("ids_hash"),
+                      (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op5_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.scan(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
@@ -68,6 +77,7 @@ SELECT doc_id, domain, lang, source, tokens, (epochs + CASE WHEN upto <= rest TH
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
