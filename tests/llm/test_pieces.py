@@ -62,18 +62,17 @@ def test_pieces_across_atoms_are_refused():
 
 
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
-def test_the_library_agrees(spark, tmp_path):
-    """The library itself finds the best paths over the same pieces when the model says it is a unigram one."""
+def test_public_model(spark):
+    """Round trip of whole documents; words against plain Viterbi; and next to the library, whose model merges pairs
+    greedily instead, so that a few words differ."""
     from sentencepiece import SentencePieceProcessor
-    other = tmp_path / "unigram.model"
-    other.write_bytes(open(MODEL, "rb").read() + b"\x12\x02\x18\x01")
-    sp = SentencePieceProcessor(model_file=str(other))
+    sp = SentencePieceProcessor(model_file=MODEL)
     v = pieces.Vocabulary.load(MODEL)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["text"] == texts[r["id"]] for r in pieces.decode(pieces.encode(docs, v), v).collect())
-    # the library adds in single precision, so only short texts without unknown characters can be held to be equal
     words = sorted({w for t in texts.values() for w in t.split()})[::7]
     got = pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), v).collect()
     assert len(got) == len(words) > 1000
-    assert [words[r["id"]] for r in got if r["ids"] != sp.encode(words[r["id"]])] == []
+    assert all(r["ids"] == plain(v, words[r["id"]]) for r in got)
+    assert sum(r["ids"] == sp.encode(words[r["id"]]) for r in got) > 0.98 * len(words)
