@@ -62,17 +62,19 @@ def test_pieces_across_atoms_are_refused():
 
 
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
-def test_public_model(spark):
-    """Round trip of whole documents; words against plain Viterbi; and next to the library, whose model merges pairs
-    greedily instead, so that a few words differ."""
+def test_public_model(spark, tmp_path):
+    """Round trip of whole documents, and words against plain Viterbi and against the library, which finds best paths
+    itself when the model's kind is set to unigram (it adds in single precision and prunes, so a few paths differ)."""
     from sentencepiece import SentencePieceProcessor
-    sp = SentencePieceProcessor(model_file=MODEL)
+    other = tmp_path / "unigram.model"
+    other.write_bytes(open(MODEL, "rb").read() + b"\x12\x02\x18\x01")
+    sp = SentencePieceProcessor(model_file=str(other))
     v = pieces.Vocabulary.load(MODEL)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["text"] == texts[r["id"]] for r in pieces.decode(pieces.encode(docs, v), v).collect())
     words = sorted({w for t in texts.values() for w in t.split()})[::7]
     got = pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), v).collect()
-    assert len(got) == len(words) > 1000
+    assert len(got) == len(words) > 500
     assert all(r["ids"] == plain(v, words[r["id"]]) for r in got)
     assert sum(r["ids"] == sp.encode(words[r["id"]]) for r in got) > 0.98 * len(words)
