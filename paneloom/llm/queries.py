@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, mixing, pieces, pii, quality_lm, simhash
+from paneloom.llm import media, mixing, pieces, pii, quality_lm, simhash, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -11,6 +11,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_filters(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -75,7 +82,37 @@ x AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5
 SELECT doc_id, domain, lang, source, tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM x WHERE epochs > 0 OR upto <= rest"""
 
 
+CANON = """CASE WHEN {h} <> '' THEN regexp_replace({h}, '^(www|m)[.]', '') || regexp_replace({p}, '/+$', '') ||
+  CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END END"""
+QUERY = "regexp_replace(regexp_replace(regexp_extract({r}, '^[^?#]*[?]([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '')"
+HOST, PATH = "translate(regexp_extract({r}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "regexp_extract({r}, '^[^/?#]*([^?#]*)', 1)"
+REST = "coalesce(CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) END, '')"
+OP1_SQL = f"""WITH RECURSIVE r AS (SELECT page_id, {REST.format(u='url')} AS rest, html FROM pages),
+s AS (SELECT page_id, {HOST.format(r='rest')} AS host, {PATH.format(r='rest')} AS path, {QUERY.format(r='rest')} AS q, html FROM r),
+p AS (SELECT *, {CANON.format(h='host', p='path', q='q')} AS key FROM s),
+t AS (SELECT key, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\s[^>]*>')) AS tag FROM p),
+o AS (SELECT key, host, path, replace(CASE WHEN regexp_matches(tag, '(?i)^<link\\s') AND regexp_matches(tag, '(?i)\\srel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)^<meta\\s') AND regexp_matches(tag, '(?i)\\shttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) END, '&amp;', '&') AS dest FROM t),
+w AS (SELECT key, CASE WHEN contains(dest, '://') THEN dest WHEN starts_with(dest, '//') THEN 'http:' || dest WHEN starts_with(dest, '/') THEN 'http://' || host || dest
+  ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || dest END AS u FROM o WHERE dest <> ''),
+x AS (SELECT key, {REST.format(u='u')} AS rest FROM w),
+y AS (SELECT key AS a, {HOST.format(r='rest')} AS h, {PATH.format(r='rest')} AS p, {QUERY.format(r='rest')} AS q FROM x),
+e AS (SELECT a, {CANON.format(h='h', p='p', q='q')} AS b, h AS host, p AS path FROM y),
+named AS (SELECT DISTINCT key, host, path FROM p WHERE key IS NOT NULL UNION SELECT b, host, path FROM e WHERE b IS NOT NULL),
+both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+cls AS (SELECT a AS key, min(b) AS alias_of FROM reach GROUP BY a),
+rules(verdict, rh, rp, rule) AS (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'), ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')),
+own AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT host, path FROM named) d JOIN rules
+  ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+k AS (SELECT coalesce(cls.alias_of, key) AS alias_of, verdict FROM named LEFT JOIN own USING (host, path) LEFT JOIN cls USING (key)),
+m AS (SELECT p.*, own.rule, own.verdict, coalesce(cls.alias_of, p.key) AS alias_of FROM p LEFT JOIN own USING (host, path) LEFT JOIN cls USING (key)),
+c AS (SELECT alias_of, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' ELSE 'allow' END AS shared FROM k GROUP BY alias_of)
+SELECT page_id, host, path, rule, coalesce(verdict, shared, 'allow') AS verdict, m.alias_of FROM m LEFT JOIN c ON m.alias_of = c.alias_of"""
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_pii": op5_pii,
@@ -83,4 +120,4 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op10_mixing": OP10_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op10_mixing": OP10_SQL}
