@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import media, mixing, pieces, pii, quality_lm, simhash, url_filter
+from paneloom.llm import graph_ann, media, mixing, pieces, pii, quality_lm, simhash, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -49,6 +49,11 @@ def op7_quality_classifier(spark, sf_dir):
     return quality_lm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(v, v.where("vec_id % 20 = 0"), k=20)
+
+
 DOMAINS = {f"src{i}": "web" if i < 10 else "books" if i < 15 else "code" for i in range(20)}
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op10_mixing": OP10_SQL}
