@@ -156,7 +156,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
         return pa.table({"shard": pa.array(list(asked), pa.int32()), "block": pa.array([block] * len(asked), pa.int32()),
                          "words": pa.array([" ".join(w) for w in asked.values()], pa.string())})
 
-    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words string").repartition("shard")
+    # a task for each shard: the lattices of its words are sorted in memory
+    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words string").repartition(SHARDS * (1 + (blocks - 1) // TOGETHER), "shard")
     atoms = asked.select("shard", "block", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.min("block").alias("some"))
     known = encode_atoms(atoms, v.frame(spark), v.longest).withColumnRenamed("shard", "of")
 
