@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import graph_ann, media, mixing, pieces, pii, quality_lm, simhash, url_filter
+from paneloom.llm import graph_ann, media, mixing, pieces, pii, quality_lm, simhash, token_shards, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark, sf_dir, name):
@@ -54,6 +55,11 @@ def op8_nearest_neighbours(spark, sf_dir):
     return graph_ann.nearest(v, v.where("vec_id % 20 = 0"), k=20)
 
 
+def op9_token_shards(spark, sf_dir, ranks=RANKS):
+    found = token_shards.materialise(table(spark, sf_dir, "documents"), token_shards.ranks_of(ranks), key=20240607)
+    return found.select("shard", "first_slot", "n_sequences", F.length("payload").cast("long").alias("n_bytes"), "sha256")
+
+
 DOMAINS = {f"src{i}": "web" if i < 10 else "books" if i < 15 else "code" for i in range(20)}
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
 
@@ -124,6 +130,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_token_shards": op9_token_shards,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op10_mixing": OP10_SQL}
