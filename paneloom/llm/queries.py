@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import graph_ann, media, mixing, pieces, pii, quality_lm, simhash, token_shards, url_filter
+from paneloom.llm import graph_ann, license_scan, media, mixing, pieces, pii, quality_lm, simhash, token_shards, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,6 +41,12 @@ def op3_sentencepiece(spark, sf_dir, model=MODEL):
                       (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op4_license_scan(spark, sf_dir):
+    """Sources are taken for repositories, their languages and thousands of ids for directories."""
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 1000).cast("long"), "doc_id")
+    return license_scan.scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op5_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.scan(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
@@ -60,6 +66,36 @@ def op9_token_shards(spark, sf_dir, ranks=RANKS):
     return found.select("shard", "first_slot", "n_sequences", F.length("payload").cast("long").alias("n_bytes"), "sha256")
 
 
+def literal(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+SQL_TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+OP4_SQL = f"""WITH templates(template, license, text) AS (VALUES {", ".join(f"({i}, {literal(n)}, {literal(t)})" for i, (n, t) in enumerate(license_scan.TEMPLATES))}),
+lists AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({SQL_TERMS.format("text")}) AS term FROM templates) GROUP BY ALL),
+files AS (SELECT doc_id, concat_ws('/', source, lang, (doc_id // 1000)::VARCHAR, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+n AS (SELECT count(*) AS n FROM files),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({SQL_TERMS.format("text")})) AS term FROM files) GROUP BY term),
+idf AS (SELECT DISTINCT term, ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf FROM lists LEFT JOIN df USING (term), n),
+wt AS (SELECT template, license, term, tf * idf AS w, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY template)) AS len FROM lists JOIN idf USING (term)),
+texts AS (SELECT DISTINCT text, string_split(text, chr(10)) AS l FROM files),
+win AS (SELECT text, 0 AS lines, 0 AS i, array_to_string(l, ' ') AS piece FROM texts
+  {" ".join(f"UNION ALL SELECT text, {w}, i, array_to_string(l[i + 1:i + {w}], ' ') FROM (SELECT text, l, unnest(range(0, len(l), {s})) AS i FROM texts)" for w, s in license_scan.WINDOWS)}),
+tf AS (SELECT text, lines, i, term, count(*) AS tf FROM (SELECT text, lines, i, unnest({SQL_TERMS.format("piece")}) AS term FROM win) GROUP BY ALL),
+val AS (SELECT text, lines, i, term, tf * coalesce(idf, ln(n + 1.0::DOUBLE) + 1) AS x FROM tf LEFT JOIN idf USING (term), n),
+norm AS (SELECT text, lines, i, sqrt(sum(x * x)) AS norm FROM val GROUP BY ALL),
+dot AS (SELECT text, lines, i, template, license, sum(x * w) AS dot, max(len) AS len FROM val JOIN wt USING (term) GROUP BY ALL),
+near AS (SELECT *, round(dot / norm / len, 6) AS score FROM dot JOIN norm USING (text, lines, i) WHERE round(dot / norm / len, 6) >= {license_scan.LEAST}),
+own AS (SELECT text, min({{'s': -score, 'l': license}}) FILTER (lines > 0) AS header, min({{'s': -score, 'l': license}}) FILTER (lines = 0) AS whole FROM near GROUP BY text),
+m AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, whole, coalesce(header, whole) AS own,
+  whole IS NOT NULL OR (coalesce(header, whole) IS NOT NULL AND regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying)([.-].*)?$')) AS licence_file FROM files LEFT JOIN own USING (text)),
+granted AS (SELECT dir AS from_dir, min(coalesce(whole, own)).l AS granted FROM m WHERE licence_file GROUP BY dir),
+up AS (SELECT DISTINCT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS from_dir FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM m))),
+nearest AS (SELECT dir, arg_max(from_dir, length(from_dir)) AS from_dir, arg_max(granted, length(from_dir)) AS granted FROM up JOIN granted USING (from_dir) GROUP BY dir)
+SELECT doc_id, path, coalesce(own.l, granted) AS license, CASE WHEN own IS NOT NULL THEN 'header' WHEN granted IS NOT NULL THEN 'inherited' END AS how, -own.s AS score,
+  licence_file, CASE WHEN own IS NULL THEN from_dir END AS from_dir FROM m LEFT JOIN nearest USING (dir)"""
+
+
 DOMAINS = {f"src{i}": "web" if i < 10 else "books" if i < 15 else "code" for i in range(20)}
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
 
@@ -126,6 +162,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_license_scan": op4_license_scan,
     "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op6_media_columns": op6_media_columns,
@@ -133,4 +170,4 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL}
