@@ -1,29 +1,26 @@
 """Exact order statistics within groups, at any group size.
 
-Every cross-sectional operator (percentile rank, winsorising, rank correlation, quantile
-spread, false-discovery control) needs, for each row, three counts inside its group:
-rows below it, rows tied with it, rows in total. Two plans give the same counts:
-
-* window: one exchange on the group keys, one sort. Best when groups fit a task.
-* split:  ties are first folded by (keys, value) with map-side combine; distinct values are
-          then cut into value buckets by a fixed monotone function, so a group holding a third
-          of all rows is spread over many tasks. Bucket totals are prefix-summed (a short list
-          per group) and added to the counts inside the bucket. Counts return to the rows by an
-          equi-join on (keys, value), whose hot values AQE splits.
+Every cross-sectional operator (percentile rank, winsorising, rank correlation, quantile spread, false-discovery control)
+needs, for each row, three counts inside its group: rows below it, rows tied with it, rows in total. One plan gives them at
+every size, without a task that holds a group: ties are folded by (keys, value) with map-side combine; the distinct values of
+a group are cut into buckets at quantiles of a mergeable sketch, so that buckets are even whatever the values are (where
+the cuts lie does not change the counts); bucket totals are prefix-summed, a short list per group, and added to the
+counts inside the bucket. The counts return to the rows by an equi-join on (keys, value), whose hot values AQE splits.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from paneloom.session import made_once, resolve_method
+BUCKETS = 64
 
-BUCKETS_PER_OCTAVE = 1024
 
-
-def value_bucket(v):
-    """Monotone bucket number of a double: logarithmic in magnitude, zero on its own.
-    A pure function of the value, so every branch of a plan agrees on it."""
-    mag = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE).cast("long") + 1100 * BUCKETS_PER_OCTAVE
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("long"))
+def _bucketed(folded: DataFrame, keys, value) -> DataFrame:
+    """Adds `__b`, the number of the group's cuts below the value, and `n_total`, to distinct values with their counts `n`.
+    NaN is above all numbers, infinities are values like any other."""
+    cuts = folded.groupBy(*keys).agg(
+        F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 50 * BUCKETS).alias("__cuts"),
+        F.sum("n").alias("n_total"))
+    number = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    return null_safe_join(folded, cuts, keys, "inner").withColumn("__b", number).drop("__cuts")
 
 
 def null_safe_join(left, right, keys, how="left"):
@@ -38,40 +35,23 @@ def null_safe_join(left, right, keys, how="left"):
 
 
 def distinct_profile(df: DataFrame, keys, value) -> DataFrame:
-    """One row per (keys, value): n, n_below, n_total. The split plan's core."""
-    folded = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("__b", value_bucket(F.col(value))))
+    """One row per (keys, value): n, n_below, n_total."""
+    folded = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    folded = _bucketed(folded, keys, value)
     totals = folded.groupBy(*keys, "__b").agg(F.sum("n").alias("__bn"))
-    by_bucket = W.partitionBy(*keys).orderBy("__b")
-    totals = totals.select(
-        *keys, "__b",
-        F.coalesce(F.sum("__bn").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__before"),
-        F.sum("__bn").over(W.partitionBy(*keys)).alias("n_total"))
+    by_bucket = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__bn").over(by_bucket), F.lit(0)).alias("__before"))
     inside = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = folded.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     out = null_safe_join(local, totals, [*keys, "__b"], "inner")
-    return out.select(*keys, value, "n", (F.col("__before") + F.col("__inside")).alias("n_below"),
-                      "n_total")
+    return out.select(*keys, value, "n", (F.col("__before") + F.col("__inside")).alias("n_below"), "n_total")
 
 
-def order_counts(df: DataFrame, keys, value, prefix="", method="auto") -> DataFrame:
+def order_counts(df: DataFrame, keys, value, prefix="") -> DataFrame:
     """Add <prefix>below, <prefix>ties, <prefix>total (NULL on rows whose value is NULL)."""
     keys = list(keys)
-    below, ties, total = f"{prefix}below", f"{prefix}ties", f"{prefix}total"
-    if resolve_method(df, method) == "window":
-        # one sort by (keys, value) serves all three frames; NULLs sort first and are subtracted
-        v, whole = F.col(value), W.partitionBy(*keys)
-        unknown = F.count(F.lit(1)).over(whole) - F.count(v).over(whole)
-        rank = F.rank().over(whole.orderBy(v))
-        return (df.withColumn(below, F.when(v.isNotNull(), rank - 1 - unknown))
-                .withColumn(ties, F.when(v.isNotNull(), F.count(v).over(W.partitionBy(*keys, value))))
-                .withColumn(total, F.when(v.isNotNull(), F.count(v).over(whole))))
-    # the rows are read twice (to count and to receive the counts), so they are made once
-    df = made_once(df)
-    prof = (distinct_profile(df, keys, value)
-            .withColumnsRenamed({"n": ties, "n_below": below, "n_total": total}))
+    prof = distinct_profile(df, keys, value).withColumnsRenamed(
+        {"n": f"{prefix}ties", "n_below": f"{prefix}below", "n_total": f"{prefix}total"})
     return null_safe_join(df, prof, [*keys, value], "left")
 
 
@@ -96,20 +76,16 @@ def quantile_parts(value, q, prefix=""):
     return out
 
 
-def suffix_min(df: DataFrame, keys, order, value, out, method="auto") -> DataFrame:
+def suffix_min(df: DataFrame, keys, order, value, out) -> DataFrame:
     """min of `value` over the rows at or after this one in `order`, ties included."""
     keys = list(keys)
-    if resolve_method(df, method) == "window":
-        w = W.partitionBy(*keys).orderBy(order).rangeBetween(W.currentRow, W.unboundedFollowing)
-        return df.withColumn(out, F.min(value).over(w))
-    df = made_once(df)
     folded = (df.where(F.col(order).isNotNull()).groupBy(*keys, order)
-              .agg(F.min(value).alias("__v")).withColumn("__b", value_bucket(F.col(order))))
+              .agg(F.min(value).alias("__v"), F.count(F.lit(1)).alias("n")))
+    folded = _bucketed(folded, keys, order)
     mins = folded.groupBy(*keys, "__b").agg(F.min("__v").alias("__bv"))
     mins = mins.select(*keys, "__b", F.min("__bv").over(
         W.partitionBy(*keys).orderBy("__b").rowsBetween(1, W.unboundedFollowing)).alias("__after"))
     inside = W.partitionBy(*keys, "__b").orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    local = folded.withColumn("__here", F.min("__v").over(inside))
-    local = null_safe_join(local, mins, [*keys, "__b"], "inner")
+    local = null_safe_join(folded.withColumn("__here", F.min("__v").over(inside)), mins, [*keys, "__b"], "inner")
     local = local.select(*keys, order, F.least("__here", "__after").alias(out))
     return null_safe_join(df, local, [*keys, order], "left")

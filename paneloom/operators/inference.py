@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from paneloom import vocab
 from paneloom.functions.expr import finite, student_t_p
 from paneloom.functions.ordered import order_counts, suffix_min
-from paneloom.session import resolve_method
 
 
 def ols(df: DataFrame, keys, x, y, min_dof=3) -> DataFrame:
@@ -30,13 +29,12 @@ def ols(df: DataFrame, keys, x, y, min_dof=3) -> DataFrame:
                     "beta", "se", "t_stat", student_t_p("t_stat", "dof").alias("p_value"), "n", "dof")
 
 
-def bh_fdr(df: DataFrame, p="p_value", family=(), out="q_value", method="auto") -> DataFrame:
+def bh_fdr(df: DataFrame, p="p_value", family=(), out="q_value") -> DataFrame:
     """Benjamini-Hochberg q per family. A missing p stays missing and is not counted."""
     family = list(family)
-    method = resolve_method(df, method)
-    c = order_counts(df, family, p, "__p_", method)
+    c = order_counts(df, family, p, "__p_")
     c = c.withColumn("__crit", F.col(p) * F.col("__p_total") / (F.col("__p_below") + F.col("__p_ties")))
-    c = suffix_min(c, family, p, "__crit", "__q", method)
+    c = suffix_min(c, family, p, "__crit", "__q")
     return (c.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("__q"))))
             .drop("__p_below", "__p_ties", "__p_total", "__crit", "__q"))
 
@@ -59,13 +57,13 @@ def pair_with_states(scores: DataFrame, states_wide: DataFrame, value="payoff_sl
     return scores.select("date", "factor", value).join(F.broadcast(long), "date")
 
 
-def interaction_tests(scores: DataFrame, states_wide: DataFrame, min_obs=12, fdr=0.10, method="auto") -> DataFrame:
+def interaction_tests(scores: DataFrame, states_wide: DataFrame, min_obs=12, fdr=0.10) -> DataFrame:
     """Regress each factor's payoff slope on each macro state; untestable pairs are left out and
     the family is the pairs tested."""
     pairs = pair_with_states(scores, states_wide).where("payoff_slope IS NOT NULL AND state IS NOT NULL")
     fit = ols(pairs, ["factor", "macro_state"], "state", "payoff_slope")
     fit = fit.where((F.col("n") >= min_obs) & F.col("beta").isNotNull())
-    fit = bh_fdr(fit, method=method)
+    fit = bh_fdr(fit)
     out = _finish_family(fit, fdr, F.count(F.lit(1)).over(W.partitionBy()))
     return out.select("factor", "macro_state", F.col("beta").alias("interaction_beta"), "t_stat", "p_value",
                       F.col("n").alias("n_periods"), F.col("alpha").alias("base_payoff"), "q_value",
@@ -82,7 +80,7 @@ def persistence_label(beta, significant):
             .when(beta > 0, F.lit(vocab.MOMENTUM)).otherwise(F.lit(vocab.REVERTING)))
 
 
-def payoff_persistence(scores: DataFrame, lags=(1, 4), min_obs=8, fdr=0.10, method="auto") -> DataFrame:
+def payoff_persistence(scores: DataFrame, lags=(1, 4), min_obs=8, fdr=0.10) -> DataFrame:
     """Regress each raw score on its own past; untestable pairs stay, with NULL estimates, and
     count towards the family size shown but not towards the correction."""
     w = W.partitionBy("factor").orderBy("date")
@@ -93,5 +91,5 @@ def payoff_persistence(scores: DataFrame, lags=(1, 4), min_obs=8, fdr=0.10, meth
     fit = ols(lagged, ["factor", "lag"], "past", "ic")
     enough = F.col("n") >= min_obs
     fit = fit.select("factor", "lag", *[F.when(enough, F.col(c)).alias(c) for c in ("beta", "t_stat", "p_value")], "n")
-    out = _finish_family(bh_fdr(fit, method=method), fdr, F.count(F.lit(1)).over(W.partitionBy()))
+    out = _finish_family(bh_fdr(fit), fdr, F.count(F.lit(1)).over(W.partitionBy()))
     return out.withColumn("classification", persistence_label(F.col("beta"), F.col("significant_fdr")))

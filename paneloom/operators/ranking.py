@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from paneloom.functions.expr import clip
 from paneloom.functions.ordered import (average_rank, distinct_profile, null_safe_join, order_counts,
                                         quantile_parts)
-from paneloom.session import made_once, resolve_method
 
 
 def to_long(panel: DataFrame, factors, ids) -> DataFrame:
@@ -13,25 +12,19 @@ def to_long(panel: DataFrame, factors, ids) -> DataFrame:
     return panel.unpivot(list(ids), [f for f in factors if f in panel.columns], "factor", "value")
 
 
-def pct_rank(df: DataFrame, keys, value, out="pct_rank", method="auto") -> DataFrame:
+def pct_rank(df: DataFrame, keys, value, out="pct_rank") -> DataFrame:
     """Average-tie rank over the group's non-missing count, in (0, 1]."""
-    c = order_counts(df, keys, value, "__p_", method)
+    c = order_counts(df, keys, value, "__p_")
     return (c.withColumn(out, average_rank("__p_") / F.col("__p_total"))
             .drop("__p_below", "__p_ties", "__p_total"))
 
 
-def _with_bounds(df, keys, value, lo, hi, method):
-    """Order counts plus, per group, the interpolated clip bounds and how many rows lie at or
-    beyond them. In the split plan all of it is worked out on the distinct values and reaches the
-    rows by one join."""
+def _with_bounds(df, keys, value, lo, hi):
+    """Order counts plus, per group, the interpolated clip bounds and how many rows lie at or beyond them. All of it is
+    worked out on the distinct values and reaches the rows by one join."""
     keys = list(keys)
     parts = {f"__{t}_{n}": e for t, q in (("lo", lo), ("hi", hi))
              for n, e in quantile_parts(value, q, "__q_").items()}
-    if method == "window":
-        w = W.partitionBy(*keys)
-        c = order_counts(df, keys, value, "__q_", method)
-        return _bounds(c.withColumns({n: e.over(w) for n, e in parts.items()})).drop(*parts)
-    df = made_once(df)
     prof = distinct_profile(df, keys, value).withColumnsRenamed(
         {"n": "__q_ties", "n_below": "__q_below", "n_total": "__q_total"})
     bounds = prof.groupBy(*keys).agg(*[e.alias(n) for n, e in parts.items()])
@@ -50,33 +43,32 @@ def _bounds(c):
 _SCRATCH = ["__q_below", "__q_ties", "__q_total", "__lo", "__hi", "__n_lo", "__n_hi"]
 
 
-def winsorize(df: DataFrame, keys, value, out="winsorized", lo=0.01, hi=0.99, min_n=5,
-              method="auto") -> DataFrame:
+def winsorize(df: DataFrame, keys, value, out="winsorized", lo=0.01, hi=0.99, min_n=5) -> DataFrame:
     """Clip at interpolated group quantiles; groups below min_n values are left alone."""
-    c = _with_bounds(df, keys, value, lo, hi, resolve_method(df, method))
+    c = _with_bounds(df, keys, value, lo, hi)
     v = F.col(value)
     return (c.withColumn(out, F.when(F.col("__q_total") >= min_n, clip(v, "__lo", "__hi")).otherwise(v))
             .drop(*_SCRATCH))
 
 
 def rank_factors(long: DataFrame, keys=("date", "factor"), value="value", sector=None,
-                 lo=0.01, hi=0.99, min_n=5, method="auto") -> DataFrame:
+                 lo=0.01, hi=0.99, min_n=5) -> DataFrame:
     """Winsorise within `keys`, rank within `keys` (plus sector when given). Adds `w` and `rank`.
     A row without a sector gets no sector-neutral rank.
 
     Clipping keeps order and only merges each tail into one tie, so the ranks after clipping
     follow from the counts before it: values are ordered once, not twice."""
     keys = list(keys)
-    method = resolve_method(long, method)
     if sector is not None:
-        w = winsorize(long, keys, value, "w", lo, hi, min_n, method)
+        w = winsorize(long, keys, value, "w", lo, hi, min_n)
         w = w.withColumn("__s", F.when(F.col(sector).isNotNull(), F.col("w")))
-        return pct_rank(w, [*keys, sector], "__s", "rank", method).drop("__s")
-    c = _with_bounds(long, keys, value, lo, hi, method)
+        return pct_rank(w, [*keys, sector], "__s", "rank").drop("__s")
+    c = _with_bounds(long, keys, value, lo, hi)
     v, total = F.col(value), F.col("__q_total")
     clipped = total >= min_n
     low, high = v <= F.col("__lo"), v >= F.col("__hi")
-    rank = (F.when(clipped & low & high, (total + 1) / F.lit(2.0))
+    # where the bounds meet, clipping makes all values one tie
+    rank = (F.when(clipped & (F.col("__lo") == F.col("__hi")), (total + 1) / F.lit(2.0))
             .when(clipped & low, (F.col("__n_lo") + 1) / F.lit(2.0))
             .when(clipped & high, total - (F.col("__n_hi") - 1) / F.lit(2.0))
             .otherwise(average_rank("__q_")))

@@ -4,17 +4,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from paneloom.functions.expr import pearson
 from paneloom.functions.ordered import average_rank, order_counts
-from paneloom.session import resolve_method
 
 
-def _paired_ranks(df, keys, x, y, method, need_y=True):
+def _paired_ranks(df, keys, x, y, need_y=True):
     """Ranks are taken again among rows where both sides are known."""
-    method = resolve_method(df, method)
     pair = F.col(x).isNotNull() & F.col(y).isNotNull()
     d = df.withColumn("__x", F.when(pair, F.col(x))).withColumn("__y", F.when(pair, F.col(y)))
-    d = order_counts(d, keys, "__x", "__x_", method)
+    d = order_counts(d, keys, "__x", "__x_")
     if need_y:
-        d = order_counts(d, keys, "__y", "__y_", method)
+        d = order_counts(d, keys, "__y", "__y_")
     return d
 
 
@@ -37,13 +35,13 @@ def _slope(rank, min_ranks, min_pairs):
     return F.when(ok, F.regr_slope("__y", "__x") * sd)
 
 
-def spearman_ic(df: DataFrame, keys, x, y, min_n=10, method="auto") -> DataFrame:
-    d = _paired_ranks(df, keys, x, y, method)
+def spearman_ic(df: DataFrame, keys, x, y, min_n=10) -> DataFrame:
+    d = _paired_ranks(df, keys, x, y)
     return d.groupBy(*keys).agg(_ic(min_n).alias("ic"), F.count("__x").alias("n"))
 
 
-def quantile_spread(df: DataFrame, keys, x, y, min_n=15, top=0.8, bottom=0.2, method="auto") -> DataFrame:
-    d = _paired_ranks(df, keys, x, y, method, need_y=False)
+def quantile_spread(df: DataFrame, keys, x, y, min_n=15, top=0.8, bottom=0.2) -> DataFrame:
+    d = _paired_ranks(df, keys, x, y, need_y=False)
     return d.groupBy(*keys).agg(_spread(min_n, top, bottom).alias("spread"))
 
 
@@ -54,21 +52,20 @@ def payoff_slope(df: DataFrame, keys, rank, y, min_ranks=10, min_pairs=5) -> Dat
 
 
 def score_factors(ranked: DataFrame, y="forward_excess_return", keys=("date", "factor"), rank="rank",
-                  min_ic=10, min_spread=15, method="auto") -> DataFrame:
+                  min_ic=10, min_spread=15) -> DataFrame:
     """One row for every (date, factor) of the long panel, evidence or not."""
     keys = list(keys)
-    d = _paired_ranks(ranked, keys, rank, y, method)
+    d = _paired_ranks(ranked, keys, rank, y)
     return d.groupBy(*keys).agg(
         _ic(min_ic).alias("ic"), _spread(min_spread, 0.8, 0.2).alias("spread"),
         _slope(rank, 10, 5).alias("payoff_slope"), F.count("__x").alias("n_stocks"))
 
 
-def pooled_rank_correlation(ranked: DataFrame, anchor, ids=("date", "ticker"), min_n=50,
-                            method="auto") -> DataFrame:
+def pooled_rank_correlation(ranked: DataFrame, anchor, ids=("date", "ticker"), min_n=50) -> DataFrame:
     """Rank correlation of each factor's ranks with the anchor factor's, over the pooled panel;
     given only for more than min_n shared rows."""
     ids = list(ids)
     base = ranked.where(F.col("factor") == anchor).select(*ids, F.col("rank").alias("anchor_rank"))
     pairs = ranked.where(F.col("factor") != anchor).join(base, ids)
-    return spearman_ic(pairs, ["factor"], "rank", "anchor_rank", min_n + 1, method) \
+    return spearman_ic(pairs, ["factor"], "rank", "anchor_rank", min_n + 1) \
         .select("factor", F.col("ic").alias("rank_corr"), "n")

@@ -1,17 +1,9 @@
-"""Session helper and the two run-time decisions every plan shares:
-how big the input is, and where lineage may be cut."""
+"""Session helper, and where lineage may be cut."""
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs at most this large are ranked with one window per group. Above it the
-# two-level plan in functions/ordered.py is used, which never holds a whole group in one task.
-WINDOW_BYTES_CONF = "paneloom.window.maxInputBytes"
-WINDOW_BYTES_DEFAULT = 128 << 20
-
-
 def get_session(master="local[*]", shuffle_partitions=None, **conf) -> SparkSession:
     b = (SparkSession.builder.master(master).appName("paneloom")
          .config("spark.sql.session.timeZone", "UTC")
@@ -25,27 +17,6 @@ def get_session(master="local[*]", shuffle_partitions=None, **conf) -> SparkSess
     return b.getOrCreate()
 
 
-def input_bytes(df: DataFrame):
-    """Bytes of the relations a plan reads, from Catalyst's own statistics (no job is run).
-    None when the statistics cannot be read."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
-def resolve_method(df: DataFrame, method: str) -> str:
-    """'window' or 'split'. 'auto' picks 'window' only when the whole input is small enough
-    for its largest group to fit one task."""
-    if method != "auto":
-        return method
-    limit = int(df.sparkSession.conf.get(WINDOW_BYTES_CONF, str(WINDOW_BYTES_DEFAULT)))
-    size = input_bytes(df)
-    return "window" if size is not None and size <= limit else "split"
-
-
 def shared_folder(spark) -> str:
     """The folder the cluster names for checkpoints; where none is named, a folder of the warehouse, which
     driver and executors share as well. Never a machine-local temporary folder."""
@@ -53,22 +24,6 @@ def shared_folder(spark) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
-_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Expand|Union|Sort|Distinct|RepartitionByExpression|RDD)\b")
-
-
-def is_plain_scan(df: DataFrame) -> bool:
-    """True when the plan only reads, filters and projects, so reading it again costs no shuffle."""
-    try:
-        return not _COSTLY.search(df._jdf.queryExecution().optimizedPlan().toString())
-    except Exception:
-        return False
-
-
-def made_once(df: DataFrame) -> DataFrame:
-    """For plans that read `df` more than once: itself when it is a plain scan, else cut."""
-    return df if is_plain_scan(df) else cut_lineage(df)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and read them back: what follows survives lost
     executors without redoing what came before, reads only the columns it needs, and starts from

@@ -528,7 +528,7 @@ def _(s, d):
 
 @q("a3_rank_ic_split", f"SELECT date, {r('ic')}, n FROM ({_IC_RAW})")
 def _(s, d):
-    return sc.spearman_ic(b.panel(s, d).where("y IS NOT NULL"), ["date"], "f1", "y", method="split")
+    return sc.spearman_ic(b.panel(s, d).where("y IS NOT NULL"), ["date"], "f1", "y")
 
 
 _GRID = "(SELECT DISTINCT date, factor FROM lp)"
@@ -554,7 +554,7 @@ def _(s, d):
 
 @q("a6_factor_scores_split", _SC)
 def _(s, d):
-    return sc.score_factors(rk.rank_factors(b.long_panel(s, d), method="split"), "y", method="split")
+    return sc.score_factors(rk.rank_factors(b.long_panel(s, d)), "y")
 
 
 _OLSC = ["alpha", "alpha_se", "alpha_t", "alpha_p", "beta", "se", "t_stat", "p_value"]
@@ -699,7 +699,7 @@ def _(s, d):
 
 @q("i1_bh_fdr_split", _BH)
 def _(s, d):
-    return inf.bh_fdr(_bh_in(s, d), family=["date"], method="split")
+    return inf.bh_fdr(_bh_in(s, d), family=["date"])
 
 
 _ITC = ["interaction_beta", "t_stat", "p_value", "base_payoff", "q_value"]
@@ -732,7 +732,7 @@ def _(s, d):
 
 @q("w2_winsorise_split", _WZ)
 def _(s, d):
-    return rk.winsorize(b.long_panel(s, d), ["date", "factor"], "value", "w", method="split").select(
+    return rk.winsorize(b.long_panel(s, d), ["date", "factor"], "value", "w").select(
         "date", "ticker", "factor", "value", "w")
 
 
@@ -746,7 +746,7 @@ def _(s, d):
 
 @q("w3_pct_rank_split", _PR)
 def _(s, d):
-    return rk.pct_rank(b.long_panel(s, d), ["date", "factor"], "value", method="split").select(
+    return rk.pct_rank(b.long_panel(s, d), ["date", "factor"], "value").select(
         "date", "ticker", "factor", "pct_rank")
 
 

@@ -29,22 +29,20 @@ def test_ols_drops_missing_and_needs_dof(spark):
     assert inf_row["n"] == 5
 
 
-@pytest.mark.parametrize("method", ["window", "split"])
-def test_bh_by_hand(spark, method):
+def test_bh_by_hand(spark):
     p = [.02, .001, .9, .01, None, .5, .04]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i INT, p_value DOUBLE")
-    got = {r["p_value"]: r["q_value"] for r in inf.bh_fdr(df, method=method).collect()}
+    got = {r["p_value"]: r["q_value"] for r in inf.bh_fdr(df).collect()}
     want = {.001: .006, .01: .03, .02: .04, .04: .06, .5: .6, .9: .9}
     assert got.pop(None) is None and got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("method", ["window", "split"])
-def test_bh_random_families_with_ties(spark, method):
+def test_bh_random_families_with_ties(spark):
     rnd = random.Random(4)
     data = [("HOT" if rnd.random() < .7 else f"f{rnd.randrange(3)}", round(rnd.random() ** 3, 2) if rnd.random() > .1 else None, i)
             for i in range(1500)]
     got = {r["i"]: r["q_value"] for r in inf.bh_fdr(spark.createDataFrame(data, "fam STRING, p_value DOUBLE, i INT"),
-                                                     family=["fam"], method=method).collect()}
+                                                     family=["fam"]).collect()}
     for fam in {d[0] for d in data}:
         ps = sorted(((p, i) for f, p, i in data if f == fam and p is not None))
         n, run = len(ps), 1.0

@@ -2,11 +2,10 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from paneloom.functions.ordered import order_counts
+from paneloom.functions.ordered import _bucketed, order_counts
 from paneloom.operators import ranking as rk, scores as sc
-from paneloom.session import resolve_method
 
 
 def long(spark, values, date="2020-01-01", factor="f", sector=None):
@@ -55,41 +54,53 @@ def test_winsorise_tails_and_short_groups(spark):
     assert col(rk.winsorize(long(spark, [1.0, 2.0, 100.0]), ["date"], "value", "w"), "w") == [1.0, 2.0, 100.0]
 
 
-@pytest.mark.parametrize("method", ["window", "split"])
-def test_hot_group_against_pandas(spark, method):
+def test_hot_group_against_pandas(spark):
     d = hot_panel(spark)
     p = d.toPandas()
     g = p.groupby("date")["value"]
     clipped = g.transform(lambda s: s if s.notna().sum() < 5 else s.clip(s.quantile(.01), s.quantile(.99)))
     p["want_w"], p["want"] = clipped, clipped.groupby(p["date"]).rank(pct=True)
-    got = rk.rank_factors(d, method=method).select("date", "ticker", "w", "rank").toPandas()
+    got = rk.rank_factors(d).select("date", "ticker", "w", "rank").toPandas()
     m = p.merge(got, on=["date", "ticker"])
     assert len(m) == len(p) and (m["rank"].isna() == m["want"].isna()).all()
     assert m["rank"].fillna(0).tolist() == pytest.approx(m["want"].fillna(0).tolist(), abs=1e-12)
     assert m["w"].fillna(0).tolist() == pytest.approx(m["want_w"].fillna(0).tolist(), rel=1e-12)
 
 
-def test_split_and_window_agree_everywhere(spark, rows):
+def test_counts_against_one_window(spark, rows):
     d = hot_panel(spark, 3000, 11)
-    a, b = (order_counts(d, ["date", "sector"], "value", "", m) for m in ("window", "split"))
+    got = order_counts(d, ["date", "sector"], "value")
+    v, whole = F.col("value"), W.partitionBy("date", "sector")
+    unknown = F.count(F.lit(1)).over(whole) - F.count(v).over(whole)
+    want = (d.withColumn("below", F.when(v.isNotNull(), F.rank().over(whole.orderBy(v)) - 1 - unknown))
+            .withColumn("ties", F.when(v.isNotNull(), F.count(v).over(W.partitionBy("date", "sector", "value"))))
+            .withColumn("total", F.when(v.isNotNull(), F.count(v).over(whole))))
     cols = ["ticker", "below", "ties", "total"]
-    assert rows(a, *cols) == rows(b, *cols)
-    r = rk.rank_factors(d, method="window")
-    assert rows(sc.score_factors(r, "y", method="window")) == rows(sc.score_factors(r, "y", method="split"))
-    assert rows(rk.rank_factors(d, sector="sector", method="window"), "ticker", "rank") == \
-        rows(rk.rank_factors(d, sector="sector", method="split"), "ticker", "rank")
-
-
-def test_method_follows_input_size(spark, tmp_path):
-    path = str(tmp_path / "p")
-    spark.range(1000).withColumn("v", F.rand(1)).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert resolve_method(df, "auto") == "window"
-    spark.conf.set("paneloom.window.maxInputBytes", "10")
-    try:
-        assert resolve_method(df, "auto") == "split"
-    finally:
-        spark.conf.unset("paneloom.window.maxInputBytes")
+    assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_infinite_and_close_values(spark):
+    """Infinities are ranked like any value, and values that differ by little still spread over the buckets."""
+    inf = float("inf")
+    d = spark.createDataFrame([(1, x) for x in [-inf, 1.0, 2.0, 2.0, inf]], "g int, v double")
+    got = {(r["v"]): (r["below"], r["ties"], r["total"]) for r in order_counts(d, ["g"], "v").collect()}
+    assert got == {-inf: (0, 1, 5), 1.0: (1, 1, 5), 2.0: (2, 2, 5), inf: (4, 1, 5)}
+    n = 20000
+    close = spark.range(n).select(F.lit(1).alias("g"), (100 + F.col("id") * 0.05 / n).alias("v"), F.lit(1).alias("n"))
+    share = _bucketed(close, ["g"], "v").groupBy("__b").count().agg(F.max("count")).first()[0] / n
+    assert share < 0.04
+    assert order_counts(close, ["g"], "v").where("below <> round((v - 100) / 0.05 * 20000)").count() == 0
+
+
+def test_bounds_that_meet_make_one_tie(spark):
+    v = [-1.0] * 4 + [0.0] * 991 + [1.0] * 5
+    d = spark.createDataFrame([(1, "f", i, x, float(i % 7)) for i, x in enumerate(v)], "date int, factor string, ticker int, value double, y double")
+    r = rk.rank_factors(d)
+    assert {x["rank"] for x in r.select("rank").distinct().collect()} == {1001 / 2 / 1000}
+    two = rk.pct_rank(rk.winsorize(d, ["date", "factor"], "value", "w"), ["date", "factor"], "w", "rank")
+    assert {x["rank"] for x in two.select("rank").distinct().collect()} == {1001 / 2 / 1000}
+    s = sc.score_factors(r, "y").first()
+    assert s["ic"] is None and s["payoff_slope"] is None
 
 
 def test_coverage_filter(spark):
