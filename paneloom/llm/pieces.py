@@ -29,7 +29,8 @@ from paneloom.llm.common import dealt, small_batches, unpacked
 SPACE = "\u2581"
 SHARDS = 256             # of the atoms of one group of blocks
 TOGETHER = 1024          # blocks in a group
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+SHORT = 24               # characters of atoms whose edges are few enough to be searched through for each end
 CHUNK = 256              # positions, or edges, handled in one piece of a long atom
 UNKNOWN_COST = 10.0
 
@@ -64,17 +65,17 @@ class Vocabulary:
                    [sp.get_score(i) if o else None for i, o in enumerate(ordinary)], byte_ids, sp.unk_id())
 
     def cuts(self):
-        """A pattern of atoms: a run of spaces with the run of marks, or of other characters, behind it. Marks are the
-        characters that no piece joins to any but marks."""
-        chars = set("".join(self.pieces)) - {SPACE}
-        marks = {c for c in chars if not c.isalnum()}
-        while True:
-            bad = {c for p in self.pieces for a, b in zip(p, p[1:]) if SPACE != a and (a in marks) != (b in marks) for c in (a, b)} & marks
-            if not bad:
-                break
-            marks -= bad
-        inside = "".join(re.escape(c) for c in sorted(marks))
-        return f"{SPACE}*[{inside}]+|{SPACE}*[^{SPACE}{inside}]+|{SPACE}+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        """A pattern of atoms: runs of spaces and what follows, cut between letters or digits and the marks that no piece
+        joins to them. Other characters hold both sides together."""
+        pairs = {(a, b) for p in self.pieces for a, b in zip(p, p[1:])}
+        joined = {c for x in pairs if x[0] != SPACE and x[0].isalnum() != x[1].isalnum() for c in x if not c.isalnum()}
+        marks = {c for p in self.pieces for c in p if c != SPACE and c.isascii() and not c.isalnum()} - joined
+        m = "".join(re.escape(c) for c in sorted(marks))
+        if not m:
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        run = f"(?:[a-zA-Z0-9]+|[{m}]+)"
+        rest = f"[^{SPACE}a-zA-Z0-9{m}]"
+        return f"{SPACE}*(?:{run}(?:{rest}+{run}?)*|(?:{rest}+{run}?)+)|{SPACE}+"
 
     def atoms(self, text):
         return self.atom.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -98,7 +99,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, keys=("shard
     met = pairs.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
     s = F.col("base") + F.col("at") - 1
     edge = F.struct((s + F.col("n")).alias("e"), s.alias("s"), F.coalesce("score", F.lit(lowest)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    lattice = met.groupBy(*keys).agg(F.min("some").alias("some"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = met.groupBy(*keys).agg(F.min("some").alias("some"), F.collect_list(edge).alias("edges"))
     cut = lambda x: f"transform(sequence(0, greatest(size({x}) - 1, 0) div {CHUNK}), i -> slice({x}, i * {CHUNK} + 1, {CHUNK}))"
     # win: scores of the last positions, the last one being `cur`; hold: the best edge into `cur`; part, done: those before
     step = f"""case when x.e = a.cur then
@@ -109,7 +110,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, keys=("shard
       else named_struct('cur', x.e, 'win', concat(slice(a.win, greatest(1, size(a.win) - {longest - 1}), {longest}), array(element_at(a.win, x.s - a.cur - 1) + x.w)),
                         'hold', named_struct('s', x.s, 'id', x.id), 'part', concat(a.part, array(a.hold)), 'done', a.done) end"""
     empty = "cast(array() as array<struct<s:int,id:int>>)"
-    forward = f"""aggregate({cut('edges')},
+    forward = f"""aggregate({cut('sort_array(edges)')},
       named_struct('cur', 0, 'win', array(0D), 'hold', named_struct('s', 0, 'id', 0), 'part', {empty}, 'done', cast(array() as array<array<struct<s:int,id:int>>>)),
       (b, y) -> aggregate(y, b, (a, x) -> {step},
                           a -> named_struct('cur', a.cur, 'win', a.win, 'hold', a.hold, 'part', {empty}, 'done', concat(a.done, array(a.part)))),
@@ -122,7 +123,14 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, keys=("shard
                             else named_struct('at', a.at - 1, 'next', a.next, 'part', a.part, 'done', a.done) end,
                           a -> named_struct('at', a.at, 'next', a.next, 'part', cast(array() as array<int>), 'done', concat(a.done, array(a.part)))),
       a -> reverse(flatten(a.done)))"""
-    return lattice.withColumn("back", F.expr(forward)).select(*keys, "some", F.expr(backward).alias("ids"))
+    # short atoms: for each end in turn the best edge into it, as (score, -start, id), then the path back
+    best = """aggregate(sequence(1, length(word)), array(named_struct('w', 0D, 's', 0, 'id', 0)), (a, j) -> concat(a, array(array_max(
+      transform(filter(edges, x -> x.e = j), x -> named_struct('w', element_at(a, x.s + 1).w + x.w, 's', -x.s, 'id', x.id))))))"""
+    follow = """aggregate(best, named_struct('at', size(best), 'ids', cast(array() as array<int>)), (a, x) -> case when a.at = 1 then a else
+      named_struct('at', 1 - element_at(best, a.at).s, 'ids', concat(array(element_at(best, a.at).id), a.ids)) end, a -> a.ids)"""
+    short = F.length("word") <= SHORT
+    lattice = lattice.withColumn("best", F.when(short, F.expr(best))).withColumn("back", F.when(~short, F.expr(forward)))
+    return lattice.select(*keys, "some", F.when(short, F.expr(follow)).otherwise(F.expr(backward)).alias("ids"))
 
 
 def rows_of(table: pa.Table):
@@ -150,7 +158,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        words = {w for t in rows_of(table)[1] for w in v.atoms(t)}
+        words = set()
+        for t in rows_of(table)[1]:
+            words.update(v.atoms(t))
         asked = shards(words, block)
         # atoms hold no space, so one can stand between them
         return pa.table({"shard": pa.array(list(asked), pa.int32()), "block": pa.array([block] * len(asked), pa.int32()),
@@ -177,8 +187,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 
     def string_together(rows: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = rows_of(rows)
-        cut = [v.atoms(t) for t in texts]
-        asked = shards({w for a in cut for w in a}, rows.column("block")[0].as_py() if rows.num_rows else 0)
+        words = set()
+        for t in texts:
+            words.update(v.atoms(t))
+        asked = shards(words, rows.column("block")[0].as_py() if rows.num_rows else 0)
         path = {}
         for shard, n, b in zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column("paths").to_pylist()):
             flat = np.frombuffer(pa.decompress(b, n, codec="zstd"), np.int32)
@@ -187,7 +199,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
                 end = at + 1 + int(flat[at])
                 path[w] = flat[at + 1:end].tobytes()
                 at = end
-        joined = [b"".join([path[w] for w in a]) for a in cut]
+        joined = [b"".join([path[w] for w in v.atoms(t)]) for t in texts]
         ends = np.cumsum([0] + [len(j) // 4 for j in joined])
         values = pa.array(np.frombuffer(b"".join(joined), np.int32))
         return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
