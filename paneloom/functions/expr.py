@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, functions as F
 
 
@@ -69,26 +71,35 @@ def pearson(cov, sd_x, sd_y) -> Column:
     return F.try_divide(cov, sd_x * sd_y)
 
 
+def _gamma_ratio(a) -> Column:
+    """gamma(a + 1/2) / gamma(a): the asymptotic series 32 above a, brought down by the recurrence."""
+    n = a + 32
+    series = 1 - 1 / (8 * n) + 1 / (128 * n * n) + 5 / (1024 * n ** 3) - 21 / (32768 * n ** 4) - 399 / (262144 * n ** 5)
+    down = F.lit(1.0)
+    for k in range(32):
+        down = down * ((a + k) / (a + k + 0.5))
+    return F.sqrt(n) * series * down
+
+
+def _quadrature(nodes, weights, value) -> Column:
+    rule = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(nodes, weights)])
+    return F.aggregate(rule, F.lit(0.0), lambda acc, q: acc + q["w"] * value(q["x"]))
+
+
 def student_t_p(t, dof) -> Column:
-    """Two-sided Student-t p-value for whole degrees of freedom, by the finite
-    trigonometric series (Abramowitz & Stegun 26.7.3-4)."""
-    t, dof = F.abs(col(t)), col(dof).cast("int")
+    """Two-sided Student-t p-value for whole degrees of freedom, by a fixed number of quadrature nodes: the middle of the
+    density by Gauss-Legendre below t = 2, and from there its tail by Gauss-Laguerre, whose relative error stays small
+    however small the tail is."""
+    t, dof = F.abs(col(t)), col(dof).cast("long")
     nu = dof.cast("double")
-    cos2 = nu / (nu + t * t)
-    sin = t / F.sqrt(nu + t * t)
-    theta = F.atan(t / F.sqrt(nu))
-    odd = dof % 2 == 1
-    last = F.when(odd, (dof - 3) / 2).otherwise(dof / 2 - 1).cast("int")
-
-    def step(acc, k):
-        kd = k.cast("double")
-        coef = F.when(odd, 2 * kd / (2 * kd + 1)).otherwise((2 * kd - 1) / (2 * kd))
-        term = F.when(k <= last, acc["term"] * coef * cos2).otherwise(F.lit(0.0))
-        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
-
-    zero = F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term"))
-    series = F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), zero, step,
-                         lambda acc: acc["total"])
-    odd_tail = F.when(dof == 1, F.lit(0.0)).otherwise(sin * F.sqrt(cos2) * series)
-    p = F.when(odd, 1 - (2 / math.pi) * (theta + odd_tail)).otherwise(1 - sin * series)
-    return F.when(t.isNotNull() & (dof >= 1), F.greatest(p, F.lit(0.0)))
+    a = nu / 2
+    ratio = _gamma_ratio(a)
+    x, w = np.polynomial.legendre.leggauss(32)
+    middle = t * _quadrature((x + 1) / 2, w / 2, lambda u: F.exp(-(nu + 1) / 2 * F.log1p(u * u * t * t / nu)))
+    below = 1 - 2 * ratio / F.sqrt(nu * math.pi) * middle
+    x, w = np.polynomial.laguerre.laggauss(64)
+    keep = w > 1e-40
+    log_x = -F.log1p(t * t / nu)
+    tail = _quadrature(x[keep], w[keep], lambda v: 1 / F.sqrt(-F.expm1(log_x - v / a)))
+    above = F.exp(a * log_x) * ratio / (a * math.sqrt(math.pi)) * tail
+    return F.when(t.isNotNull() & (dof >= 1), F.when(t < 2, F.greatest(below, F.lit(0.0))).otherwise(above))

@@ -44,3 +44,29 @@ def test_nan_and_infinity(spark):
     r = one(spark, E.nan_to_null(F.lit(float("nan"))).alias("a"), E.finite(F.lit(float("inf"))).alias("b"),
             E.finite(F.lit(2.0)).alias("c"))
     assert tuple(r) == (None, None, 2.0)
+
+
+def exact_t_p(t, dof):
+    """The finite series for even degrees of freedom in 300 digits."""
+    from decimal import Decimal, getcontext
+    getcontext().prec = 300
+    t, nu = Decimal(t), Decimal(dof)
+    cos2, total, term = nu / (nu + t * t), Decimal(1), Decimal(1)
+    for k in range(1, dof // 2):
+        term *= Decimal(2 * k - 1) / Decimal(2 * k) * cos2
+        total += term
+    return float(1 - t / (nu + t * t).sqrt() * total)
+
+
+def test_student_t_tails(spark):
+    cases = [(t, n) for t in (0.001, 0.5, 1.9, 2.0, 2.5, 5.0, 85.0, 1e6) for n in (2, 4, 10, 30, 198, 2000)]
+    df = spark.createDataFrame(cases, "t double, n int").select("t", "n", E.student_t_p("t", "n").alias("p"))
+    for r in df.collect():
+        want = exact_t_p(r["t"], r["n"])
+        if want > 1e-290:
+            assert r["p"] == pytest.approx(want, rel=1e-6), r
+    # many degrees of freedom: the normal distribution
+    import math
+    big = spark.createDataFrame([(t, 10 ** 9) for t in (0.5, 3.0, 10.0, 25.0)], "t double, n int").select("t", E.student_t_p("t", "n").alias("p"))
+    for r in big.collect():
+        assert r["p"] == pytest.approx(math.erfc(r["t"] / math.sqrt(2)), rel=1e-3 if r["t"] > 20 else 1e-5)
