@@ -21,19 +21,20 @@ def fundamentals_table(metrics: DataFrame, ratios: DataFrame, seq) -> DataFrame:
     return yoy_growth(joined, "revenue_per_share").drop("revenue_per_share")
 
 
+def _digest(df):
+    return store.fingerprint(df).first()["payload_hash"]
+
+
 def ingest_prices(spark: SparkSession, path, prices, provider, retrieved_at=None) -> DataFrame:
-    digest = store.fingerprint(prices).first()["payload_hash"]
-    return store.ingest(spark, path, store.price_rows(prices, provider, retrieved_at, digest),
+    return store.ingest(spark, path, lambda: store.price_rows(prices, provider, retrieved_at, _digest(prices)),
                         ["ticker", "date"], "date")
 
 
 def ingest_macro(spark: SparkSession, path, macro, provider, retrieved_at=None) -> DataFrame:
-    digest = store.fingerprint(macro).first()["payload_hash"]
-    return store.ingest(spark, path, store.macro_rows(macro, provider, retrieved_at, digest),
+    return store.ingest(spark, path, lambda: store.macro_rows(macro, provider, retrieved_at, _digest(macro)),
                         ["series_name", "observation_date", "provider"], "observation_date")
 
 
 def ingest_fundamentals(spark: SparkSession, path, f, provider, lag_days=60, retrieved_at=None) -> DataFrame:
-    digest = store.fingerprint(f).first()["payload_hash"]
-    return store.ingest(spark, path, store.fundamental_rows(f, provider, lag_days, retrieved_at, digest),
+    return store.ingest(spark, path, lambda: store.fundamental_rows(f, provider, lag_days, retrieved_at, _digest(f)),
                         ["ticker", "period_end_date", "provider"], "period_end_date")

@@ -5,6 +5,7 @@ so its cost follows the delivery, not the store.
 """
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,14 +30,19 @@ def _lineage(df, provider, retrieved_at, payload_hash):
             .withColumn("raw_payload_hash", F.lit(payload_hash)))
 
 
+def _seq(df):
+    """The order of the rows in a delivery, where it carries one."""
+    return [c for c in ("input_seq",) if c in df.columns]
+
+
 def price_rows(prices: DataFrame, provider, retrieved_at=None, payload_hash=None) -> DataFrame:
-    rows = prices.select("ticker", "date", F.col("adj_close").cast("double").alias("adj_close"),
+    rows = prices.select(*_seq(prices), "ticker", "date", F.col("adj_close").cast("double").alias("adj_close"),
                          F.col("volume").cast("double").alias("volume"))
     return _lineage(rows, provider, retrieved_at, payload_hash)
 
 
 def macro_rows(macro: DataFrame, provider, retrieved_at=None, payload_hash=None) -> DataFrame:
-    rows = wide_to_long(macro).select("series_name", F.col("date").alias("observation_date"), "value")
+    rows = wide_to_long(macro.drop("input_seq")).select("series_name", F.col("date").alias("observation_date"), "value")
     return _lineage(rows, provider, retrieved_at, payload_hash)
 
 
@@ -44,7 +50,7 @@ def fundamental_rows(f: DataFrame, provider, lag_days=60, retrieved_at=None, pay
     """Attributes the input lacks are stored as NULL; availability is period end plus the lag."""
     value = lambda c: (F.col(c).cast("double") if c in f.columns else F.lit(None).cast("double")).alias(c)
     sector = F.col("sector").cast("string") if "sector" in f.columns else F.lit(None).cast("string")
-    rows = f.select("ticker", F.col("date").alias("period_end_date"),
+    rows = f.select(*_seq(f), "ticker", F.col("date").alias("period_end_date"),
                     F.date_add("date", lag_days).alias("availability_date"),
                     *[value(c) for c in FUNDAMENTAL_FIELDS], sector.alias("sector"))
     return _lineage(rows, provider, retrieved_at, payload_hash)
@@ -80,38 +86,53 @@ def _exists(spark, path):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+# among repeated keys of a delivery the newest wins, then the row that comes last in it
+_ORDER = ["retrieved_at", "input_seq"]
+
+
 def upsert(spark: SparkSession, path, incoming: DataFrame, keys, part, update=None) -> None:
-    """Apply `incoming` to the store at `path`, partitioned by column `part` (a function of the
-    key, e.g. the month). The new partitions are staged beside the store and read back before the
-    overwrite: a store must not be read and replaced in one job, and a failed job leaves the
-    old partitions as they were."""
+    """Apply `incoming` to the store at `path`, partitioned by column `part` (a function of the key, e.g. the month), with
+    one file for each partition it writes. `input_seq`, where incoming has it, orders the rows of the delivery and is not
+    stored. The new partitions are staged beside the store, under a name of their own, and read back before the overwrite:
+    a store must not be read and replaced in one job, and a failed job leaves the old partitions as they were."""
+    if "input_seq" not in incoming.columns:
+        incoming = incoming.withColumn("input_seq", F.monotonically_increasing_id())
+    last = keep_last(incoming, keys, _ORDER).drop("input_seq")
     if not _exists(spark, path):
-        keep_last(incoming, keys, ["retrieved_at"]).write.partitionBy(part).parquet(path)
+        last.repartition(part).write.partitionBy(part).parquet(path)
         return
     store = spark.read.parquet(path)
     touched = incoming.select(part).distinct()
-    old = store.join(F.broadcast(touched), part, "left_semi")
-    staged = path.rstrip("/") + "__staged"
-    merge_latest(old.select(*incoming.columns), incoming, keys, update).write.mode("overwrite") \
-        .partitionBy(part).parquet(staged)
-    (spark.read.parquet(staged).select(*store.columns).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+    old = store.join(touched, part, "left_semi")
+    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    try:
+        merged = merge_latest(old.select(*last.columns), last, keys, update)
+        merged.repartition(part).write.partitionBy(part).parquet(staged)
+        (spark.read.parquet(staged).select(*store.columns).repartition(part).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+    finally:
+        _delete(spark, staged)
 
 
 def with_month(df: DataFrame, date) -> DataFrame:
     return df.withColumn("month", F.date_format(F.col(date), "yyyy-MM"))
 
 
-def ingest(spark: SparkSession, path, rows: DataFrame, keys, date) -> DataFrame:
-    """Upsert one delivery and return its log row. Failure leaves the store unchanged and is
-    reported in the row."""
+def ingest(spark: SparkSession, path, rows, keys, date) -> DataFrame:
+    """Upsert one delivery and return its log row. `rows` is the delivery, or a function that makes it, so that whatever
+    reads the input is inside the guard. Failure leaves the store unchanged and is reported in the row."""
     try:
-        delivered = with_month(rows, date)
+        delivered = with_month(rows() if callable(rows) else rows, date)
         n = delivered.count()
         upsert(spark, path, delivered, keys, "month")
         status, error = "succeeded", None
     except Exception as e:
-        n, status, error = 0, "failed", str(e)
+        n, status, error = 0, "failed", f"{type(e).__name__}: {e}"
     return spark.createDataFrame([(path, n, status, error)],
                                  "target STRING, rows_ingested BIGINT, status STRING, error_message STRING")
 

@@ -73,7 +73,7 @@ def _(s, d):
 
 
 _EV_DAY = "SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1,2"
-_EV_LAST = """SELECT user_id, CAST(ts AS DATE) AS date, value FROM events WHERE event_type <> 'error'
+_EV_LAST = """SELECT user_id, CAST(ts AS DATE) AS date, value FROM events
    QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) = 1"""
 
 
@@ -81,7 +81,7 @@ _EV_LAST = """SELECT user_id, CAST(ts AS DATE) AS date, value FROM events WHERE
 def _(s, d):
     e = b.table(s, d, "events").withColumn("date", F.to_date("ts"))
     left = e.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n"))
-    right = e.where("event_type <> 'error'").select("user_id", "date", "value", "event_id")
+    right = e.select("user_id", "date", "value", "event_id")
     return rd.join_record_sets(left, right, ["user_id", "date"], "event_id")
 
 
@@ -315,12 +315,13 @@ def _(s, d):
     return ql.missing_ratios(ft.derive_factors(b.fundamentals(s, d)), _FC)
 
 
-_PX_T = "SELECT DISTINCT ticker FROM daily WHERE ticker % 13 <> 0"
-_FD_T = "SELECT DISTINCT ticker FROM fund WHERE ticker % 17 <> 0"
+_PX_T = "SELECT DISTINCT ticker FROM daily"
+_FD_T = "SELECT DISTINCT o_custkey AS ticker FROM orders"
 
 
 def _two_inputs(s, d):
-    return (b.daily(s, d).where("ticker % 13 <> 0"), b.fundamentals(s, d).where("ticker % 17 <> 0"))
+    """Suppliers that ship and customers that order: two key sets that overlap only in part."""
+    return b.daily(s, d), b.table(s, d, "orders").select(F.col("o_custkey").alias("ticker"))
 
 
 @q("q6_coverage", f"""SELECT count(p.ticker) AS n_prices, count(f.ticker) AS n_fundamentals,
@@ -345,7 +346,7 @@ def _(s, d):
 
 
 _GATE_DAY = "2001-11-20"
-_GU = "SELECT ticker, (SELECT max(date) FROM daily p WHERE p.ticker = univ.ticker AND p.ticker % 13 <> 0) AS latest FROM univ"
+_GU = "SELECT ticker, (SELECT max(date) FROM daily p WHERE p.ticker = univ.ticker) AS latest FROM univ"
 _G9 = f"SELECT 'price_coverage' AS check_name, CAST(count(latest) AS DOUBLE)/count(*) AS observed, CAST(0.6 AS DOUBLE) AS threshold, CAST(count(latest) AS DOUBLE)/count(*) >= 0.6 AS passed, false AS warning FROM ({_GU})"
 _G10 = f"""SELECT 'price_staleness' AS check_name, CAST(st AS DOUBLE) AS observed, CAST(5 AS DOUBLE) AS threshold, c > 0 AND st < c AS passed, c > 0 AND st < c AND st > 0 AS warning
    FROM (SELECT count(latest) AS c, count(CASE WHEN date_diff('day', latest, DATE '{_GATE_DAY}') > 5 THEN 1 END) AS st FROM ({_GU}))"""
@@ -353,23 +354,23 @@ _G11 = f"""SELECT 'macro_' || s AS check_name, CAST(date_diff('day', l, DATE '{_
    coalesce(date_diff('day', l, DATE '{_GATE_DAY}') <= 45, false) AS passed, false AS warning
    FROM (SELECT s, (SELECT max(observation_date) FROM mstore WHERE series_name = s) AS l FROM (VALUES ('series_f'), ('series_o'), ('series_x')) v(s))"""
 _G12 = f"""SELECT 'fundamentals_coverage' AS check_name, c AS observed, CAST(0.5 AS DOUBLE) AS threshold, c >= 0.5 AS passed, false AS warning FROM
-   (SELECT CAST(count(CASE WHEN ticker IN (SELECT ticker FROM fund WHERE ticker % 17 <> 0 AND date + INTERVAL 60 DAY <= DATE '1995-06-30') THEN 1 END) AS DOUBLE)/count(*) AS c FROM univ)"""
+   (SELECT CAST(count(CASE WHEN ticker IN (SELECT ticker FROM fund WHERE date + INTERVAL 60 DAY <= DATE '1995-06-30') THEN 1 END) AS DOUBLE)/count(*) AS c FROM univ)"""
 _GR = "check_name, " + r("observed", "threshold") + ", passed, warning"
 _NEED = ["series_f", "series_o", "series_x"]
 
 
 def _fund_store(s, d):
-    return st.fundamental_rows(b.fundamentals(s, d).where("ticker % 17 <> 0"), "vendor", 60, _AT, "digest")
+    return st.fundamental_rows(b.fundamentals(s, d), "vendor", 60, _AT, "digest")
 
 
 @q("q9_gate_price_coverage", f"SELECT {_GR} FROM ({_G9})")
 def _(s, d):
-    return ql.gate_price_coverage(b.daily(s, d).where("ticker % 13 <> 0"), b.universe(s, d))
+    return ql.gate_price_coverage(b.daily(s, d), b.universe(s, d))
 
 
 @q("q10_gate_price_staleness", f"SELECT {_GR} FROM ({_G10})")
 def _(s, d):
-    return ql.gate_price_staleness(b.daily(s, d).where("ticker % 13 <> 0"), b.universe(s, d), _GATE_DAY)
+    return ql.gate_price_staleness(b.daily(s, d), b.universe(s, d), _GATE_DAY)
 
 
 @q("q11_gate_macro", f"SELECT {_GR} FROM ({_G11})")
@@ -387,7 +388,7 @@ def _(s, d):
    coalesce(string_agg(CASE WHEN warning THEN check_name END, ',' ORDER BY check_name), '') AS warnings
    FROM ({_G9} UNION ALL {_G10} UNION ALL {_G11} UNION ALL {_G12.replace('1995-06-30', _GATE_DAY)})""")
 def _(s, d):
-    return ql.gate_verdict(ql.gate_checks(b.daily(s, d).where("ticker % 13 <> 0"), b.macro_store(s, d),
+    return ql.gate_verdict(ql.gate_checks(b.daily(s, d), b.macro_store(s, d),
                                           _fund_store(s, d), b.universe(s, d), _GATE_DAY, required=_NEED))
 
 
@@ -521,14 +522,17 @@ _IC_RAW = f"""SELECT date, CASE WHEN count(*) >= 10 THEN {corr('rx', 'ry')} END
    (SELECT date, {avg_rank('date', 'f1')} AS rx, {avg_rank('date', 'y')} AS ry FROM panel WHERE f1 IS NOT NULL AND y IS NOT NULL) GROUP BY 1"""
 
 
-@q("a3_rank_ic", f"SELECT date, {r('ic')}, n FROM ({_IC_RAW})")
+_IC = f"SELECT date, {r('ic')}, coalesce(n, 0) AS n FROM (SELECT DISTINCT date FROM panel) LEFT JOIN ({_IC_RAW}) USING (date)"
+
+
+@q("a3_rank_ic", _IC)
 def _(s, d):
-    return sc.spearman_ic(b.panel(s, d).where("y IS NOT NULL"), ["date"], "f1", "y")
+    return sc.spearman_ic(b.panel(s, d), ["date"], "f1", "y")
 
 
-@q("a3_rank_ic_split", f"SELECT date, {r('ic')}, n FROM ({_IC_RAW})")
+@q("a3_rank_ic_split", _IC)
 def _(s, d):
-    return sc.spearman_ic(b.panel(s, d).where("y IS NOT NULL"), ["date"], "f1", "y")
+    return sc.spearman_ic(b.panel(s, d), ["date"], "f1", "y")
 
 
 _GRID = "(SELECT DISTINCT date, factor FROM lp)"
