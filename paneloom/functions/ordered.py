@@ -47,10 +47,11 @@ def distinct_profile(df: DataFrame, keys, value) -> DataFrame:
     return out.select(*keys, value, "n", (F.col("__before") + F.col("__inside")).alias("n_below"), "n_total")
 
 
-def order_counts(df: DataFrame, keys, value, prefix="") -> DataFrame:
-    """Add <prefix>below, <prefix>ties, <prefix>total (NULL on rows whose value is NULL)."""
+def order_counts(df: DataFrame, keys, value, prefix="", source=None) -> DataFrame:
+    """Add <prefix>below, <prefix>ties, <prefix>total (NULL on rows whose value is NULL). `source` is a plainer frame with the
+    same keys and values to count from, where df is one that is dearer to make."""
     keys = list(keys)
-    prof = distinct_profile(df, keys, value).withColumnsRenamed(
+    prof = distinct_profile(df if source is None else source, keys, value).withColumnsRenamed(
         {"n": f"{prefix}ties", "n_below": f"{prefix}below", "n_total": f"{prefix}total"})
     return null_safe_join(df, prof, [*keys, value], "left")
 

@@ -10,10 +10,8 @@ def _paired_ranks(df, keys, x, y, need_y=True):
     """Ranks are taken again among rows where both sides are known."""
     pair = F.col(x).isNotNull() & F.col(y).isNotNull()
     d = df.withColumn("__x", F.when(pair, F.col(x))).withColumn("__y", F.when(pair, F.col(y)))
-    d = order_counts(d, keys, "__x", "__x_")
-    if need_y:
-        d = order_counts(d, keys, "__y", "__y_")
-    return d
+    out = order_counts(d, keys, "__x", "__x_")
+    return order_counts(out, keys, "__y", "__y_", source=d) if need_y else out
 
 
 def _ic(min_n):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from paneloom.functions.expr import change, quarter_end
 from paneloom.operators import calendar, features, ranking, rolling, scores, themes as th
+from paneloom.session import cut_lineage
 
 # chain vocabulary used by the score, theme and portfolio queries
 CHAIN_FACTORS = ["f1", "f2", "f4", "mom"]
@@ -155,7 +156,8 @@ def long_panel(spark, d) -> DataFrame:
 
 
 def ranked(spark, d) -> DataFrame:
-    return ranking.rank_factors(long_panel(spark, d))
+    """Made once, as in the real run: scores, themes and rankings all read it."""
+    return cut_lineage(ranking.rank_factors(long_panel(spark, d)))
 
 
 def score_rows(spark, d) -> DataFrame:
