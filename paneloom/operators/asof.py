@@ -65,12 +65,14 @@ def _span_seeds(r: DataFrame, l: DataFrame, by) -> DataFrame:
 
 def asof_by_date(left: DataFrame, series: DataFrame, date="date", series_date="date",
                  matched_as="matched_date") -> DataFrame:
-    """Un-keyed as-of of a date-keyed series: resolved on the distinct left days (bounded by the
-    calendar), then a broadcast equi-join back, so the left side is not shuffled."""
+    """Un-keyed as-of of a date-keyed series: resolved on the distinct left days, then an equi-join back. Days of type
+    DATE are bounded by the calendar, so they are broadcast and the left side is not shuffled; other types are not."""
     days = left.select(F.col(date).alias("__day")).distinct()
     s = series.withColumnRenamed(series_date, "__sd")
     lookup = asof_join(days, s, [], "__day", "__sd", matched_as)
-    return left.join(F.broadcast(lookup), F.col(date).eqNullSafe(F.col("__day")), "left").drop("__day")
+    if dict(left.dtypes)[date] == "date":
+        lookup = F.broadcast(lookup)
+    return left.join(lookup, F.col(date).eqNullSafe(F.col("__day")), "left").drop("__day")
 
 
 def fundamentals_asof(panel: DataFrame, fundamentals: DataFrame, lag_days=60, entity="ticker",

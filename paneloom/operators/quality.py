@@ -158,8 +158,7 @@ def latest_per_entity(prices: DataFrame, entity="ticker", date="date") -> DataFr
 def _universe_latest(prices, universe, entity):
     """Universe entities with their last price day. Prices are reduced to one row per entity
     before the join, so neither side needs a size bound."""
-    latest = latest_per_entity(prices.join(universe.select(entity).distinct(), entity, "left_semi"), entity)
-    return universe.select(entity).distinct().join(latest, entity, "left")
+    return universe.select(entity).distinct().join(latest_per_entity(prices, entity), entity, "left")
 
 
 def gate_price_coverage(prices, universe, min_coverage=0.6, entity="ticker") -> DataFrame:
@@ -202,11 +201,25 @@ def gate_fundamentals(fundamental_store, universe, as_of, min_coverage=0.5, enti
                       F.col("c") >= min_coverage, F.lit(False))
 
 
+def _price_checks(prices, universe, as_of, min_coverage, max_days, entity="ticker") -> DataFrame:
+    """Both price checks from one reading of the prices."""
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("latest"))
+    one = _universe_latest(prices, universe, entity).agg(
+        F.count("latest").alias("covered"), F.count_if(age > max_days).alias("stale"),
+        F.coalesce(F.try_divide(F.count("latest").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("c"))
+    ok = (F.col("covered") > 0) & (F.col("stale") < F.col("covered"))
+    row = lambda name, observed, threshold, passed, warning: F.struct(
+        F.lit(name).alias("check_name"), observed.cast("double").alias("observed"), F.lit(float(threshold)).alias("threshold"),
+        F.coalesce(passed, F.lit(False)).alias("passed"), F.coalesce(warning, F.lit(False)).alias("warning"))
+    both = F.array(row("price_coverage", F.col("c"), min_coverage, F.col("c") >= min_coverage, F.lit(False)),
+                   row("price_staleness", F.col("stale"), max_days, ok, ok & (F.col("stale") > 0)))
+    return one.select(F.explode(both).alias("r")).select("r.*")
+
+
 def gate_checks(prices, macro_store, fundamental_store, universe, as_of, *, max_price_days=5,
                 max_macro_days=45, min_price_coverage=0.6, min_fundamentals_coverage=0.5,
                 required=REQUIRED_SERIES) -> DataFrame:
-    return (gate_price_coverage(prices, universe, min_price_coverage)
-            .unionByName(gate_price_staleness(prices, universe, as_of, max_price_days))
+    return (_price_checks(prices, universe, as_of, min_price_coverage, max_price_days)
             .unionByName(gate_macro(macro_store, as_of, required, max_macro_days))
             .unionByName(gate_fundamentals(fundamental_store, universe, as_of, min_fundamentals_coverage)))
 
