@@ -7,7 +7,7 @@ least `least` names a file's own licence; a file whose whole text reaches it, or
 COPYING and which has a licence of its own, is a licence file. A file without a licence of its own has that of the licence
 files in the nearest directory above it.
 
-Only files with an anchor are scored: a template's heaviest terms, so many that what is left of it has less than `least` of
+Only files and windows with an anchor are scored: a template's heaviest terms, so many that what is left of it has less than `least` of
 its length, so that no window without one of them can reach it.
 
 Defined results: a NULL text is the empty text and has no licence of its own; a NULL path is the empty path, in the top
@@ -79,7 +79,8 @@ def scan(files: DataFrame, templates=TEMPLATES, least=LEAST, id_col="doc_id", pa
     starts = lambda w, step: F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(step)), lambda i: F.struct(F.lit(w).alias("w"), i.alias("i")))
     cut = found.select("key", lines.alias("lines"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("w"), F.lit(0).alias("i"))), *(starts(*x) for x in WINDOWS))).alias("at"))
     piece = F.when(F.col("at.w") == 0, F.array_join("lines", " ")).otherwise(F.array_join(F.slice("lines", F.col("at.i") + 1, F.greatest("at.w", F.lit(1))), " "))
-    count = cut.select("key", "at.w", "at.i", F.explode(terms(piece)).alias("term")).groupBy("key", "w", "i", "term").agg(F.count("*").alias("tf"))
+    cut = cut.select("key", "at.w", "at.i", terms(piece).alias("terms")).where(F.arrays_overlap("terms", F.lit(anchors)))
+    count = cut.select("key", "w", "i", F.explode("terms").alias("term")).groupBy("key", "w", "i", "term").agg(F.count("*").alias("tf"))
     valued = stored(count.join(idf, "term", "left").select("key", F.col("w").alias("lines"), "i", "term", (F.col("tf") * F.coalesce("idf", rare)).alias("x")))
     unit = ["key", "lines", "i"]
     norm = valued.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
