@@ -209,7 +209,12 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the smallest doc_id, once. Rows without
     an id stay."""
-    found = stored(classes(docs, **how))
+    return only_first(docs, classes(docs, **how))
+
+
+def only_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """As keep_one, by the classes found (doc_id, component_id)."""
+    found = stored(found.select("doc_id", "component_id"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     rest = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
