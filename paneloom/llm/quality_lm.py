@@ -7,8 +7,9 @@ bounded size; a block asks the joins for each of its distinct trigrams once and
 
 Defined results: a NULL text is the empty text, whose only symbol is the end of text; a document is trusted when it has
 a label and all its labels say quality 1 and not toxic (a NULL toxic says nothing); without trusted documents all
-chances are equal and every document is kept, and so is each document of a language without held-out trusted ones;
-repeated rows get equal results, NULL ids included; only the named columns are read.
+chances are equal and every document is kept; a language with fewer than FEW held-out documents has the threshold of all
+languages together; a threshold lies midway (in logarithms) between the quantile and the nearest document beyond it that
+is labelled junk (all its labels say quality 0 and none toxic), so that labelled junk beyond the quantile always goes; repeated rows get equal results, NULL ids included; only the named columns are read.
 """
 
 import numpy as np
@@ -24,7 +25,8 @@ DENSE = 1 << 24                       # largest table of all trigrams over a blo
 BLOCK_CHARS = 4 << 20
 HELD_OUT = 5                          # one trusted document in so many sets the thresholds
 QUANTILE = 0.99
-SLACK = 1.5                           # the threshold is so many times the quantile: clean text beyond it stays
+SLACK = 1.5                           # the threshold is at most so many times the quantile: clean text beyond it stays, unless labelled junk lies there too
+FEW = 20                              # a language with fewer held-out documents goes by all languages
 PRIOR = 64                            # symbols of ordinary text that each document is read with, so that short ones pass
 
 
@@ -173,15 +175,29 @@ def perplexities(docs: DataFrame, labels: DataFrame, block_chars=BLOCK_CHARS) ->
                          F.exp(-F.col("log_chance") / F.col("n_symbols")).alias("perplexity"), "held_out")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile=QUANTILE, slack=SLACK, prior=PRIOR, block_chars=BLOCK_CHARS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile=QUANTILE, slack=SLACK, prior=PRIOR, few=FEW, block_chars=BLOCK_CHARS) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, adjusted (with the prior), threshold, keep for each row of docs."""
     scored = stored(perplexities(docs, labels, block_chars))
-    of = F.col("lang").alias("of")
-    usual = scored.where("held_out").groupBy(of).agg((F.sum("log_chance") / F.sum("n_symbols")).alias("mean"))
-    read = scored.join(usual, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of").withColumn(
-        "adjusted", F.exp(-(F.col("log_chance") + prior * F.col("mean")) / (F.col("n_symbols") + prior)))
-    bar = read.where("held_out").groupBy(of).agg((slack * F.percentile_approx("adjusted", quantile, 10000)).alias("threshold"))
-    return read.join(bar, F.col("lang").eqNullSafe(F.col("of")), "left").select(
+    held, mean = scored.where("held_out"), F.sum("log_chance") / F.sum("n_symbols")
+    usual = held.groupBy(F.col("lang").alias("of")).agg(mean.alias("mean"), F.count("*").alias("n")).where(F.col("n") >= few).drop("n")
+    every = held.agg(mean).first()[0]
+    beside = lambda m: F.exp(-(F.col("log_chance") + prior * m) / (F.col("n_symbols") + prior))
+    own = F.col("mean").isNotNull()
+    votes = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("junk_id")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    junk = votes.where("q = 0 and t = 0").select("junk_id")
+    read = scored.join(usual, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("any", beside(F.lit(every).cast("double"))).select(
+        *scored.columns, "any", own.alias("own"), F.when(own, F.col("lang")).alias("bar_lang"), F.when(own, beside(F.col("mean"))).otherwise(F.col("any")).alias("adjusted"))
+    read = stored(read)
+    at = lambda c: F.percentile_approx(c, quantile, 10000).alias("quantile")
+    bar = read.where("held_out and own").groupBy("own", "bar_lang").agg(at("adjusted")).unionByName(
+        read.where("held_out").agg(at("any")).select(F.lit(False).alias("own"), F.lit(None).cast("string").alias("bar_lang"), "quantile"))
+    bar = stored(bar.select(F.col("own").alias("b_own"), F.col("bar_lang").alias("b_lang"), "quantile"))
+    same = (F.col("own") == F.col("b_own")) & F.col("bar_lang").eqNullSafe(F.col("b_lang"))
+    nearest = (read.join(junk, F.col("doc_id") == F.col("junk_id"), "left_semi").join(bar, same).where("adjusted > quantile")
+               .groupBy(F.col("own").alias("j_own"), F.col("bar_lang").alias("j_lang")).agg(F.min("adjusted").alias("junk")))
+    bar = bar.join(nearest, (F.col("b_own") == F.col("j_own")) & F.col("b_lang").eqNullSafe(F.col("j_lang")), "left").select(
+        "b_own", "b_lang", F.least(slack * F.col("quantile"), F.sqrt(F.col("quantile") * F.col("junk"))).alias("threshold"))
+    return read.join(bar, same, "left").select(
         "doc_id", "lang", "n_symbols", "perplexity", "adjusted", "threshold",
         F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

@@ -73,3 +73,21 @@ def test_junk_goes_and_clean_stays(spark):
     assert q.keep_good(df, labels).count() == len(rows) - 1
     assert q.judge(df.limit(0), labels.limit(0)).count() == 0
     assert all(r["keep"] for r in q.judge(df, labels.limit(0)).collect())
+
+
+def test_labelled_junk_beyond_the_quantile_goes(spark):
+    """Also where it lies within the slack, and in a language without trusted documents."""
+    words = "the of and in to is was for on that with as at by from this house water river stone".split()
+    rng = np.random.default_rng(1)
+    good = [" ".join(rng.choice(words, 40)) for _ in range(300)]
+    half = [" ".join("".join(rng.permutation(list(w))) if i % 4 == 0 else w for i, w in enumerate(rng.choice(words, 40))) for _ in range(30)]
+    noise = ["#$% &*( )_+ |}{ :?> <~! @#$ %^&" * 8] * 3
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(1000 + i, t, "en") for i, t in enumerate(half)] + [(2000 + i, t, "xx") for i, t in enumerate(noise)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(1000 + i, 0, None) for i in range(30)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in q.judge(df, labels).collect()}
+    held = sorted(out[i]["adjusted"] for i in range(300) if q.mixed(np.array([i]))[0] % np.uint64(q.HELD_OUT) == 0)
+    beyond = [i for i in range(1000, 1030) if out[i]["adjusted"] > held[-1]]
+    assert any(out[i]["adjusted"] <= q.SLACK * held[-1] for i in beyond)
+    assert not any(out[i]["keep"] for i in beyond) and not any(out[i]["keep"] for i in range(2000, 2003))
+    assert sum(out[i]["keep"] for i in range(300)) >= 294
