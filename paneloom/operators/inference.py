@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from paneloom import vocab
 from paneloom.functions.expr import finite, student_t_p
-from paneloom.functions.ordered import order_counts, suffix_min
+from paneloom.functions.ordered import counted, suffix_min
 
 
 def ols(df: DataFrame, keys, x, y, min_dof=3) -> DataFrame:
@@ -29,13 +29,20 @@ def ols(df: DataFrame, keys, x, y, min_dof=3) -> DataFrame:
                     "beta", "se", "t_stat", student_t_p("t_stat", "dof").alias("p_value"), "n", "dof")
 
 
-def bh_fdr(df: DataFrame, p="p_value", family=(), out="q_value") -> DataFrame:
-    """Benjamini-Hochberg q per family. A missing p stays missing and is not counted."""
-    family = list(family)
-    c = order_counts(df, family, p, "__p_")
-    c = c.withColumn("__crit", F.col(p) * F.col("__p_total") / (F.col("__p_below") + F.col("__p_ties")))
-    c = suffix_min(c, family, p, "__crit", "__q")
-    return (c.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("__q"))))
+def bh_fdr(df: DataFrame, p="p_value", family=(), out="q_value", small=False) -> DataFrame:
+    """Benjamini-Hochberg q per family. A missing p stays missing and is not counted. `small` says that a family is bounded by
+    construction (names x names) and fits a task: then one window gives it."""
+    family, v = list(family), F.col(p)
+    if small:
+        whole = W.partitionBy(*family)
+        upto = F.count(p).over(whole.orderBy(p).rangeBetween(W.unboundedPreceding, W.currentRow))
+        c = df.withColumn("__crit", v * F.count(p).over(whole) / F.when(v.isNotNull(), upto))
+        c = c.withColumn("__q", F.min("__crit").over(whole.orderBy(p).rangeBetween(W.currentRow, W.unboundedFollowing)))
+    else:
+        c = counted(df, family, {"__p_": p}, keep_bucket=True)
+        c = c.withColumn("__crit", v * F.col("__p_total") / (F.col("__p_below") + F.col("__p_ties")))
+        c = suffix_min(c, family, p, "__crit", "__q", "__p_")
+    return (c.withColumn(out, F.when(v.isNotNull(), F.least(F.lit(1.0), F.col("__q"))))
             .drop("__p_below", "__p_ties", "__p_total", "__crit", "__q"))
 
 
@@ -63,7 +70,7 @@ def interaction_tests(scores: DataFrame, states_wide: DataFrame, min_obs=12, fdr
     pairs = pair_with_states(scores, states_wide).where("payoff_slope IS NOT NULL AND state IS NOT NULL")
     fit = ols(pairs, ["factor", "macro_state"], "state", "payoff_slope")
     fit = fit.where((F.col("n") >= min_obs) & F.col("beta").isNotNull())
-    fit = bh_fdr(fit)
+    fit = bh_fdr(fit, small=True)  # factors x states
     out = _finish_family(fit, fdr, F.count(F.lit(1)).over(W.partitionBy()))
     return out.select("factor", "macro_state", F.col("beta").alias("interaction_beta"), "t_stat", "p_value",
                       F.col("n").alias("n_periods"), F.col("alpha").alias("base_payoff"), "q_value",
@@ -91,5 +98,5 @@ def payoff_persistence(scores: DataFrame, lags=(1, 4), min_obs=8, fdr=0.10) -> D
     fit = ols(lagged, ["factor", "lag"], "past", "ic")
     enough = F.col("n") >= min_obs
     fit = fit.select("factor", "lag", *[F.when(enough, F.col(c)).alias(c) for c in ("beta", "t_stat", "p_value")], "n")
-    out = _finish_family(bh_fdr(fit), fdr, F.count(F.lit(1)).over(W.partitionBy()))
+    out = _finish_family(bh_fdr(fit, small=True), fdr, F.count(F.lit(1)).over(W.partitionBy()))
     return out.withColumn("classification", persistence_label(F.col("beta"), F.col("significant_fdr")))

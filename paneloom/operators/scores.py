@@ -3,15 +3,14 @@
 from pyspark.sql import DataFrame, functions as F
 
 from paneloom.functions.expr import pearson
-from paneloom.functions.ordered import average_rank, order_counts
+from paneloom.functions.ordered import BUCKETS, average_rank, counted
 
 
-def _paired_ranks(df, keys, x, y, need_y=True):
-    """Ranks are taken again among rows where both sides are known."""
+def _paired_ranks(df, keys, x, y, need_y=True, buckets=BUCKETS):
+    """Ranks are taken again among rows where both sides are known; both sides are cut and counted in the same readings."""
     pair = F.col(x).isNotNull() & F.col(y).isNotNull()
     d = df.withColumn("__x", F.when(pair, F.col(x))).withColumn("__y", F.when(pair, F.col(y)))
-    out = order_counts(d, keys, "__x", "__x_")
-    return order_counts(out, keys, "__y", "__y_", source=d) if need_y else out
+    return counted(d, keys, {"__x_": "__x", "__y_": "__y"} if need_y else {"__x_": "__x"}, buckets=buckets)
 
 
 def _ic(min_n):
@@ -33,8 +32,8 @@ def _slope(rank, min_ranks, min_pairs):
     return F.when(ok, F.regr_slope("__y", "__x") * sd)
 
 
-def spearman_ic(df: DataFrame, keys, x, y, min_n=10) -> DataFrame:
-    d = _paired_ranks(df, keys, x, y)
+def spearman_ic(df: DataFrame, keys, x, y, min_n=10, buckets=BUCKETS) -> DataFrame:
+    d = _paired_ranks(df, keys, x, y, buckets=buckets)
     return d.groupBy(*keys).agg(_ic(min_n).alias("ic"), F.count("__x").alias("n"))
 
 
@@ -61,9 +60,9 @@ def score_factors(ranked: DataFrame, y="forward_excess_return", keys=("date", "f
 
 def pooled_rank_correlation(ranked: DataFrame, anchor, ids=("date", "ticker"), min_n=50) -> DataFrame:
     """Rank correlation of each factor's ranks with the anchor factor's, over the pooled panel;
-    given only for more than min_n shared rows."""
+    given only for more than min_n shared rows. A factor pools all dates, so its rows are cut finer."""
     ids = list(ids)
     base = ranked.where(F.col("factor") == anchor).select(*ids, F.col("rank").alias("anchor_rank"))
     pairs = ranked.where(F.col("factor") != anchor).join(base, ids)
-    return spearman_ic(pairs, ["factor"], "rank", "anchor_rank", min_n + 1) \
+    return spearman_ic(pairs, ["factor"], "rank", "anchor_rank", min_n + 1, buckets=8 * BUCKETS) \
         .select("factor", F.col("ic").alias("rank_corr"), "n")

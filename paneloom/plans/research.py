@@ -63,8 +63,9 @@ def run(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cfg: Confi
     panel = keep(build_panel(prices, fundamentals, macro, cfg, seq, keep))
     states = inference.states_by_date(panel, vocab.MACRO_STATES)
     sector = ["sector"] if cfg.sector_neutral and "sector" in panel.columns else []
-    long = ranking.to_long(panel, vocab.FACTORS, ["date", "ticker", "forward_excess_return", *sector])
-    ranked = keep(ranking.keep_covered(ranking.rank_factors(long, sector=(sector or [None])[0]), cfg.min_coverage))
+    by = (sector or [None])[0]
+    long = ranking.covered_long(panel, vocab.FACTORS, ["date", "ticker", "forward_excess_return", *sector], by, cfg.min_coverage)
+    ranked = keep(ranking.rank_factors(long, sector=by))
     themes = th.theme_table(spark, theme_map)
     fscores = keep(scores.score_factors(ranked))
     rolled = rolling.add_rolling_stats(fscores, cfg.rolling_windows)
