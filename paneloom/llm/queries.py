@@ -1,8 +1,10 @@
 """Registered queries of the corpus operators: each applies its operator to the whole of its table."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from paneloom.llm import graph_ann, license_scan, media, mixing, pieces, pii, quality_lm, simhash, token_shards, url_filter
+from paneloom.llm import graph_ann, license_scan, media, mixing, periodic_runs, pieces, pii, quality_lm, simhash, token_shards, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,6 +68,28 @@ def op9_token_shards(spark, sf_dir, ranks=RANKS):
     return found.select("shard", "first_slot", "n_sequences", F.length("payload").cast("long").alias("n_bytes"), "sha256")
 
 
+def planted(i, words):
+    """The rewriting of one document in ten that the query is defined on."""
+    h = zlib.crc32(str(i).encode())
+    if i is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark, sf_dir):
+    r = periodic_runs.scan(table(spark, sf_dir, "documents"), rewrite=planted)
+    longer = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, x: F.when(longer(x, b), x).otherwise(b))  # they come by start, then period
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    r = r.withColumn("best", best).withColumn("lines", F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""))
+    return r.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 def literal(text):
     return "'" + text.replace("'", "''") + "'"
 
@@ -169,5 +193,6 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_shards": op9_token_shards,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL}
