@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from paneloom.llm import graph_ann, license_scan, media, mixing, periodic_runs, pieces, pii, quality_lm, simhash, token_shards, url_filter
+from paneloom.llm import graph_ann, html_text, license_scan, media, mixing, periodic_runs, pieces, pii, quality_lm, simhash, spelling, token_shards, url_filter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -90,6 +90,23 @@ def op11_periodic_runs(spark, sf_dir):
                     F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
 
 
+def op12_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
+def misspelt(i, word):
+    """The deletion of one code point, in one of 199 words, that the query is defined on."""
+    h = F.crc32(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
+    at = F.pmod(h, F.char_length(word)).cast("int")
+    cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
+    return F.when(h % 199 == 0, cut).otherwise(word)
+
+
+def op13_spelling_forms(spark, sf_dir):
+    return spelling.forms(spelling.vocabulary(table(spark, sf_dir, "documents"), change=misspelt))
+
+
 def literal(text):
     return "'" + text.replace("'", "''") + "'"
 
@@ -194,5 +211,7 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_spelling_forms": op13_spelling_forms,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL}
