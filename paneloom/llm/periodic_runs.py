@@ -59,17 +59,17 @@ def _ranks(first: np.ndarray, end: np.ndarray):
         width *= 2
 
 
-def _nearest_below(v: np.ndarray, strict: bool) -> np.ndarray:
-    """For each place the nearest one to its left whose value is smaller (or, not strict, no greater), else -1; by pointer jumps."""
+def _nearest_below(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For the places `at`, those with a value above 0, the nearest place to the left whose value is smaller; by pointer jumps,
+    which double over equal values."""
     out = np.arange(-1, len(v) - 1)
-    todo = np.arange(len(v))
+    todo = at
     while len(todo):
         j = out[todo]
-        todo, j = todo[j >= 0], j[j >= 0]
-        more = v[j] >= v[todo] if strict else v[j] > v[todo]
+        more = v[j] >= v[todo]
         todo, j = todo[more], j[more]
         out[todo] = out[j]
-    return out
+    return out[at]
 
 
 def find_runs(symbols: np.ndarray, text: np.ndarray, least=6, powers=4):
@@ -104,16 +104,20 @@ def find_runs(symbols: np.ndarray, text: np.ndarray, least=6, powers=4):
     p = np.flatnonzero(lcp)
     if not len(p):
         return none
-    low = _nearest_below(lcp, True)
-    same = _nearest_below(lcp, False)
-    back = lcp[::-1]
-    right_low = n - 1 - _nearest_below(back, True)[::-1]       # n where there is none
-    right_same = n - 1 - _nearest_below(back, False)[::-1]
-    depth, left, right = lcp[p], low[p], right_low[p] - 1
-    top = lcp[same[p]] < depth
+    depth = lcp[p]
+    left = _nearest_below(lcp, p)                       # lcp[0] is 0
+    back = np.append(lcp, 0)[::-1]
+    right = n - 1 - _nearest_below(back, n - p[::-1])[::-1]
+    # places of one interval have one left end and one depth; the next such place ends the child that starts at a place
+    order = np.lexsort((p, depth, left))
+    joined = (left[order][1:] == left[order][:-1]) & (depth[order][1:] == depth[order][:-1])
+    top = np.ones(len(p), bool)
+    top[order[1:][joined]] = False
+    stop = right + 1
+    stop[order[:-1][joined]] = p[order[1:][joined]]
     # children: from each place to the next one of no greater depth, and from the interval's left end to its first place
     c_from = np.concatenate([p, left[top]])
-    c_to = np.concatenate([right_same[p] - 1, p[top] - 1])
+    c_to = np.concatenate([stop - 1, p[top] - 1])
     c_left, c_right = np.concatenate([left, left[top]]), np.concatenate([right, right[top]])
     c_depth = np.concatenate([depth, depth[top]])
     size = c_to - c_from + 1
