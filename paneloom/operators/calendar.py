@@ -34,17 +34,22 @@ def equal_weight_benchmark(prices: DataFrame, date="date", price="adj_close") ->
     return prices.groupBy(F.col(date).alias("date")).agg(F.avg(price).alias("bench"))
 
 
-def padded_grid(df: DataFrame, entity, idx, value, lo="__lo", hi="__hi") -> DataFrame:
+def padded_grid(df: DataFrame, entity, idx, value, lo="__lo", hi="__hi", seq=None) -> DataFrame:
     """Every entity on every step of [lo, hi] with the raw value, its forward fill and the
     pad-filled simple return. Gap steps and steps after the last sight return 0; steps before
     the first sight are NULL.
 
     Each observed row is stretched up to the next one, so the dense grid costs one exchange on
-    the entity and no join. Rows must be unique on (entity, idx); the result stays partitioned
-    by entity, so later grouping by (entity, ...) needs no further exchange.
+    the entity and no join. Of rows that repeat (entity, idx) the last in `seq` counts, or the one of
+    largest value where no order is given. An entity that has no value at all is carried by one of its
+    rows, stretched over all steps. The result stays partitioned by entity, so later grouping by
+    (entity, ...) needs no further exchange.
     """
     w = W.partitionBy(entity).orderBy(idx)
-    seen = df.where(F.col(value).isNotNull()).select(
+    repeat = F.lead(idx).over(W.partitionBy(entity).orderBy(idx, F.col(seq or value).asc_nulls_first()))
+    df = df.withColumn("__again", repeat).where((F.col("__again") != F.col(idx)) | F.col("__again").isNull())
+    df = df.withColumn("__seen", F.count(value).over(W.partitionBy(entity))).withColumn("__rn", F.row_number().over(w))
+    seen = df.where(F.col(value).isNotNull() | (F.col("__seen") == 0) & (F.col("__rn") == 1)).select(
         entity, F.col(idx).alias("__src"), F.col(value).alias("__v"), lo, hi,
         F.lag(value).over(w).alias("__prev"), F.lag(idx).over(w).alias("__before"),
         F.lead(idx).over(w).alias("__next"))
@@ -60,7 +65,7 @@ def padded_grid(df: DataFrame, entity, idx, value, lo="__lo", hi="__hi") -> Data
          .when(after & (F.col("__v") != 0), F.lit(0.0)).alias("ret"))
 
 
-def price_grid(prices: DataFrame, calendar: DataFrame, entity="ticker", price="adj_close") -> DataFrame:
+def price_grid(prices: DataFrame, calendar: DataFrame, entity="ticker", price="adj_close", seq=None) -> DataFrame:
     on_calendar = (prices.join(F.broadcast(calendar), "date")
                    .withColumn("__lo", F.lit(0)).withColumn("__hi", F.col("n_days") - 1))
-    return padded_grid(on_calendar, entity, "day_idx", price)
+    return padded_grid(on_calendar, entity, "day_idx", price, seq=seq)

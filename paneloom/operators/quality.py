@@ -1,7 +1,9 @@
 """Input checks, keep-last de-duplication and the publication gate."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
+from paneloom.functions.digest import digest_parts, digest_text
+from paneloom.session import cut_lineage
 from paneloom.vocab import REQUIRED, REQUIRED_SERIES
 
 
@@ -142,6 +144,42 @@ def validate_table(df: DataFrame, name, seq) -> DataFrame:
     return drop_nonpositive(out) if name == "prices" else out
 
 
+def load_checked(df: DataFrame, name, seq=None, keep=cut_lineage):
+    """(table, audit, issues): `validate_table` applied while the table is written, with what was met on the way. One reading of
+    the input: rows, date range, missing values and the digest are metrics observed as the rows pass. Without `seq` the last of
+    repeated keys is the largest by its other columns. A missing column or an empty table raises.
+
+    audit: table_name, n_rows, n_entities, first_date, last_date, payload_hash of the rows that are left.
+    issues: table_name, severity, issue, observed (rows, or the share missing)."""
+    require_columns(df, REQUIRED[name], name)
+    spark, keys = df.sparkSession, ["date", "ticker"] if "ticker" in df.columns else ["date"]
+    fields = [c for c in df.columns if c != seq]
+    order = [seq] if seq else [c for c in fields if c not in keys]
+    met, dated, left = Observation(), Observation(), Observation()
+    missing = {f"missing {c}": F.avg(F.col(c).isNull().cast("double")) for c in fields}
+    out = df.observe(met, F.count(F.lit(1)).alias("n"), F.count_if(F.col("date").isNull()).alias("bad_dates"),
+                     *[e.alias(k) for k, e in missing.items()])
+    out = keep_last(drop_bad_dates(out), keys, order)
+    bad = F.count_if(F.col("adj_close") <= 0) if name == "prices" else F.count_if(F.lit(False))
+    out = out.observe(dated, F.count(F.lit(1)).alias("n"), bad.alias("z"))
+    out = drop_nonpositive(out) if name == "prices" else out
+    out = out.observe(left, F.min("date").alias("first"), F.max("date").alias("last"), *[e.alias(k) for k, e in digest_parts(fields).items()])
+    table = keep(out)
+    if table.isEmpty():
+        require_rows(df, name)  # a frame known to be empty observes nothing
+    m, k, n = met.get, dated.get, left.get
+    entities = F.count_distinct("ticker") if "ticker" in df.columns else F.first(F.lit(None).cast("long"))
+    audit = table.agg(entities.alias("n_entities")).select(
+        F.lit(name).alias("table_name"), F.lit(n["n_rows"]).alias("n_rows"), "n_entities", F.lit(n["first"]).cast("date").alias("first_date"),
+        F.lit(n["last"]).cast("date").alias("last_date"), digest_text(F.lit(n["n_rows"]), F.lit(n["high"]), F.lit(n["low"])).alias("payload_hash"))
+    rows = [(name, "warning", "bad dates", float(m["bad_dates"])), (name, "warning", "repeated keys", float(m["n"] - m["bad_dates"] - k["n"])),
+            (name, "warning", "prices not above zero", float(k["z"]))]
+    rows = [r for r in rows if r[3]]
+    rows += [(name, "warning" if m[c] > 0.5 else "note", c, float(m[c])) for c in missing if m[c] > 0.15]
+    issues = spark.createDataFrame(rows, "table_name STRING, severity STRING, issue STRING, observed DOUBLE")
+    return table, audit, issues
+
+
 # --- publication gate: one row per check -----------------------------------------------------
 
 def _check_row(df, name, observed, threshold, passed, warn):

@@ -21,20 +21,16 @@ def fundamentals_table(metrics: DataFrame, ratios: DataFrame, seq) -> DataFrame:
     return yoy_growth(joined, "revenue_per_share").drop("revenue_per_share")
 
 
-def _digest(df):
-    return store.fingerprint(df).first()["payload_hash"]
-
-
 def ingest_prices(spark: SparkSession, path, prices, provider, retrieved_at=None) -> DataFrame:
-    return store.ingest(spark, path, lambda: store.price_rows(prices, provider, retrieved_at, _digest(prices)),
+    return store.ingest(spark, path, prices, lambda rows, h: store.price_rows(rows, provider, retrieved_at, h),
                         ["ticker", "date"], "date")
 
 
 def ingest_macro(spark: SparkSession, path, macro, provider, retrieved_at=None) -> DataFrame:
-    return store.ingest(spark, path, lambda: store.macro_rows(macro, provider, retrieved_at, _digest(macro)),
+    return store.ingest(spark, path, macro, lambda rows, h: store.macro_rows(rows, provider, retrieved_at, h),
                         ["series_name", "observation_date", "provider"], "observation_date")
 
 
 def ingest_fundamentals(spark: SparkSession, path, f, provider, lag_days=60, retrieved_at=None) -> DataFrame:
-    return store.ingest(spark, path, lambda: store.fundamental_rows(f, provider, lag_days, retrieved_at, _digest(f)),
+    return store.ingest(spark, path, f, lambda rows, h: store.fundamental_rows(rows, provider, lag_days, retrieved_at, h),
                         ["ticker", "period_end_date", "provider"], "period_end_date")

@@ -24,7 +24,7 @@ class Outcome:
 def publish(prices: DataFrame, macro_store: DataFrame, fundamental_store: DataFrame, universe: DataFrame,
             as_of, out, cfg: research.Config = research.Config(), gate=None) -> Outcome:
     """prices, macro_store and fundamental_store are the stored tables; `out` receives one
-    partition per run."""
+    partition per run, to be read with `store.read_runs`."""
     spark = prices.sparkSession
     checks = quality.gate_checks(prices, macro_store, fundamental_store, universe, as_of, **(gate or {}))
     verdict = quality.gate_verdict(checks).first()
@@ -40,8 +40,7 @@ def publish(prices: DataFrame, macro_store: DataFrame, fundamental_store: DataFr
                               f, readers.long_to_wide(macro_store, sorted(names)), cfg, seq="retrieved_at")
         warnings = [w for w in verdict["warnings"].split(",") if w]
         row = store.run_row(spark, run_id, research.as_of(tables["factor_scores"]), cfg.as_dict(), warnings)
-        store.persist_run({n: tables[n] for n in PERSISTED}, run_id, out)
-        store.persist_run({"runs": row.drop("run_id")}, run_id, out)
+        store.persist_run({n: tables[n] for n in PERSISTED}, run_id, out, row)
     except Exception as e:
-        return Outcome("failed", None, checks, str(e))
+        return Outcome("failed", None, checks, f"{type(e).__name__}: {e}")
     return Outcome("published", run_id, checks, "published", tables)

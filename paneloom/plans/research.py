@@ -1,11 +1,11 @@
-"""The analysis run: three input tables in, all result tables out, as one lazy graph."""
+"""The analysis run: three input tables in, all result tables out. Inputs are checked while they are written."""
 
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from paneloom import vocab
-from paneloom.operators import (asof, calendar as cal, features, inference, portfolio, ranking,
+from paneloom.operators import (asof, quality, calendar as cal, features, inference, portfolio, ranking,
                                 rolling, scores, themes as th)
 from paneloom.session import cut_lineage
 
@@ -56,10 +56,16 @@ def build_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cf
 def run(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cfg: Config = Config(),
         theme_map=None, seq=None, cut=True) -> dict:
     """All result tables. The calendar, the panel, the ranks and the scores each feed several
-    results, so each is written once to the shared checkpoint folder and read back (cut=False
-    keeps everything lazy)."""
+    results, so each is written once to the shared checkpoint folder and read back; so are the inputs, which
+    are checked on the way (cut=False keeps everything lazy and checks nothing)."""
     keep = cut_lineage if cut else (lambda df: df)
     spark = prices.sparkSession
+    given, audits, issues = {"prices": prices, "fundamentals": fundamentals, "macro": macro}, None, None
+    if cut:
+        for name, df in given.items():
+            given[name], a, i = quality.load_checked(df, name, seq if seq in df.columns else None)
+            audits, issues = (a, i) if audits is None else (audits.unionByName(a), issues.unionByName(i))
+        prices, fundamentals, macro = given.values()
     panel = keep(build_panel(prices, fundamentals, macro, cfg, seq, keep))
     states = inference.states_by_date(panel, vocab.MACRO_STATES)
     sector = ["sector"] if cfg.sector_neutral and "sector" in panel.columns else []
@@ -71,7 +77,9 @@ def run(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, cfg: Confi
     rolled = rolling.add_rolling_stats(fscores, cfg.rolling_windows)
     pscores = keep(th.score_themes(rolled, themes))
     wf = portfolio.walk_forward(ranked, pscores, themes, cfg.top_n, cfg.weight_smoothing_periods)
+    checked = {"input_audit": audits, "input_issues": issues} if cut else {}
     return {
+        **checked,
         "panel_rebalance_data": panel,
         "factor_ranks": ranked,
         "factor_scores": rolled,

@@ -33,7 +33,14 @@ def read_table_csv(spark: SparkSession, path, ddl, seq="input_seq") -> DataFrame
     """One CSV input: header names trimmed and lower-cased, columns in any order, typed by the
     contract, with `seq` carrying file order for keep-last."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return apply_contract(normalise_header(raw), ddl).withColumn(seq, F.monotonically_increasing_id())
+    return apply_contract(normalise_header(in_file_order(raw, seq)), ddl)
+
+
+def in_file_order(df: DataFrame, seq="input_seq") -> DataFrame:
+    """Adds the place of each row over all files read: file, then piece of the file, then row in it. Spark deals pieces to tasks by
+    size; a piece is read by one task from its first row to its last, so the row's number in the task orders it there."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                   F.monotonically_increasing_id().alias("row")).alias(seq))
 
 
 def parse_series(df: DataFrame, series, date_col, value_col, missing=".") -> DataFrame:

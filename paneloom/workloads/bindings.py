@@ -4,11 +4,13 @@ Prices, attributes and macro series are whole-number sums divided once, so they
 two engines rank them identically, ties included.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from paneloom.functions.expr import change, quarter_end
 from paneloom.operators import calendar, features, ranking, rolling, scores, themes as th
-from paneloom.session import cut_lineage
+from paneloom.session import cut_lineage, shared_folder
 
 # chain vocabulary used by the score, theme and portfolio queries
 CHAIN_FACTORS = ["f1", "f2", "f4", "mom"]
@@ -36,6 +38,11 @@ def table(spark: SparkSession, sf_dir, name) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/paneloom-{uuid.uuid4().hex}"
+
+
 def out(df: DataFrame, digits=6) -> DataFrame:
     """Comparison form: doubles rounded, whole numbers as BIGINT."""
     cols = []

@@ -144,6 +144,26 @@ def _(s, d):
     return st.tag_run(b.rolled(s, d), "run-1")
 
 
+@q("s13_results_read_back", f"SELECT date, factor, {r('ic', 'spread', 'payoff_slope')}, n_stocks, fmt FROM ro CROSS JOIN (VALUES ('csv'), ('parquet')) f(fmt)")
+def _(s, d):
+    """Scores written as both kinds of result table, read back and put together."""
+    t, out, both = b.score_rows(s, d), b.scratch(s), None
+    for fmt in ("csv", "parquet"):
+        st.write_results({"scores": t}, f"{out}/{fmt}", fmt)
+        back = s.read.schema(t.schema).option("header", True).format(fmt).load(f"{out}/{fmt}/scores").withColumn("fmt", F.lit(fmt))
+        both = back if both is None else both.unionByName(back)
+    return both
+
+
+@q("s14_published_runs", f"SELECT date, factor, {r('ic', 'spread', 'payoff_slope')}, n_stocks, 'run-1' AS run_id FROM ro")
+def _(s, d):
+    """One run published, another left without its commit: a reader sees the first alone."""
+    t, out = b.cut_lineage(b.score_rows(s, d)), b.scratch(s)
+    st.persist_run({"scores": t}, "run-1", out, st.run_row(s, "run-1", research.as_of(t), {"top_n": 20}))
+    st.persist_run({"scores": t}, "run-2", out)
+    return st.read_runs(s, out, "scores")
+
+
 @q("s14_run_row", """SELECT 'run-1' AS run_id, max(date) AS as_of_date, '{"top_n": 20}' AS config_json,
    '[]' AS warnings_json, 'valid' AS status FROM ro""")
 def _(s, d):
@@ -178,6 +198,17 @@ def _(s, d):
 _AT = "2002-01-01 00:00:00"
 
 
+@q("s16_upsert_on_disk", f"""SELECT ticker, date, {r('CASE WHEN ticker % 3 = 0 THEN 2 * adj_close ELSE adj_close END AS adj_close', 'volume')},
+   CASE WHEN ticker % 3 = 0 THEN 'second' ELSE 'first' END AS provider, 64 AS hash_length FROM daily""")
+def _(s, d):
+    """Two deliveries of prices, the second with new values for a third of the entities; each row twice, the older first."""
+    path, p = f"{b.scratch(s)}/prices", b.daily(s, d)
+    twice = p.withColumn("input_seq", F.lit(1)).unionByName(p.withColumn("adj_close", -F.col("adj_close")).withColumn("input_seq", F.lit(0)))
+    ig.ingest_prices(s, path, twice, "first", _AT)
+    ig.ingest_prices(s, path, p.where(F.col("ticker") % 3 == 0).withColumn("adj_close", 2 * F.col("adj_close")), "second", "2002-01-02 00:00:00")
+    return st.read_store(s, path).select("ticker", "date", "adj_close", "volume", "provider", F.length("raw_payload_hash").cast("long").alias("hash_length"))
+
+
 @q("s17_ingest_prices", f"SELECT ticker, date, {r('adj_close', 'volume')}, 'vendor' AS provider, 'digest' AS raw_payload_hash, 2002 AS retrieved_year FROM daily")
 def _(s, d):
     x = st.price_rows(b.daily(s, d), "vendor", _AT, "digest")
@@ -197,9 +228,14 @@ def _(s, d):
                     "gross_margin", "sector", "provider")
 
 
-@q("s21_fingerprint")
+_MD = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in ("l_orderkey", "l_linenumber", *_LREST)) + "))"
+
+
+@q("s21_fingerprint", f"""SELECT n_rows, sha256(n_rows || '|' || a || '|' || b) AS payload_hash FROM (SELECT count(*) AS n_rows,
+   CAST(sum(CAST('0x' || substr(m, 1, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR) AS a,
+   CAST(sum(CAST('0x' || substr(m, 17, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR) AS b FROM (SELECT {_MD} AS m FROM lineitem))""")
 def _(s, d):
-    return st.fingerprint(b.table(s, d, "lineitem"))
+    return st.fingerprint(b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *_LREST))
 
 
 # --- projections, predicates, scalar functions -----------------------------------------------
@@ -345,6 +381,31 @@ def _(s, d):
     return ql.audit_stats({"prices": b.daily(s, d), "fundamentals": b.fundamentals(s, d), "macro": b.macro(s, d)})
 
 
+_Q8D = "(SELECT CASE WHEN day(date) = 1 THEN NULL ELSE date END AS date, ticker, CASE WHEN ticker % 10 = 0 THEN -adj_close ELSE adj_close END AS adj_close, CASE WHEN ticker % 3 = 0 THEN volume END AS volume FROM daily)"
+_Q8K = f"(SELECT * FROM {_Q8D} WHERE date IS NOT NULL)"
+_Q8M = "md5(concat_ws('|', CAST(date AS VARCHAR), CAST(ticker AS VARCHAR), '1.5', coalesce(CAST(volume AS VARCHAR), '\\N')))"
+_Q8H = f"""(SELECT sha256(count(*) || '|' || CAST(sum(CAST('0x' || substr(m, 1, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR) || '|' ||
+   CAST(sum(CAST('0x' || substr(m, 17, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS VARCHAR)) FROM (SELECT {_Q8M} AS m FROM {_Q8K} WHERE adj_close > 0))"""
+
+
+@q("q8_checked_load", f"""SELECT 'audit' AS kind, 'prices' AS name, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT ticker) AS n_entities, min(date) AS first_date, max(date) AS last_date,
+   {_Q8H} AS payload_hash FROM {_Q8K} WHERE adj_close > 0
+   UNION ALL SELECT 'warning', 'bad dates', count(*), NULL, NULL, NULL, NULL FROM (SELECT * FROM {_Q8D} UNION ALL SELECT * FROM {_Q8D} WHERE ticker % 4 = 1) WHERE date IS NULL
+   UNION ALL SELECT 'warning', 'repeated keys', count(*), NULL, NULL, NULL, NULL FROM {_Q8K} WHERE ticker % 4 = 1
+   UNION ALL SELECT 'warning', 'prices not above zero', count(*), NULL, NULL, NULL, NULL FROM {_Q8K} WHERE adj_close <= 0
+   UNION ALL SELECT 'warning', 'missing volume', round(avg(CASE WHEN volume IS NULL THEN 1.0 ELSE 0 END), 6), NULL, NULL, NULL, NULL FROM (SELECT * FROM {_Q8D} UNION ALL SELECT * FROM {_Q8D} WHERE ticker % 4 = 1)""")
+def _(s, d):
+    """Prices with bad dates, repeated keys, prices below zero and missing volumes, checked while they are written."""
+    p = b.daily(s, d).select(F.when(F.dayofmonth("date") != 1, F.col("date")).alias("date"), "ticker",
+                             F.when(F.col("ticker") % 10 == 0, -1.5).otherwise(1.5).alias("adj_close"),
+                             F.when(F.col("ticker") % 3 == 0, F.col("volume")).alias("volume"), F.lit(1).alias("seq"))
+    p = p.unionByName(p.where("ticker % 4 = 1").withColumn("seq", F.lit(0)))
+    _, audit, issues = ql.load_checked(p, "prices", "seq")
+    return audit.select(F.lit("audit").alias("kind"), F.col("table_name").alias("name"), F.col("n_rows").cast("double").alias("n"), "n_entities",
+                        "first_date", "last_date", "payload_hash").unionByName(
+        issues.select(F.col("severity").alias("kind"), F.col("issue").alias("name"), F.col("observed").alias("n")), allowMissingColumns=True)
+
+
 _GATE_DAY = "2001-11-20"
 _GU = "SELECT ticker, (SELECT max(date) FROM daily p WHERE p.ticker = univ.ticker) AS latest FROM univ"
 _G9 = f"SELECT 'price_coverage' AS check_name, CAST(count(latest) AS DOUBLE)/count(*) AS observed, CAST(0.6 AS DOUBLE) AS threshold, CAST(count(latest) AS DOUBLE)/count(*) >= 0.6 AS passed, false AS warning FROM ({_GU})"
@@ -417,6 +478,12 @@ def _(s, d):
     return _j1(s, d, span_days=365)
 
 
+@q("j1_asof_heavy_keys", _J1)
+def _(s, d):
+    """Every key heavier than a handful of rows is cut into spans."""
+    return _j1(s, d, span_rows=5)
+
+
 @q("j2_attach_macro", f"""SELECT p.ticker, p.date, {r(*[f'm.{c} AS {c}' for c in STATES])} FROM monthly p
    LEFT JOIN (SELECT a.date AS pd, ms.* FROM (SELECT DISTINCT date FROM monthly) a ASOF LEFT JOIN ms ON a.date >= ms.date) m ON m.pd = p.date""")
 def _(s, d):
@@ -726,6 +793,19 @@ def _(s, d):
     return cal.price_grid(b.daily(s, d), b.days(s, d)).select("ticker", "day_idx", "adj_close", "filled", "ret")
 
 
+_W1O = "(SELECT ticker, date, CASE WHEN ticker % 9 = 0 THEN NULL WHEN ticker % 5 = 1 THEN 2 * adj_close ELSE adj_close END AS adj_close FROM daily)"
+_W1G = f"""(SELECT t.ticker, c.i, s.adj_close, last_value(s.adj_close IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY c.i) AS filled
+   FROM (SELECT DISTINCT ticker FROM daily) t CROSS JOIN cal_d c LEFT JOIN {_W1O} s ON s.ticker = t.ticker AND s.date = c.date)"""
+
+
+@q("w1_repeats_and_empty", f"""SELECT ticker, i AS day_idx, {r('adj_close', 'filled')}, {r('filled / lag(filled) OVER (PARTITION BY ticker ORDER BY i) - 1 AS ret')} FROM {_W1G}""")
+def _(s, d):
+    """Entities without a single price, and rows that repeat a day, of which the last counts."""
+    p = b.daily(s, d).withColumn("adj_close", F.when(F.col("ticker") % 9 != 0, F.col("adj_close"))).withColumn("seq", F.lit(0))
+    p = p.unionByName(p.where("ticker % 5 = 1").withColumns({"adj_close": 2 * F.col("adj_close"), "seq": F.lit(1)}))
+    return cal.price_grid(p, b.days(s, d), seq="seq").select("ticker", "day_idx", "adj_close", "filled", "ret")
+
+
 _WZ = f"SELECT date, ticker, factor, {r('value', 'w')} FROM wz"
 
 
@@ -1000,7 +1080,7 @@ rel("x_tm", theme_values(vocab.THEMES))
 
 
 def _full(s, d):
-    return research.run(b.monthly(s, d).select("date", "ticker", "adj_close"), b.fundamentals(s, d), b.macro(s, d), FULL)
+    return research.run(b.monthly(s, d).select("date", "ticker", "adj_close", "volume"), b.fundamentals(s, d), b.macro(s, d), FULL)
 
 
 @q("full_run_factor_scores", f"SELECT date, factor, {r('ic', 'spread', 'payoff_slope')}, n_stocks, {r(*ROLLED)} FROM x_ro")

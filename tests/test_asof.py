@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from paneloom.operators import asof
 
@@ -67,3 +68,19 @@ def test_unkeyed_asof(spark):
     p = panel(spark, ("2020-01-30", "A"), ("2020-02-15", "A"), ("2020-03-01", "A"), ("2020-03-01", "B"))
     got = {(str(r["date"]), r["ticker"]): r["x"] for r in asof.asof_by_date(p, s).collect()}
     assert got == {("2020-01-30", "A"): None, ("2020-02-15", "A"): 1.0, ("2020-03-01", "A"): None, ("2020-03-01", "B"): None}
+
+
+def test_heavy_key_in_even_spans(spark, rows):
+    """One key holds nine rows in ten; its rows are dealt over spans, and no span holds more than a few per cent."""
+    rnd = random.Random(8)
+    base = dt.date(2000, 1, 1)
+    pick = lambda: ("HOT" if rnd.random() < .9 else f"k{rnd.randrange(5)}", base + dt.timedelta(days=int(rnd.random() ** 2 * 2000)))
+    left = spark.createDataFrame([(*pick(), i) for i in range(3000)] + [("HOT", None, -1)], "k STRING, d DATE, i INT")
+    right = spark.createDataFrame([(*pick(), float(i)) for i in range(1500)], "k STRING, d DATE, v DOUBLE")
+    one = asof.asof_join(left, right, ["k"], "d", "d", "m")
+    assert rows(asof.asof_join(left, right, ["k"], "d", "d", "m", span_rows=100)) == rows(one)
+    both = left.select("k", F.col("d").alias("__t")).unionByName(right.select("k", F.col("d").alias("__t")))
+    starts = {r["k"]: r["__starts"] for r in asof.span_starts(both, ["k"], 100).collect()}
+    hot = sorted(r["__t"] for r in both.where("k = 'HOT' and __t is not null").collect())
+    sizes = [sum(a <= t < b for t in hot) for a, b in zip([dt.date.min, *starts["HOT"]], [*starts["HOT"], dt.date.max])]
+    assert sum(sizes) == len(hot) and max(sizes) < .06 * 4500

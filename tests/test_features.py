@@ -121,3 +121,11 @@ def test_yearly_growth(spark):
 def test_pad_filled_change(spark):
     d = spark.createDataFrame([(1, 1.0), (2, None), (3, 4.0)], "date INT, v DOUBLE")
     assert [r["chg"] for r in ft.pad_change(d, "v").orderBy("date").collect()] == [None, 0.0, 3.0]
+
+
+def test_grid_with_repeats_and_empty_entities(spark, rows):
+    d = spark.createDataFrame([("A", 0, 10.0, 1, 0, 3), ("A", 2, 11.0, 1, 0, 3), ("A", 2, 12.0, 2, 0, 3), ("B", 1, None, 1, 0, 3), ("B", 2, None, 1, 0, 3)],
+                              "e STRING, i INT, v DOUBLE, s INT, __lo INT, __hi INT")
+    want = [("A", 0, 10.0, None), ("A", 1, None, 0.0), ("A", 2, 12.0, .2), ("A", 3, None, 0.0), *[("B", i, None, None) for i in range(4)]]
+    assert rows(cal.padded_grid(d, "e", "i", "v", seq="s"), "e", "i", "v", "ret") == want
+    assert rows(cal.padded_grid(d, "e", "i", "v"), "e", "i", "v", "ret") == want

@@ -131,13 +131,13 @@ def test_ingest_upserts_and_logs(spark, tmp_path, rows):
     assert (log["status"], log["rows_ingested"]) == ("succeeded", 2)
     again = prices(spark, ("2020-01-01", "AAA", 99.0), ("2020-01-02", "BBB", 5.0)).drop("seq")
     ig.ingest_prices(spark, path, again, "v2", "2020-03-02 00:00:00")
-    got = spark.read.parquet(path)
+    got = st.read_store(spark, path)
     assert rows(got, "date", "ticker", "adj_close", "provider") == [
         (dt.date(2020, 1, 1), "AAA", 99.0, "v2"), (dt.date(2020, 1, 2), "BBB", 5.0, "v2"), (dt.date(2020, 2, 3), "AAA", 11.0, "v1")]
     assert {len(r[0]) for r in got.select("raw_payload_hash").collect()} == {64}
     bad = again.withColumn("date", F.raise_error(F.lit("boom")).cast("date"))
-    log = st.ingest(spark, path, st.price_rows(bad, "v3"), ["ticker", "date"], "date").first()
-    assert log["status"] == "failed" and "boom" in log["error_message"] and spark.read.parquet(path).count() == 3
+    log = ig.ingest_prices(spark, path, bad, "v3").first()
+    assert log["status"] == "failed" and "boom" in log["error_message"] and st.read_store(spark, path).count() == 3
 
 
 def test_ingest_macro_and_fundamentals(spark, tmp_path, rows):
@@ -145,7 +145,7 @@ def test_ingest_macro_and_fundamentals(spark, tmp_path, rows):
     assert ig.ingest_macro(spark, str(tmp_path / "m"), m, "p").first()["rows_ingested"] == 1
     f = spark.createDataFrame([("A", dt.date(2020, 1, 31), .1)], "ticker STRING, date DATE, roe DOUBLE")
     ig.ingest_fundamentals(spark, str(tmp_path / "f"), f, "p")
-    assert rows(spark.read.parquet(str(tmp_path / "f")), "availability_date", "roe", "pe", "sector") == [(dt.date(2020, 3, 31), .1, None, None)]
+    assert rows(st.read_store(spark, str(tmp_path / "f")), "availability_date", "roe", "pe", "sector") == [(dt.date(2020, 3, 31), .1, None, None)]
 
 
 def test_fingerprint_ignores_order_only(spark):
@@ -174,11 +174,88 @@ def test_last_row_of_a_delivery_wins(spark, tmp_path, rows):
     many = prices(spark, *[("2020-01-01", "AAA", float(p)) for p in range(10, 15)]).drop("seq")
     for _ in range(2):  # into a new store, then over an old one
         assert ig.ingest_prices(spark, path, many.coalesce(1), "v", "2020-03-01 00:00:00").first()["status"] == "succeeded"
-        assert rows(spark.read.parquet(path), "ticker", "adj_close") == [("AAA", 14.0)]
+        assert rows(st.read_store(spark, path), "ticker", "adj_close") == [("AAA", 14.0)]
     told = many.withColumn("input_seq", -F.col("adj_close").cast("long"))
     ig.ingest_prices(spark, path, told, "v", "2020-03-01 00:00:00")
-    assert rows(spark.read.parquet(path), "ticker", "adj_close") == [("AAA", 10.0)]
-    assert "input_seq" not in spark.read.parquet(path).columns
-    assert [p.name for p in tmp_path.iterdir()] == ["prices"] and len(list((tmp_path / "prices").glob("month=*/*.parquet"))) == 1
+    assert rows(st.read_store(spark, path), "ticker", "adj_close") == [("AAA", 10.0)]
+    assert "input_seq" not in st.read_store(spark, path).columns
+    assert [p.name for p in tmp_path.iterdir()] == ["prices"]
+    st.vacuum(spark, path, keep=1)
+    assert len(list((tmp_path / "prices").glob("data/*/month=*/*.parquet"))) == 1
     bad = many.withColumn("volume", F.raise_error(F.lit("boom")).cast("double"))
     assert ig.ingest_prices(spark, path, bad, "v").first()["status"] == "failed"
+
+
+def test_upsert_is_one_commit(spark, tmp_path, rows, monkeypatch):
+    """A delivery whose commit fails leaves the rows that readers see; old generations go with vacuum, rows do not."""
+    path = str(tmp_path / "prices")
+    ig.ingest_prices(spark, path, prices(spark, ("2020-01-01", "A", 1.0), ("2020-02-01", "A", 2.0)).drop("seq"), "v")
+    fails = lambda *a: (_ for _ in ()).throw(OSError("disk"))
+    with monkeypatch.context() as m:
+        m.setattr(st, "_commit", fails)
+        log = ig.ingest_prices(spark, path, prices(spark, ("2020-01-01", "A", 9.0)).drop("seq"), "v").first()
+    assert log["status"] == "failed" and rows(st.read_store(spark, path), "adj_close") == [(1.0,), (2.0,)]
+    for v in (3.0, 4.0, 5.0):
+        ig.ingest_prices(spark, path, prices(spark, ("2020-01-01", "A", v), ("2020-01-02", "A", v)).drop("seq"), "v")
+    data = tmp_path / "prices" / "data"
+    before = len(list(data.iterdir()))
+    st.vacuum(spark, path, keep=1)
+    assert before == 5 and len(list(data.iterdir())) == 2
+    assert rows(st.read_store(spark, path), "adj_close") == [(2.0,), (5.0,), (5.0,)]
+    assert rows(st.read_store(spark, path, ["2020-02"]), "adj_close") == [(2.0,)]
+
+
+def test_large_month_is_shared_by_tasks(spark, tmp_path):
+    """No task writes a whole month."""
+    path = str(tmp_path / "big")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        d = spark.range(300000).select(F.sha2(F.col("id").cast("string"), 256).alias("ticker"), F.lit(DAY).alias("date"), F.rand(1).alias("adj_close"), F.lit(1.0).alias("volume"))
+        assert ig.ingest_prices(spark, path, d, "v").first()["status"] == "succeeded"
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "big" / "data").glob("*/month=2020-06/*.parquet"))) > 3 and st.read_store(spark, path).count() == 300000
+
+
+def test_failed_run_leaves_no_trace(spark, tmp_path):
+    out, t = str(tmp_path / "runs"), spark.createDataFrame([(1, 2.0)], "k INT, v DOUBLE")
+    row = st.run_row(spark, "r", spark.createDataFrame([(DAY,)], "as_of_date DATE"), {})
+    st.persist_run({"a": t, "b": t, "c": t}, "r1", out, row)
+    bad = t.withColumn("v", F.raise_error(F.lit("boom")).cast("double"))
+    with pytest.raises(Exception, match="boom"):
+        st.persist_run({"a": t, "b": t, "c": bad}, "r2", out, row)
+    assert not list((tmp_path / "runs").glob("*/run_id=r2"))
+    st.persist_run({"a": t}, "r3", out)  # never committed
+    for name in "abc":
+        assert [r["run_id"] for r in st.read_runs(spark, out, name).collect()] == ["r1"]
+
+
+def test_file_order_over_packed_files(spark, tmp_path, rows):
+    """Spark reads the large file first; the row of the last file by name still wins."""
+    line = "A,2020-01-01,%s,1\n"
+    (tmp_path / "b_last.csv").write_text("ticker,date,adj_close,volume\n" + line % 7.5)
+    (tmp_path / "a_first.csv").write_text("ticker,date,adj_close,volume\n" + "".join(line % i for i in range(2000)))
+    raw = rd.read_table_csv(spark, str(tmp_path), "date DATE, ticker STRING, adj_close DOUBLE, volume DOUBLE")
+    assert rows(ql.validate_table(raw, "prices", "input_seq"), "adj_close") == [(7.5,)]
+    (tmp_path / "b_last.csv").unlink()
+    assert rows(ql.validate_table(raw.sparkSession.read.option("header", True).csv(str(tmp_path)).transform(rd.in_file_order), "prices", "input_seq"), "adj_close") == [("1999",)]
+
+
+def test_checked_load(spark, rows, tmp_path):
+    p = prices(spark, ("2020-01-01", "A", 10.0), ("2020-01-01", "A", 11.0), ("2020-01-02", "A", -1.0), ("2020-01-03", "B", None))
+    p = p.unionByName(p.limit(1).withColumn("date", F.lit(None).cast("date")))
+    table, audit, issues = ql.load_checked(p, "prices", "seq")
+    assert rows(table, "ticker", "adj_close") == [("A", 11.0), ("B", None)]
+    a = audit.first()
+    assert tuple(a)[:5] == ("prices", 2, 2, dt.date(2020, 1, 1), dt.date(2020, 1, 3))
+    assert a["payload_hash"] == st.fingerprint(table.drop("seq")).first()["payload_hash"]
+    assert {(r["severity"], r["issue"], r["observed"]) for r in issues.collect()} == {
+        ("warning", "bad dates", 1.0), ("warning", "repeated keys", 1.0), ("warning", "prices not above zero", 1.0), ("note", "missing date", .2), ("note", "missing adj_close", .2)}
+    with pytest.raises(ql.InputError, match="empty"):
+        ql.load_checked(p.limit(0), "prices", "seq")
+    with pytest.raises(ql.InputError, match="lacks"):
+        ql.load_checked(p.drop("volume"), "prices")
+    macro = spark.createDataFrame([(DAY, 1.0), (DAY, 2.0)], "date DATE, vix DOUBLE")
+    assert ig.ingest_macro(spark, str(tmp_path / "m"), macro.limit(0), "p").first()["status"] == "succeeded"
+    assert rows(ql.load_checked(macro, "macro")[0], "vix") == [(2.0,)]

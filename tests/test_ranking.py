@@ -108,3 +108,23 @@ def test_coverage_filter(spark):
     r = rk.rank_factors(d)
     assert {x["factor"]: x["coverage"] for x in rk.factor_coverage(r).collect()} == {"f": .4, "g": .8}
     assert {x[0] for x in rk.keep_covered(r, .5).select("factor").collect()} == {"g"}
+
+
+def test_plans_read_their_input_a_few_times(spark):
+    """One reading each for cuts, counts, the bounds' buckets and the rows; nothing is copied along a chain of operators."""
+    from paneloom.operators import inference as inf
+    from paneloom.session import cut_lineage
+    stored = cut_lineage(hot_panel(spark, 200))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ranked = cut_lineage(rk.rank_factors(stored))
+    for df, scans, exchanges in ((rk.pct_rank(stored, ["date"], "value"), 5, 14), (rk.rank_factors(stored), 10, 32),
+                                 (sc.score_factors(ranked, "y"), 5, 16), (inf.bh_fdr(stored, "value", ["date"]), 10, 32)):
+        p = plan(df)
+        assert p.count("FileScan") <= scans and p.count("Exchange") <= exchanges, (p.count("FileScan"), p.count("Exchange"))
+
+
+def test_panel_coverage(spark):
+    d = spark.createDataFrame([(1, .1, None, "A"), (2, .2, .3, None), (3, None, None, "A"), (4, .4, None, "B")], "ticker INT, f DOUBLE, g DOUBLE, sector STRING")
+    assert {r["factor"]: (r["coverage"], r["kept"]) for r in rk.panel_coverage(d, ["f", "g", "absent"]).collect()} == {"f": (.75, True), "g": (.25, False)}
+    assert {r["factor"]: r["coverage"] for r in rk.panel_coverage(d, ["f", "g"], "sector").collect()} == {"f": .5, "g": 0.0}
+    assert {r["factor"] for r in rk.covered_long(d, ["f", "g"], ["ticker"]).collect()} == {"f"}
