@@ -248,8 +248,9 @@ def decode(model, feats: list) -> list:
 def train(pages: DataFrame, html_col="html"):
     """The model: from the seeds, and from a bounded sample of the pages that mark their text themselves."""
     c = pages[html_col].cast("string")
-    marked = pages.where(c.rlike("(?i)<(article|main)[ >]")).select(F.xxhash64(c).alias("h"), c.alias("html")).dropDuplicates(["h"])
-    rows = marked.orderBy("h").limit(SAMPLE_PAGES).select(F.col("html")).collect()  # SAMPLE_PAGES at most
+    marked = pages.where(c.rlike("(?i)<(article|main)[ >]")).select(F.xxhash64(c).alias("h"), c.alias("html"))
+    chosen = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]  # SAMPLE_PAGES at most
+    rows = marked.where(F.col("h").isin(chosen)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if chosen else []
     data = [(features(f, hidden), y) for f, y in seeds() for hidden in (frozenset(), MARKS, MARKS | ASIDE)]
     for r in rows:
         found = blocks(r["html"])[:SAMPLE_BLOCKS]
