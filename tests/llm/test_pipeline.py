@@ -5,8 +5,8 @@ import pytest
 
 import corpus_pipeline as cp
 import test_mixing
+import test_near_copies
 import test_pieces
-import test_simhash
 from paneloom.llm import pieces, pii, queries, quality_lm
 from paneloom.llm.common import stored
 
@@ -30,7 +30,7 @@ def test_stages(spark, monkeypatch):
     assert sum(i in got for i in clean) >= 0.98 * len(clean)
 
     one = stored(cp.near_duplicates(spark, kept, SF))
-    want = test_simhash.plain_classes({i: test_simhash.plain_fingerprint(r["text"]) for i, r in got.items()}, 4)
+    want = test_near_copies.plain_classes(test_near_copies.plain_sets([(i, r["text"]) for i, r in got.items()]))
     got2 = rows(one)
     assert got2 == {i: got[i] for i in set(want.values())}
 
