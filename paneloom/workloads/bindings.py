@@ -159,7 +159,8 @@ def panel(spark, d) -> DataFrame:
 
 
 def long_panel(spark, d) -> DataFrame:
-    return ranking.to_long(panel(spark, d), CHAIN_FACTORS, ["date", "ticker", "sector", "y"])
+    """The panel is written once, as in the real run: ranking reads it several times."""
+    return ranking.to_long(cut_lineage(panel(spark, d)), CHAIN_FACTORS, ["date", "ticker", "sector", "y"])
 
 
 def ranked(spark, d) -> DataFrame:
@@ -167,20 +168,21 @@ def ranked(spark, d) -> DataFrame:
     return cut_lineage(ranking.rank_factors(long_panel(spark, d)))
 
 
-def score_rows(spark, d) -> DataFrame:
-    return scores.score_factors(ranked(spark, d), "y")
+def score_rows(spark, d, ranks=None) -> DataFrame:
+    """`ranks`: what `ranked` gave, where the caller has it."""
+    return scores.score_factors(ranked(spark, d) if ranks is None else ranks, "y")
 
 
-def rolled(spark, d) -> DataFrame:
-    return rolling.add_rolling_stats(score_rows(spark, d), 8)
+def rolled(spark, d, ranks=None) -> DataFrame:
+    return rolling.add_rolling_stats(score_rows(spark, d, ranks), 8)
 
 
 def theme_map(spark) -> DataFrame:
     return th.theme_table(spark, CHAIN_THEMES)
 
 
-def theme_scores(spark, d) -> DataFrame:
-    return th.score_themes(rolled(spark, d), theme_map(spark))
+def theme_scores(spark, d, ranks=None) -> DataFrame:
+    return th.score_themes(rolled(spark, d, ranks), theme_map(spark))
 
 
 def states(spark, d) -> DataFrame:

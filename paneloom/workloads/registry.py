@@ -147,7 +147,7 @@ def _(s, d):
 @q("s13_results_read_back", f"SELECT date, factor, {r('ic', 'spread', 'payoff_slope')}, n_stocks, fmt FROM ro CROSS JOIN (VALUES ('csv'), ('parquet')) f(fmt)")
 def _(s, d):
     """Scores written as both kinds of result table, read back and put together."""
-    t, out, both = b.score_rows(s, d), b.scratch(s), None
+    t, out, both = b.cut_lineage(b.score_rows(s, d)), b.scratch(s), None
     for fmt in ("csv", "parquet"):
         st.write_results({"scores": t}, f"{out}/{fmt}", fmt)
         back = s.read.schema(t.schema).option("header", True).format(fmt).load(f"{out}/{fmt}/scores").withColumn("fmt", F.lit(fmt))
@@ -693,7 +693,8 @@ _WF = f"SELECT date, n_holdings, {r('portfolio_forward_excess_return')}, hit FRO
 
 
 def _wf(s, d):
-    return pf.walk_forward(b.ranked(s, d), b.theme_scores(s, d), b.theme_map(s), 20, y="y")
+    ranks = b.ranked(s, d)
+    return pf.walk_forward(ranks, b.theme_scores(s, d, ranks), b.theme_map(s), 20, y="y")
 
 
 @q("a14_walk_forward", _WF)
@@ -955,17 +956,20 @@ def _latest_ranks(where):
 
 @q("k2_top_entities_as_of", _latest_ranks(f"date = DATE '{b.AS_OF}'"))
 def _(s, d):
-    return pf.composite_ranks(b.ranked(s, d), b.theme_scores(s, d), b.theme_map(s), 20, b.AS_OF, theme_names=_THN)
+    ranks = b.ranked(s, d)
+    return pf.composite_ranks(ranks, b.theme_scores(s, d, ranks), b.theme_map(s), 20, b.AS_OF, theme_names=_THN)
 
 
 @q("k2_top_entities_latest", _latest_ranks("date = (SELECT max(date) FROM panel)"))
 def _(s, d):
-    return pf.composite_ranks(b.ranked(s, d), b.theme_scores(s, d), b.theme_map(s), 20, theme_names=_THN)
+    ranks = b.ranked(s, d)
+    return pf.composite_ranks(ranks, b.theme_scores(s, d, ranks), b.theme_map(s), 20, theme_names=_THN)
 
 
 @q("k2_unscored_day_is_empty", "SELECT ticker, composite_score FROM cs WHERE false")
 def _(s, d):
-    return pf.composite_ranks(b.ranked(s, d), b.theme_scores(s, d), b.theme_map(s), 20, "1971-01-01",
+    ranks = b.ranked(s, d)
+    return pf.composite_ranks(ranks, b.theme_scores(s, d, ranks), b.theme_map(s), 20, "1971-01-01",
                               theme_names=_THN).select("ticker", "composite_score")
 
 
