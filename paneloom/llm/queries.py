@@ -117,13 +117,13 @@ lists AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template,
 files AS (SELECT doc_id, concat_ws('/', source, lang, (doc_id // 1000)::VARCHAR, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS n FROM files),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({SQL_TERMS.format("text")})) AS term FROM files) GROUP BY term),
-idf AS (SELECT DISTINCT term, ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf FROM lists LEFT JOIN df USING (term), n),
+idf AS (SELECT term, ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM lists UNION SELECT term FROM df) LEFT JOIN df USING (term), n),
 wt AS (SELECT template, license, term, tf * idf AS w, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY template)) AS len FROM lists JOIN idf USING (term)),
 texts AS (SELECT DISTINCT text, string_split(text, chr(10)) AS l FROM files),
 win AS (SELECT text, 0 AS lines, 0 AS i, array_to_string(l, ' ') AS piece FROM texts
   {" ".join(f"UNION ALL SELECT text, {w}, i, array_to_string(l[i + 1:i + {w}], ' ') FROM (SELECT text, l, unnest(range(0, len(l), {s})) AS i FROM texts)" for w, s in license_scan.WINDOWS)}),
 tf AS (SELECT text, lines, i, term, count(*) AS tf FROM (SELECT text, lines, i, unnest({SQL_TERMS.format("piece")}) AS term FROM win) GROUP BY ALL),
-val AS (SELECT text, lines, i, term, tf * coalesce(idf, ln(n + 1.0::DOUBLE) + 1) AS x FROM tf LEFT JOIN idf USING (term), n),
+val AS (SELECT text, lines, i, term, tf * idf AS x FROM tf JOIN idf USING (term)),
 norm AS (SELECT text, lines, i, sqrt(sum(x * x)) AS norm FROM val GROUP BY ALL),
 dot AS (SELECT text, lines, i, template, license, sum(x * w) AS dot, max(len) AS len FROM val JOIN wt USING (term) GROUP BY ALL),
 near AS (SELECT *, round(dot / norm / len, 6) AS score FROM dot JOIN norm USING (text, lines, i) WHERE round(dot / norm / len, 6) >= {license_scan.LEAST}),

@@ -34,3 +34,13 @@ def test_the_sql_says_the_same(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     got = ls.scan(df.withColumn("path", F.concat_ws("/", "source", "lang", (F.col("doc_id") / 1000).cast("long"), "doc_id"))).collect()
     assert sorted(str(tuple(r[n] for n in names)) for r in got) == sorted(map(str, cur.fetchall()))
+
+
+def test_a_notice_beside_common_words_is_found_at_any_size(spark):
+    """All words count by the files they occur in, so that common ones weigh little however many files there are."""
+    for n in (200, 20000):
+        common = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), F.lit("from the main page of this").alias("text"))
+        own = spark.createDataFrame([(-1, "a/x", "the Released under the MIT License. of this page"), (-2, "b/x", ls.TEMPLATES[10][1] + "\nfrom the main page")], common.schema)
+        got = {r["doc_id"]: r for r in ls.scan(common.unionByName(own)).where("license is not null").collect()}
+        assert {i: r["license"] for i, r in got.items()} == {-1: "MIT", -2: ls.TEMPLATES[10][0]}
+        assert got[-2]["licence_file"] and got[-1]["score"] > 0.8
