@@ -77,6 +77,11 @@ def terms(text):
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), 0)
 
 
+def once(x):
+    """The value as a row of its own, so that filters on it are not pushed below it, where it would be worked out again."""
+    return F.explode(F.array(x))
+
+
 def template_terms(spark, templates) -> DataFrame:
     """(template, license, term, tf)."""
     t = spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(templates)], "template int, license string, text string")
@@ -110,8 +115,8 @@ def scan(files: DataFrame, templates=TEMPLATES, least=LEAST, id_col="doc_id", pa
     starts = lambda w, step: F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(step)), lambda i: F.struct(F.lit(w).alias("w"), i.alias("i")))
     cut = found.select("key", lines.alias("lines"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("w"), F.lit(0).alias("i"))), *(starts(*x) for x in WINDOWS))).alias("at"))
     piece = F.when(F.col("at.w") == 0, F.array_join("lines", " ")).otherwise(F.array_join(F.slice("lines", F.col("at.i") + 1, F.greatest("at.w", F.lit(1))), " "))
-    cut = cut.select("key", (F.col("at.w") == 0).alias("is_whole"), terms(piece).alias("terms"))
-    cut = cut.withColumn("hit", hits("terms")).withColumn("held", held(F.col("hit"))).where(F.col("held") >= floor)
+    cut = cut.select("key", (F.col("at.w") == 0).alias("is_whole"), once(terms(piece)).alias("terms"))
+    cut = cut.select("*", once(hits("terms")).alias("hit")).select("*", once(held(F.col("hit"))).alias("held")).where(F.col("held") >= floor)
     cut = cut.withColumn("hit", F.transform("hit", lambda t: F.struct(F.size(F.filter("terms", lambda x: x == t)).alias("tf"), known[t]["idf"].alias("idf"))))
     square = F.aggregate("hit", F.lit(0.0), lambda a, h: a + F.pow(h["tf"] * h["idf"], F.lit(2.0)))
     others = F.size("terms") - F.aggregate("hit", F.lit(0), lambda a, h: a + h["tf"])
