@@ -1,9 +1,11 @@
-"""Quality by the perplexity of a character trigram model with interpolated modified Kneser-Ney smoothing.
+"""Quality by the perplexity of a character 5-gram model with interpolated modified Kneser-Ney smoothing.
 
 The model is trained on all trusted documents but a held-out fifth, over which each language's threshold (a quantile of
 perplexity) is set. Counts, continuation counts, context totals and discounts are keyed aggregations, and the chance of
-each trigram comes from joins of those count tables, sharded by trigram or context. Texts are dealt once into blocks of
-bounded size; a block asks the joins for each of its distinct trigrams once and sums them up for its documents.
+each 5-gram comes from joins of those count tables, sharded by gram or context; so long a gram knows words and how they
+follow each other, and what is counted grows with the trusted text. A gram of k symbols is two numbers, `lo` with its last three and
+`hi` with those before. Texts are dealt into blocks of bounded size; a block asks the joins for each of its distinct grams once
+and sums them up for its documents.
 
 Defined results: a NULL text is the empty text, whose only symbol is the end of text; a document is trusted when it has
 a label and all its labels say quality 1 and not toxic (a NULL toxic says nothing); without trusted documents all
@@ -18,11 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from paneloom.llm.common import dealt, stored, unpacked
 
-ORDER = 3
+ORDER = 5
 SHIFT = 21                            # bits of a symbol
 START, END = 0x110000, 0x110001       # beyond all code points
-DENSE = 1 << 24                       # largest table of all trigrams over a block's own symbols
-BLOCK_CHARS = 4 << 20
+LOW = 3                               # symbols of `lo`
+WIDE = 1 << 62                        # codes of a block stay below
+BLOCK_CHARS = 8 << 20
 HELD_OUT = 5                          # one trusted document in so many sets the thresholds
 QUANTILE = 0.99
 SLACK = 1.5                           # the threshold is at most so many times the quantile: clean text beyond it stays, unless labelled junk lies there too
@@ -39,60 +42,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The trigrams of some texts, coded over the symbols that occur in them."""
+    """The distinct grams of some texts in the order of their symbols, whatever order the texts come in."""
 
     def __init__(self, texts):
         parts, lengths = [], []
-        edge = np.array([END, START, START], np.uint32)
+        edge = np.array([END] + [START] * (ORDER - 1), np.uint32)
         for t in texts:
             a = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
             parts += [a, edge]
             lengths.append(len(a) + 1)
         self.lengths = np.array(lengths, np.int64)
         symbols = np.concatenate([edge[1:], *parts])
-        self.alphabet = np.flatnonzero(np.bincount(symbols, minlength=END + 1))
-        self.place = np.zeros(END + 1, np.int64)
-        self.place[self.alphabet] = np.arange(len(self.alphabet))
-        # each text is followed by an end and two starts: the positions of text symbols and ends are scored
-        ends = np.cumsum(self.lengths + 2) - 1
-        scored = np.ones(len(symbols), bool)
-        scored[:2] = False
-        scored[(ends[:, None] + np.array([1, 2])).ravel()] = False
-        at = np.flatnonzero(scored)
-        code = self.place[symbols] if self.dense else symbols.astype(np.int64)
-        base = len(self.alphabet) if self.dense else 1 << SHIFT
-        self.codes = (code[at - 2] * base + code[at - 1]) * base + code[at]
-
-    @property
-    def dense(self):
-        return len(self.alphabet) ** ORDER <= DENSE
+        at = np.flatnonzero(symbols != START)
+        alphabet = np.flatnonzero(np.bincount(symbols, minlength=END + 1))
+        place = np.zeros(END + 1, np.int32)
+        place[alphabet] = np.arange(len(alphabet))
+        place, size = place[symbols], len(alphabet)
+        code, span = place[at - ORDER + 1].astype(np.int64), size
+        for back in range(ORDER - 2, -1, -1):
+            if span * size >= WIDE:
+                seen, code = np.unique(code, return_inverse=True)
+                span = len(seen)
+            code = code * size + place[at - back]
+            span *= size
+        _, first, self.which = np.unique(code, return_index=True, return_inverse=True)
+        number = lambda places: sum((symbols[at[first] - j].astype(np.int64) << SHIFT * i for i, j in enumerate(places)), np.zeros(len(first), np.int64))
+        self.hi, self.lo = number(range(LOW, ORDER)), number(range(LOW))
 
     def counts(self, weight):
-        """(trigram, count, count in the texts of weight 1) of the distinct trigrams."""
-        w = np.repeat(np.asarray(weight, np.float64), self.lengths)
-        if not self.dense:
-            g, inverse, n = np.unique(self.codes, return_inverse=True, return_counts=True)
-            return g, n, np.bincount(inverse, w, len(g)).astype(np.int64)
-        size = len(self.alphabet) ** ORDER
-        n, m = np.bincount(self.codes, minlength=size), np.bincount(self.codes, w, size)
-        at = np.flatnonzero(n)
-        return self.grams(at), n[at], m[at].astype(np.int64)
-
-    def grams(self, at):
-        a, k = self.alphabet, len(self.alphabet)
-        return (a[at // (k * k)] << 2 * SHIFT) | (a[at // k % k] << SHIFT) | a[at % k]
-
-    def sums(self, grams, logp):
-        """Per text, the sum of the log chances."""
-        if self.dense:
-            k, low = len(self.alphabet), (1 << SHIFT) - 1
-            table = np.full(k ** ORDER, np.nan)
-            table[(self.place[grams >> 2 * SHIFT] * k + self.place[(grams >> SHIFT) & low]) * k + self.place[grams & low]] = logp
-            each = table[self.codes]
-        else:
-            order = np.argsort(grams)
-            each = logp[order][np.searchsorted(grams[order], self.codes)]
-        return np.add.reduceat(each, np.cumsum(self.lengths) - self.lengths)
+        """How often each gram occurs in the texts of weight 1."""
+        return np.bincount(self.which, np.repeat(np.asarray(weight, np.float64), self.lengths), len(self.hi)).astype(np.int64)
+
+    def sums(self, logp):
+        """Per text, the sum of the log chances, given by gram."""
+        return np.add.reduceat(logp[self.which], np.cumsum(self.lengths) - self.lengths)
 
 
 def together(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
@@ -118,10 +101,15 @@ def split(table: pa.Table):
     return docs
 
 
+ASKED = "block int, place int, hi long, lo long, n long"
+
+
 def count_block(table: pa.Table) -> pa.Table:
     docs = split(table)
-    g, _, n = Block(docs["text"]).counts(docs["trusted"] & ~docs["held_out"]) if len(docs) else ([], [], [])
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(g), pa.int32()), "gram": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64())})
+    b = Block(docs["text"])
+    n = b.counts(docs["trusted"] & ~docs["held_out"])
+    return pa.table({"block": pa.array(np.full(len(n), table.column("block")[0].as_py(), np.int32)), "place": pa.array(np.arange(len(n), dtype=np.int32)),
+                     "hi": pa.array(b.hi), "lo": pa.array(b.lo), "n": pa.array(n)})
 
 
 def score_block(table: pa.Table, model: pa.Table) -> pa.Table:
@@ -129,7 +117,9 @@ def score_block(table: pa.Table, model: pa.Table) -> pa.Table:
     sums, lengths = [], []
     if len(docs):
         b = Block(docs["text"])
-        sums, lengths = b.sums(model.column("gram").to_numpy(), model.column("logp").to_numpy()), b.lengths
+        logp = np.full(len(b.hi), np.nan)
+        logp[model.column("place").to_numpy()] = model.column("logp").to_numpy()
+        sums, lengths = b.sums(logp), b.lengths
     return pa.table({"doc_id": pa.array(list(docs["doc_id"]), pa.int64()), "lang": pa.array(list(docs["lang"]), pa.string()), "n_symbols": pa.array(lengths, pa.int64()),
                      "log_chance": pa.array(sums, pa.float64()), "held_out": pa.array(docs["held_out"], pa.bool_())})
 
@@ -141,34 +131,45 @@ def discounts(n1, n2, n3, n4):
     return [max(0.0, min(i, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
 
 
+def rest_of(k):
+    """hi and lo of the last k - 1 symbols of a k-gram."""
+    mask = lambda n: F.lit((1 << SHIFT * n) - 1).cast("long")
+    return F.col("hi").bitwiseAND(mask(max(0, k - 1 - LOW))).alias("hi"), F.col("lo").bitwiseAND(mask(min(LOW, k - 1))).alias("lo")
+
+
+def context():
+    """hi and lo of all symbols but the last."""
+    moved = F.shiftleft(F.col("hi").bitwiseAND(F.lit((1 << SHIFT) - 1)), SHIFT * (LOW - 1))
+    return F.shiftright("hi", SHIFT).alias("c_hi"), F.shiftright("lo", SHIFT).bitwiseOR(moved).alias("c_lo")
+
+
 def chances(wanted: DataFrame, counts: DataFrame, k=ORDER) -> DataFrame:
-    """(gram, p) of each wanted k-gram, by interpolated modified Kneser-Ney from the counted ones (gram, c). Lower
+    """(hi, lo, p) of each wanted k-gram, by interpolated modified Kneser-Ney from the counted ones (hi, lo, c). Lower
     orders count in how many contexts a gram occurs."""
-    rest = F.col("gram").bitwiseAND(F.lit((1 << SHIFT * (k - 1)) - 1))
-    c = F.col("c")
+    gram, c = ["hi", "lo"], F.col("c")
     d = discounts(*counts.agg(*(F.sum((c == i).cast("long")) for i in (1, 2, 3, 4))).first())
-    cut = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    seen = counts.select("gram", "c", cut.alias("cut"))
-    context = seen.groupBy(F.shiftright("gram", SHIFT).alias("context")).agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("spare"))
+    seen = counts.select(*gram, "c", F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]).alias("cut"))
+    contexts = seen.groupBy(*context()).agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("spare"))
     if k == 1:
-        lower = wanted.select("gram", F.lit(1.0 / max(1, wanted.count())).alias("lower"))
+        lower = wanted.select(*gram, F.lit(1.0 / max(1, wanted.count())).alias("lower"))
     else:
-        low = chances(stored(wanted.select(rest.alias("gram")).distinct()), stored(counts.groupBy(rest.alias("gram")).agg(F.count("*").alias("c"))), k - 1)
-        lower = wanted.withColumn("rest", rest).join(stored(low.withColumnsRenamed({"gram": "rest", "p": "lower"})), "rest").select("gram", "lower")
+        low = chances(stored(wanted.select(*rest_of(k)).distinct()), stored(counts.groupBy(*rest_of(k)).agg(F.count("*").alias("c"))), k - 1)
+        low = stored(low.withColumnsRenamed({"hi": "r_hi", "lo": "r_lo", "p": "lower"}))
+        r_hi, r_lo = rest_of(k)
+        lower = wanted.withColumns({"r_hi": r_hi, "r_lo": r_lo}).join(low, ["r_hi", "r_lo"]).select(*gram, "lower")
     own = F.coalesce((c - F.col("cut")) / F.col("total"), F.lit(0.0))
     p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own + F.col("spare") / F.col("total") * F.col("lower"))
-    return (lower.join(seen, "gram", "left").withColumn("context", F.shiftright("gram", SHIFT)).join(context, "context", "left")
-            .select("gram", p.alias("p")))
+    return lower.join(seen, gram, "left").select("*", *context()).join(contexts, ["c_hi", "c_lo"], "left").select(*gram, p.alias("p"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, block_chars=BLOCK_CHARS) -> DataFrame:
     """doc_id, lang, n_symbols, log_chance, perplexity, held_out for each row of docs."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     x = together(docs, labels, 1 + size // block_chars)
-    asked = stored(x.groupBy("block").applyInArrow(count_block, "block int, gram long, n long"))
-    grams = stored(asked.groupBy("gram").agg(F.sum("n").alias("c")))
-    model = chances(grams.select("gram"), grams.where("c > 0")).select("gram", F.log("p").alias("logp"))
-    answers = asked.join(model, "gram").select("block", "gram", "logp")
+    asked = stored(x.groupBy("block").applyInArrow(count_block, ASKED))
+    grams = stored(asked.groupBy("hi", "lo").agg(F.sum("n").alias("c")))
+    model = chances(grams.select("hi", "lo"), grams.where("c > 0")).select("hi", "lo", F.log("p").alias("logp"))
+    answers = asked.select("block", "place", "hi", "lo").join(model, ["hi", "lo"]).select("block", "place", "logp")
     scored = x.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score_block, "doc_id long, lang string, n_symbols long, log_chance double, held_out boolean")
     return scored.select("doc_id", "lang", "n_symbols", "log_chance",
@@ -197,7 +198,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile=QUANTILE, slack=SLACK, pr
                .groupBy(F.col("own").alias("j_own"), F.col("bar_lang").alias("j_lang")).agg(F.min("adjusted").alias("junk")))
     bar = bar.join(nearest, (F.col("b_own") == F.col("j_own")) & F.col("b_lang").eqNullSafe(F.col("j_lang")), "left").select(
         "b_own", "b_lang", F.least(slack * F.col("quantile"), F.sqrt(F.col("quantile") * F.col("junk"))).alias("threshold"))
-    return read.join(bar, same, "left").select(
+    return read.join(stored(bar), same, "left").select(
         "doc_id", "lang", "n_symbols", "perplexity", "adjusted", "threshold",
         F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

@@ -8,17 +8,17 @@ from paneloom.llm import quality_lm as q
 
 
 def plain_model(train, others):
-    """log chance of each trigram of all texts, the model counted from `train` by plain dictionaries."""
+    """chance of each 5-gram of all texts, the model counted from `train` by plain dictionaries."""
     def grams(t):
-        s = [q.START, q.START, *map(ord, t), q.END]
-        return [tuple(s[i - 2:i + 1]) for i in range(2, len(s))]
-    c = {3: Counter(g for t in train for g in grams(t))}
-    for k in (2, 1):
+        s = [*[q.START] * 4, *map(ord, t), q.END]
+        return [tuple(s[i - 4:i + 1]) for i in range(4, len(s))]
+    c = {5: Counter(g for t in train for g in grams(t))}
+    for k in (4, 3, 2, 1):
         c[k] = Counter(g[1:] for g in c[k + 1])
     wanted = {g for t in [*train, *others] for g in grams(t)}
-    vocabulary = len({g[2] for g in wanted})
+    vocabulary = len({g[4] for g in wanted})
     disc, total, spare = {}, {}, {}
-    for k in (1, 2, 3):
+    for k in (1, 2, 3, 4, 5):
         n = [sum(1 for v in c[k].values() if v == i) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0
         disc[k] = [max(0, min(i + 1, i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else .5 * (i + 1))) for i in range(3)]
@@ -42,18 +42,32 @@ TEXTS = ["the cat sat on the mat", "the dog and the cat", "a man, a plan", "", "
     f"the {w} in the {v} of it" for w in ("hat", "rat", "bat", "fog") for v in ("house", "sun", "rain")]
 
 
-@pytest.mark.parametrize("dense", [True, False])
-def test_chances_match_plain_dictionaries(spark, monkeypatch, dense):
-    if not dense:
-        monkeypatch.setattr(q.Block, "dense", False)
+@pytest.mark.parametrize("wide", [q.WIDE, 1])
+def test_a_block_numbers_its_grams_by_symbols(monkeypatch, wide):
+    monkeypatch.setattr(q, "WIDE", wide)
+    grams, _ = plain_model([], [])
+    texts = TEXTS + [None]
+    each = [grams(t or "") for t in texts]
+    want = sorted({g for x in each for g in x})
+    pair = lambda g: (sum(s << 21 * i for i, s in enumerate(g[1::-1])), sum(s << 21 * i for i, s in enumerate(g[:1:-1])))
+    for order in (1, -1):
+        b = q.Block(texts[::order])
+        assert list(zip(b.hi.tolist(), b.lo.tolist())) == [pair(g) for g in sorted(want, key=lambda g: [x for x in g])]
+        n = Counter(g for x in each[1:] for g in x)
+        assert b.counts([i > 0 for i in range(len(texts))][::order]).tolist() == [n[g] for g in want]
+        assert b.sums(np.ones(len(want)))[::order].tolist() == [len(x) for x in each]
+
+
+@pytest.mark.parametrize("block_chars", [40, 1 << 20])
+def test_chances_match_plain_dictionaries(spark, block_chars):
     df = spark.createDataFrame([(i, t, "en", "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, gram string")
     labels = spark.createDataFrame([(i, 1, 0 if i % 2 else None) for i in range(len(TEXTS)) if i not in (4, 6)] + [(2, 0, 0)], "doc_id long, quality int, toxic int")
     trusted = [i for i in range(len(TEXTS)) if i not in (2, 4, 6)]
     held = [i for i in trusted if q.mixed(np.array([i]))[0] % np.uint64(q.HELD_OUT) == 0]
     grams, p = plain_model([TEXTS[i] for i in trusted if i not in held], TEXTS)
-    ctx = p((ord("t"), ord("h"), ord("e")))
+    ctx = p(tuple(map(ord, " the ")))
     assert 0 < ctx < 1
-    got = q.perplexities(df, labels, block_chars=40 if dense else 1 << 20).collect()
+    got = q.perplexities(df, labels, block_chars=block_chars).collect()
     assert len(got) == len(TEXTS)
     for r in got:
         g = grams(TEXTS[r["doc_id"]])
