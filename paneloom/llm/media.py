@@ -2,7 +2,7 @@
 boxes and decoding its sample tables. Payload bytes are never decoded to learn codec, duration or keyframe ranges.
 
 Defined results: a NULL text is the empty text; the empty text is stored as one sample of zeros; NULL or malformed
-media give NULL index columns and the reason in `error`; repeated rows give repeated results; only the named columns
+media give NULL index columns and the reason in `error`, as do fragmented files; `index` reads the first track, `read_index` any; repeated rows give repeated results; only the named columns
 are read, so further columns never clash.
 """
 
@@ -98,11 +98,23 @@ def walk(data, start=0, end=None, path=()):
         start += size
 
 
-def read_index(data) -> dict:
-    """What the tables of the first track say: codec, timescale, duration, and each sample's place."""
-    found = {}
+def tracks(data) -> list:
+    """For each track in file order, where the first box of each kind lies; boxes of different tracks never mix."""
+    found = []
     for path, a, b in walk(data):
-        found.setdefault(path[-1], (a, b))
+        if path[-1] == b"moof":
+            raise ValueError("fragmented: samples of moof boxes are not decoded")
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (a, b))
+    return found
+
+
+def read_index(data, track=0) -> dict:
+    """What the tables of one track say: codec, timescale, duration, and each sample's place."""
+    every = tracks(data)
+    found = every[track] if track < len(every) else {}
     for kind in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"):
         if kind not in found:
             raise ValueError(f"no {kind.decode()} box")

@@ -60,3 +60,17 @@ def test_frame_with_odd_rows(spark):
     assert media.index(media.pack(df.limit(0))).count() == 0
     bad = spark.createDataFrame([(1, 1, 64, bytearray(b"1234567")), (2, 1, 64, None)], media.PACKED)
     assert {r["id"]: r["error"] for r in media.index(bad).collect()} == {1: "box header is cut", 2: "no media"}
+
+
+def test_tables_of_different_tracks_do_not_mix():
+    data = media.write_media(bytes(range(256)) * 40)
+    trak = next((a - 8, b) for path, a, b in media.walk(data) if path == (b"moov", b"trak"))
+    moov = next((a, b) for path, a, b in media.walk(data) if path == (b"moov",))
+    track = data[trak[0]:trak[1]]
+    two = data[:moov[0] - 8] + media.box(b"moov", data[moov[0]:trak[0]], track.replace(b"stss", b"free"), track)
+    first, second = media.read_index(two), media.read_index(two, 1)
+    assert first["sync"].tolist() == list(range(160)) and second["sync"].tolist() == list(range(0, 160, media.SYNC))
+    assert first["offsets"].tolist() == second["offsets"].tolist()
+    for bad, say in ((two + media.box(b"moof"), "fragmented"), (media.FTYP, "no mdhd")):
+        with pytest.raises(ValueError, match=say):
+            media.read_index(bad)
