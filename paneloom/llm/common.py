@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paneloom.session import shared_folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression="snappy") -> DataFrame:
     """The rows, written once to the shared folder and read back: later steps neither repeat the work before nor
     depend on the executors that did it."""
     path = f"{shared_folder(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -64,8 +64,9 @@ def op8_nearest_neighbours(spark, sf_dir):
 
 
 def op9_token_shards(spark, sf_dir, ranks=RANKS):
-    found = token_shards.materialise(table(spark, sf_dir, "documents"), token_shards.ranks_of(ranks), key=20240607)
-    return found.select("shard", "first_slot", "n_sequences", F.length("payload").cast("long").alias("n_bytes"), "sha256")
+    found = token_shards.materialise(table(spark, sf_dir, "documents"), token_shards.ranks_of(ranks), key=20240607, scan=True)
+    # digests of what was written, as read back
+    return found.select("shard", "first_slot", "n_sequences", F.length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
 
 
 def planted(i, words):
