@@ -13,9 +13,9 @@ other; only the named columns are read; without documents there are no shards. T
 ordinary text. Documents that are not a plain scan of files are written first and numbered by the files written.
 """
 
+import array
 import base64
 import hashlib
-import re
 import uuid
 
 import numpy as np
@@ -33,8 +33,6 @@ STRIDE = 256           # sequences of a shard
 RANGE = 128            # shards of a range, which one task sorts and writes
 RANGES = 20_000        # ranges at most; larger ones beyond that
 ROUNDS = 6
-REMEMBERED = 1 << 18   # words an encoder keeps the ids of
-TWO_SPACES = re.compile(r"\s | \s")
 MASK = (1 << 64) - 1
 
 
@@ -44,28 +42,14 @@ def ranks_of(path) -> dict:
 
 
 class Encoder:
-    """Ids of whole texts. Words between single spaces are looked up once: no token reaches across such a space."""
+    """Ids of whole texts, as 16-bit numbers."""
 
     def __init__(self, ranks):
         import tiktoken
         self.all = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known = {}
-
-    def of(self, word):
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = np.array(self.all(word), np.uint16).tobytes()
-            if len(word) < 64:
-                self.known[word] = ids
-        return ids
 
     def encode(self, text) -> bytes:
-        if TWO_SPACES.search(text):
-            return np.array(self.all(text), np.uint16).tobytes()
-        first, *rest = text.split(" ")
-        return b"".join([self.of(first) if first else b"", *[self.of(" " + w) for w in rest]])
+        return array.array("H", self.all(text)).tobytes()
 
 
 def mixed(x: np.ndarray, key: int) -> np.ndarray:
