@@ -4,7 +4,8 @@ Every cross-sectional operator (percentile rank, winsorising, rank correlation,
 needs, for each row, three counts inside its group: rows below it, rows tied with it, rows in total. One plan gives them at
 every size, without a task that holds a group. The input is read three times:
 
-1. cuts: quantiles of a mergeable sketch for each group, combined in the map tasks;
+1. cuts: quantiles of a mergeable sketch for each group, combined in the map tasks and written once, as the sketch of a group
+   depends on the order in which its parts arrive, and the next two readings must see the same cuts;
 2. counts: rows in each bucket between two cuts, combined in the map tasks, then summed up along the buckets of a group;
 3. rows: each row takes what its group has found (one row a group), goes to its bucket by one exchange, is counted there, and
    adds the rows of the buckets below. Rows are carried through; nothing is joined back to them.
@@ -15,6 +16,8 @@ sorting, so its rows are dealt over many tasks: a value that a third of all rows
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from paneloom.session import cut_lineage
+
 BUCKETS = 64    # a power of two
 SALTS = 64
 
@@ -44,8 +47,8 @@ def _with_bucket(rows, tag, value, buckets):
 
 def _cuts(df, keys, values, buckets):
     qs = [i / buckets for i in range(1, buckets)]
-    return df.groupBy(*keys).agg(*[e for t, v in values.items() for e in (
-        F.percentile_approx(v, qs, 50 * buckets).alias(f"__cuts_{t}"), F.count(v).alias(f"__total_{t}"))])
+    return cut_lineage(df.groupBy(*keys).agg(*[e for t, v in values.items() for e in (
+        F.percentile_approx(v, qs, 50 * buckets).alias(f"__cuts_{t}"), F.count(v).alias(f"__total_{t}"))]))
 
 
 def group_table(df: DataFrame, keys, values: dict, buckets=BUCKETS) -> DataFrame:

@@ -128,3 +128,18 @@ def test_panel_coverage(spark):
     assert {r["factor"]: (r["coverage"], r["kept"]) for r in rk.panel_coverage(d, ["f", "g", "absent"]).collect()} == {"f": (.75, True), "g": (.25, False)}
     assert {r["factor"]: r["coverage"] for r in rk.panel_coverage(d, ["f", "g"], "sector").collect()} == {"f": .5, "g": 0.0}
     assert {r["factor"] for r in rk.covered_long(d, ["f", "g"], ["ticker"]).collect()} == {"f"}
+
+
+def test_counts_hold_when_cuts_come_out_differently_each_time(spark, rows, monkeypatch):
+    """A sketch depends on the order in which its parts arrive, so a second reading may find other cuts."""
+    plain = F.percentile_approx
+    shaken = F.udf(lambda cuts: cuts and sorted(random.SystemRandom().choice(cuts) for _ in cuts), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: shaken(plain(*a)))
+    values = [float(i * 7919 % 500) for i in range(2000)]
+    d = spark.createDataFrame([("f", i, v, -v) for i, v in enumerate(values)], "factor string, ticker int, value double, y double")
+    want = pd.Series(values).rank()
+    got = {r["ticker"]: r["below"] + (r["ties"] + 1) / 2 for r in order_counts(d, ["factor"], "value").collect()}
+    assert got == dict(enumerate(want))
+    assert sc.spearman_ic(d, ["factor"], "value", "y").first()["ic"] == pytest.approx(-1, abs=1e-12)
+    ranks = [r["rank"] for r in rk.rank_factors(d, ["factor"], lo=0.0, hi=1.0).orderBy("ticker").collect()]
+    assert ranks == pytest.approx((want / 2000).tolist(), abs=1e-12)
