@@ -26,6 +26,8 @@ START, END = 0x110000, 0x110001       # beyond all code points
 LOW = 3                               # symbols of `lo`
 WIDE = 1 << 62                        # codes of a block stay below
 BLOCK_CHARS = 8 << 20
+PIECE_CHARS = 1 << 20                 # symbols of a block that are looked at together
+GRAM = np.dtype([("hi", np.int64), ("lo", np.int64)])
 HELD_OUT = 5                          # one trusted document in so many sets the thresholds
 QUANTILE = 0.99
 SLACK = 1.5                           # the threshold is at most so many times the quantile: clean text beyond it stays, unless labelled junk lies there too
@@ -41,7 +43,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Block:
+def pieces(texts, limit):
+    """Runs of whole texts of about `limit` symbols each, or one longer text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") >= limit:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "") + 1
+    if run:
+        yield run
+
+
+class Piece:
     """The distinct grams of some texts in the order of their symbols, whatever order the texts come in."""
 
     def __init__(self, texts):
@@ -65,17 +80,43 @@ class Block:
                 span = len(seen)
             code = code * size + place[at - back]
             span *= size
-        _, first, self.which = np.unique(code, return_index=True, return_inverse=True)
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        self.which = which.astype(np.int32)
         number = lambda places: sum((symbols[at[first] - j].astype(np.int64) << SHIFT * i for i, j in enumerate(places)), np.zeros(len(first), np.int64))
-        self.hi, self.lo = number(range(LOW, ORDER)), number(range(LOW))
+        self.grams = np.empty(len(first), GRAM)
+        self.grams["hi"], self.grams["lo"] = number(range(LOW, ORDER)), number(range(LOW))
+
+
+class Block:
+    """The distinct grams of a block of texts in the order of their symbols. Texts are looked at a piece at a time, so that
+    what is held is the distinct grams, four bytes a symbol and what one piece takes, not sorted arrays over the whole block."""
+
+    def __init__(self, texts):
+        self.parts = [Piece(run) for run in pieces(texts, PIECE_CHARS)]
+        every = np.concatenate([np.empty(0, GRAM), *(p.grams for p in self.parts)])
+        order = np.lexsort((every["lo"], every["hi"]))
+        first = np.append(True, every[order[1:]] != every[order[:-1]])[:len(every)]
+        number = np.empty(len(every), np.int32)
+        number[order] = np.cumsum(first) - 1
+        self.hi, self.lo = every["hi"][order[first]], every["lo"][order[first]]
+        at = 0
+        for p in self.parts:
+            p.which = number[at:at + len(p.grams)][p.which]
+            at += len(p.grams)
+            p.grams = None
+        self.lengths = np.concatenate([np.empty(0, np.int64), *(p.lengths for p in self.parts)])
 
     def counts(self, weight):
         """How often each gram occurs in the texts of weight 1."""
-        return np.bincount(self.which, np.repeat(np.asarray(weight, np.float64), self.lengths), len(self.hi)).astype(np.int64)
+        weight, n, at = np.asarray(weight, np.float64), np.zeros(len(self.hi), np.int64), 0
+        for p in self.parts:
+            n += np.bincount(p.which, np.repeat(weight[at:at + len(p.lengths)], p.lengths), len(n)).astype(np.int64)
+            at += len(p.lengths)
+        return n
 
     def sums(self, logp):
         """Per text, the sum of the log chances, given by gram."""
-        return np.add.reduceat(logp[self.which], np.cumsum(self.lengths) - self.lengths)
+        return np.concatenate([np.empty(0), *(np.add.reduceat(logp[p.which], np.cumsum(p.lengths) - p.lengths) for p in self.parts)])
 
 
 def together(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:

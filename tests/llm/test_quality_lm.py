@@ -105,3 +105,23 @@ def test_labelled_junk_beyond_the_quantile_goes(spark):
     assert any(out[i]["adjusted"] <= q.SLACK * held[-1] for i in beyond)
     assert not any(out[i]["keep"] for i in beyond) and not any(out[i]["keep"] for i in range(2000, 2003))
     assert sum(out[i]["keep"] for i in range(300)) >= 294
+
+
+def test_a_block_holds_little_more_than_its_grams(monkeypatch):
+    """Few distinct grams in many symbols: the memory of a block is that of one piece and a number a symbol."""
+    import tracemalloc
+    texts = [t * 40 for t in TEXTS if t] * 40
+    def peak():
+        tracemalloc.start()
+        b = q.Block(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return b, most
+    whole, _ = peak()
+    monkeypatch.setattr(q, "PIECE_CHARS", 1 << 18)
+    b, most = peak()
+    assert most < 9 * b.lengths.sum() and b.lengths.sum() > 8 << 20
+    assert (b.hi == whole.hi).all() and (b.lo == whole.lo).all() and (b.lengths == whole.lengths).all()
+    logp, weight = np.log(1 + np.arange(len(b.hi))), np.arange(len(texts)) % 2
+    assert b.sums(logp).tolist() == pytest.approx(whole.sums(logp).tolist())
+    assert (b.counts(weight) == whole.counts(weight)).all()
