@@ -16,7 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five words a shingle, similarity 0.8 or more."""
+    """One document of each class of near duplicates: found by SimHash, checked exactly (five words a shingle, similarity 0.8
+    or more); pairs that SimHash does not find come by prefix filtering."""
     return near_copies.keep_one(docs.select(COLUMNS))
 
 

@@ -1,6 +1,8 @@
-"""Near-duplicate classes by exact Jaccard similarity of word shingles, searched by prefix filtering.
+"""Near-duplicate classes: SimHash fingerprints find most copies, an exact Jaccard similarity of word shingles decides, and
+prefix filtering finds the similar pairs whose fingerprints lie further apart.
 
-Two sets of similarity `num / den` or more share one of the first n - ceil(n * num / den) + 1 shingles of each, in any one
+Texts whose fingerprints are linked by simhash (4 bits or fewer) are verified on whole sets first; what is found similar
+is one class from then on, of which no pair is compared again. Two sets of similarity `num / den` or more share one of the first n - ceil(n * num / den) + 1 shingles of each, in any one
 order of all shingles. The order is that of a sketch of shingle counts, rare ones first, so that few shingles meet; the
 sketch moves work, not results. Candidates that can still reach the similarity, by their sizes and the places of the
 shingle that met, are verified on whole sets.
@@ -97,9 +99,21 @@ def verified(pairs: DataFrame, bodies: DataFrame, k, similar) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long")
 
 
-def links(bodies: DataFrame, k=5, similar=SIMILAR) -> DataFrame:
+def by_fingerprint(bodies: DataFrame, k=5, similar=SIMILAR) -> DataFrame:
+    """Links (a, b) between similar sets whose texts have one fingerprint or fingerprints that simhash links: each set with the
+    first of its fingerprint, and the first of both of two linked fingerprints."""
+    marked = stored(simhash.fingerprints(bodies, "set"))
+    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    own = marked.join(first, "fp").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = simhash.links(first.select("fp"))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_set"))
+    near = near.join(end("a"), "a").join(end("b"), "b").select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+    return stored(verified(stored(own.where("a <> b").unionByName(near).distinct()), bodies, k, similar))
+
+
+def links(bodies: DataFrame, k=5, similar=SIMILAR, known=None) -> DataFrame:
     """Links (a, b) between the sets of `bodies`, a frame of distinct sets, each with a text of it. Every similar pair is connected by a chain of
-    returned links, and no link joins sets that are not similar."""
+    returned links, and no link joins sets that are not similar. `known` are such links, found before; they are returned too."""
     num, den = similar
     order = sketch(bodies.select("text"), k)
 
@@ -126,9 +140,16 @@ def links(bodies: DataFrame, k=5, similar=SIMILAR) -> DataFrame:
     all_firsts = bodies.select("text").mapInArrow(firsts, "key long, set long, n int, i int").repartition("key")
     met = stored(all_firsts.withColumn("hub", F.min(F.struct("set", "n", "i")).over(by)).withColumn("last", F.max("set").over(by))
                  .where("hub.set <> last").drop("last"))
-    tested = stored(met.where(F.col("set") != F.col("hub.set")).where(possible({"n": F.col("n"), "i": F.col("i")}, {"n": F.col("hub.n"), "i": F.col("hub.i")}))
-                    .select(F.col("hub.set").alias("a"), F.col("set").alias("b")).distinct())
-    first = stored(verified(tested, bodies, k, similar))
+    tested = (met.where(F.col("set") != F.col("hub.set")).where(possible({"n": F.col("n"), "i": F.col("i")}, {"n": F.col("hub.n"), "i": F.col("hub.i")}))
+              .select(F.col("hub.set").alias("a"), F.col("set").alias("b")).distinct())
+    if known is not None:
+        of = stored(components(known))
+        at = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        tested = (tested.join(at("a"), "a", "left").join(at("b"), "b", "left")
+                  .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    tested = stored(tested)
+    first = verified(tested, bodies, k, similar)
+    first = stored(first if known is None else first.unionByName(known))
     label = components(first).select(F.col("node").alias("set"), "component")
     left = met.select("key", "set", "n", "i").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -150,7 +171,8 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similar=SIMI
     named_rows = stored(rows.mapInArrow(named, "doc_id long, set long, text string"))
     marked = named_rows.select("doc_id", "set")
     distinct = stored(marked.groupBy("set").agg(F.min("doc_id").alias("first_id")))
-    label = components(links(named_rows.groupBy("set").agg(F.first("text").alias("text")).transform(stored), k, similar))
+    bodies = stored(named_rows.groupBy("set").agg(F.first("text").alias("text")))
+    label = components(links(bodies, k, similar, by_fingerprint(bodies, k, similar)))
     linked = stored(distinct.join(label.select(F.col("node").alias("set"), "component"), "set"))
     name = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named_sets = linked.join(name, "component").select("set", "component_id")

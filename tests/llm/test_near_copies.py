@@ -88,3 +88,34 @@ def test_stage_matches_all_pairs_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = plain_classes(plain_sets([(r["doc_id"], r["text"]) for r in docs.collect()]))
     assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()) == sorted(set(want.values()))
+
+
+def test_simhash_finds_copies_and_the_exact_check_decides(spark, monkeypatch):
+    """The stage goes by fingerprints first: what they link is verified, other pairs and chains are left to the prefixes."""
+    import corpus_pipeline as cp
+    from paneloom.llm import simhash
+    rng = random.Random(9)
+    rows = []
+    for _ in range(30):
+        t = [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(400)]
+        u = list(t)
+        u[30] = "changed"
+        rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(u))]
+    # a repeated sequence: equal fingerprints, as bits go by majority, but other shingles at the ends
+    loop = [rng.choice("klmnop") + str(i) for i in range(9)]
+    rows += [(60, " ".join(loop * 3)), (61, " ".join(loop * 3 + ["x%d" % i for i in range(8)]))]
+    rows += [(62, ""), (63, None)]
+    want = plain_sets(rows)
+    sets = {nc.name_of(nc.shingles(t)): i for i, t in reversed(rows)}
+    bodies = nc.stored(spark.createDataFrame([(s, rows[i][1]) for s, i in sets.items()], "set long, text string"))
+    found = {tuple(sorted((sets[r["a"]], sets[r["b"]]))) for r in nc.by_fingerprint(bodies).collect()}
+    prints = {i: simhash.fingerprint(t) for i, t in rows}
+    near = {(a, b) for a in sets.values() for b in sets.values() if a < b and (prints[a] ^ prints[b]).bit_count() <= 4}
+    alike = lambda a, b: 5 * len(want[a] & want[b]) >= 4 * len(want[a] | want[b])
+    assert found == {p for p in near if alike(*p)} and len(found) > 5
+    used = []
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: used.append(1) or real(*a, **b))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, df, "").collect()) == sorted(set(plain_classes(want).values()))
+    assert used
