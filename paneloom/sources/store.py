@@ -140,15 +140,19 @@ def _folder(month):
 _ORDER = ["retrieved_at", "input_seq"]
 
 
-def upsert(spark: SparkSession, path, incoming: DataFrame, keys, date, update=None) -> None:
+def upsert(spark: SparkSession, path, incoming: DataFrame, keys, date, update=None, landed=False) -> None:
     """Apply `incoming` to the store at `path`, which is kept by the months of `date`, a key column. `input_seq`, where incoming
     has it, orders the rows of the delivery and is not stored. Rows of a touched month are dealt over as many tasks and files
-    as their size asks for. A failed upsert leaves no trace in the store as readers see it."""
+    as their size asks for. A failed upsert leaves no trace in the store as readers see it. `landed`: incoming is read from files
+    that stay, so its months are read from there and its rows need no copy of their own."""
     path = path.rstrip("/")
     if "input_seq" not in incoming.columns:
         incoming = incoming.withColumn("input_seq", F.monotonically_increasing_id())
-    last = cut_lineage(with_month(keep_last(incoming, keys, _ORDER).drop("input_seq"), date))
-    touched = sorted(r[0] for r in last.select("month").distinct().collect())  # as many as the calendar has
+    last = with_month(keep_last(incoming, keys, _ORDER).drop("input_seq"), date)
+    if not landed:
+        last = cut_lineage(last)
+    found = with_month(incoming, date) if landed else last  # the same months, as `date` is a key
+    touched = sorted(r[0] for r in found.select("month").distinct().collect())  # as many as the calendar has
     if not touched:
         return
     number, months = _manifest(spark, path)
@@ -201,8 +205,9 @@ def ingest(spark: SparkSession, path, delivery, shape, keys, date) -> DataFrame:
     try:
         raw, _, digest = landed(delivery() if callable(delivery) else delivery)
         seen = Observation()
+        # the first job over the rows reads their months, and counts them
         rows = shape(raw, digest).observe(seen, F.count(F.lit(1)).alias("n"))
-        upsert(spark, path, rows, keys, date)
+        upsert(spark, path, rows, keys, date, landed=True)
         n, status, error = 0 if raw.isEmpty() else seen.get["n"], "succeeded", None
     except Exception as e:
         n, status, error = 0, "failed", f"{type(e).__name__}: {e}"

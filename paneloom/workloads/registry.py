@@ -202,7 +202,7 @@ _AT = "2002-01-01 00:00:00"
    CASE WHEN ticker % 3 = 0 THEN 'second' ELSE 'first' END AS provider, 64 AS hash_length FROM daily""")
 def _(s, d):
     """Two deliveries of prices, the second with new values for a third of the entities; each row twice, the older first."""
-    path, p = f"{b.scratch(s)}/prices", b.daily(s, d)
+    path, p = f"{b.scratch(s)}/prices", b.cut_lineage(b.daily(s, d))  # read three times
     twice = p.withColumn("input_seq", F.lit(1)).unionByName(p.withColumn("adj_close", -F.col("adj_close")).withColumn("input_seq", F.lit(0)))
     ig.ingest_prices(s, path, twice, "first", _AT)
     ig.ingest_prices(s, path, p.where(F.col("ticker") % 3 == 0).withColumn("adj_close", 2 * F.col("adj_close")), "second", "2002-01-02 00:00:00")

@@ -259,3 +259,21 @@ def test_checked_load(spark, rows, tmp_path):
     macro = spark.createDataFrame([(DAY, 1.0), (DAY, 2.0)], "date DATE, vix DOUBLE")
     assert ig.ingest_macro(spark, str(tmp_path / "m"), macro.limit(0), "p").first()["status"] == "succeeded"
     assert rows(ql.load_checked(macro, "macro")[0], "vix") == [(2.0,)]
+
+
+def test_ingest_writes_its_rows_twice_at_most(spark, tmp_path, monkeypatch):
+    """The delivery as it landed, and the store: nothing in between."""
+    from pyspark.sql import DataFrameWriter
+    from paneloom.plans import ingest as ig
+    from paneloom.sources import store as st
+    written = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: written.append(path) or real(self, path, *a, **k))
+    path = str(tmp_path / "prices")
+    for value in (1.0, 2.0):
+        rows = [("A", f"2020-0{m}-03", value * s, 5.0, s) for m in (1, 2) for s in (2, 1)]
+        df = spark.createDataFrame(rows, "ticker string, date string, adj_close double, volume double, input_seq int").withColumn("date", F.to_date("date"))
+        log = ig.ingest_prices(spark, path, df, "p", "2020-03-01 00:00:00").first()
+        assert (log["rows_ingested"], log["status"]) == (4, "succeeded")
+        assert [r["adj_close"] for r in st.read_store(spark, path).collect()] == [2 * value] * 2
+    assert len(written) == 4
