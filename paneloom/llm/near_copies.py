@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from paneloom.llm import simhash
-from paneloom.llm.common import components, small_batches, stored
+from paneloom.llm.common import components, forget, small_batches, stored
 
 SKETCH = 1 << 18     # counters
 SIMILAR = (4, 5)
@@ -168,10 +168,11 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similar=SIMI
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name_of(shingles(t, k)) for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], ["doc_id", "set", "text"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    named_rows = stored(rows.mapInArrow(named, "doc_id long, set long, text string"))
-    marked = named_rows.select("doc_id", "set")
+    named_rows = stored(rows.mapInArrow(named, "doc_id long, set long, text string"), "zstd")
+    marked = stored(named_rows.select("doc_id", "set"))
     distinct = stored(marked.groupBy("set").agg(F.min("doc_id").alias("first_id")))
-    bodies = stored(named_rows.groupBy("set").agg(F.first("text").alias("text")))
+    bodies = stored(named_rows.groupBy("set").agg(F.first("text").alias("text")), "zstd")
+    forget(named_rows)
     label = components(links(bodies, k, similar, by_fingerprint(bodies, k, similar)))
     linked = stored(distinct.join(label.select(F.col("node").alias("set"), "component"), "set"))
     name = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))

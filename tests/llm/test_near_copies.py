@@ -119,3 +119,18 @@ def test_simhash_finds_copies_and_the_exact_check_decides(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, df, "").collect()) == sorted(set(plain_classes(want).values()))
     assert used
+
+
+def test_a_stored_frame_leaves_no_shuffle_behind(spark):
+    """The shuffle files of each stored step go with it, so that steps of a job do not add up on disk."""
+    import os
+    import time
+    from paneloom.llm.common import CLEANUP, stored
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {n for d in manager.localDirsString() for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    before, was = held(), spark.conf.get(CLEANUP, "false")
+    out = stored(spark.range(20000).repartition(5, "id"))
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(.2)
+    assert not held() - before and out.count() == 20000 and spark.conf.get(CLEANUP, "false") == was
