@@ -14,11 +14,13 @@ languages together; a threshold lies midway (in logarithms) between the quantile
 is labelled junk (all its labels say quality 0 and none toxic), so that labelled junk beyond the quantile always goes; repeated rows get equal results, NULL ids included; only the named columns are read.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paneloom.llm.common import dealt, stored, unpacked
+from paneloom.llm.common import dealt, forget, stored, unpacked
 
 ORDER = 5
 SHIFT = 21                            # bits of a symbol
@@ -27,6 +29,7 @@ LOW = 3                               # symbols of `lo`
 WIDE = 1 << 62                        # codes of a block stay below
 BLOCK_CHARS = 8 << 20
 PIECE_CHARS = 1 << 20                 # symbols of a block that are looked at together
+SLICES = 4                            # runs in which the blocks get their answers, one after the other
 GRAM = np.dtype([("hi", np.int64), ("lo", np.int64)])
 HELD_OUT = 5                          # one trusted document in so many sets the thresholds
 QUANTILE = 0.99
@@ -119,15 +122,15 @@ class Block:
         return np.concatenate([np.empty(0), *(np.add.reduceat(logp[p.which], np.cumsum(p.lengths) - p.lengths) for p in self.parts)])
 
 
-def together(docs: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
-    """Documents and labels in one frame, dealt into blocks by id."""
+def together(docs: DataFrame, labels: DataFrame, blocks: int, mine=lambda block: F.lit(True)) -> DataFrame:
+    """Documents and labels in one frame, dealt into blocks by id; those of the blocks that are `mine`."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
                     F.lit(None).cast("int").alias("good"))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     n = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"),
                                                   F.coalesce(good, F.lit(False)).cast("int").alias("good"))
     block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int")
-    return dealt(d.unionByName(n).withColumn("block", block), blocks)
+    return dealt(d.unionByName(n).withColumn("block", block).where(mine(F.col("block"))), blocks)
 
 
 def split(table: pa.Table):
@@ -185,36 +188,47 @@ def context():
 
 
 def chances(wanted: DataFrame, counts: DataFrame, k=ORDER) -> DataFrame:
-    """(hi, lo, p) of each wanted k-gram, by interpolated modified Kneser-Ney from the counted ones (hi, lo, c). Lower
-    orders count in how many contexts a gram occurs."""
+    """(hi, lo, p) of each wanted k-gram, by interpolated modified Kneser-Ney from the counted ones (hi, lo, c), stored. Lower
+    orders count in how many contexts a gram occurs; their tables go once the order above is stored."""
     gram, c = ["hi", "lo"], F.col("c")
     d = discounts(*counts.agg(*(F.sum((c == i).cast("long")) for i in (1, 2, 3, 4))).first())
     seen = counts.select(*gram, "c", F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]).alias("cut"))
     contexts = seen.groupBy(*context()).agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("spare"))
     if k == 1:
-        lower = wanted.select(*gram, F.lit(1.0 / max(1, wanted.count())).alias("lower"))
+        used, lower = [], wanted.select(*gram, F.lit(1.0 / max(1, wanted.count())).alias("lower"))
     else:
-        low = chances(stored(wanted.select(*rest_of(k)).distinct()), stored(counts.groupBy(*rest_of(k)).agg(F.count("*").alias("c"))), k - 1)
-        low = stored(low.withColumnsRenamed({"hi": "r_hi", "lo": "r_lo", "p": "lower"}))
+        asked, shorter = stored(wanted.select(*rest_of(k)).distinct()), stored(counts.groupBy(*rest_of(k)).agg(F.count("*").alias("c")))
+        found = chances(asked, shorter, k - 1)
+        forget(asked, shorter)
+        used, low = [found], found.withColumnsRenamed({"hi": "r_hi", "lo": "r_lo", "p": "lower"})
         r_hi, r_lo = rest_of(k)
         lower = wanted.withColumns({"r_hi": r_hi, "r_lo": r_lo}).join(low, ["r_hi", "r_lo"]).select(*gram, "lower")
     own = F.coalesce((c - F.col("cut")) / F.col("total"), F.lit(0.0))
     p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own + F.col("spare") / F.col("total") * F.col("lower"))
-    return lower.join(seen, gram, "left").select("*", *context()).join(contexts, ["c_hi", "c_lo"], "left").select(*gram, p.alias("p"))
+    out = stored(lower.join(seen, gram, "left").select("*", *context()).join(contexts, ["c_hi", "c_lo"], "left").select(*gram, p.alias("p")))
+    forget(*used)
+    return out
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, block_chars=BLOCK_CHARS) -> DataFrame:
-    """doc_id, lang, n_symbols, log_chance, perplexity, held_out for each row of docs."""
+    """doc_id, lang, n_symbols, log_chance, perplexity, held_out for each row of docs. The blocks are scored in a few runs, so that
+    the disk holds the shuffled texts, grams and answers of one run at a time."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    x = together(docs, labels, 1 + size // block_chars)
-    asked = stored(x.groupBy("block").applyInArrow(count_block, ASKED))
+    blocks = 1 + size // block_chars
+    asked = stored(together(docs, labels, blocks).groupBy("block").applyInArrow(count_block, ASKED), "zstd")
     grams = stored(asked.groupBy("hi", "lo").agg(F.sum("n").alias("c")))
-    model = chances(grams.select("hi", "lo"), grams.where("c > 0")).select("hi", "lo", F.log("p").alias("logp"))
-    answers = asked.select("block", "place", "hi", "lo").join(model, ["hi", "lo"]).select("block", "place", "logp")
-    scored = x.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score_block, "doc_id long, lang string, n_symbols long, log_chance double, held_out boolean")
-    return scored.select("doc_id", "lang", "n_symbols", "log_chance",
-                         F.exp(-F.col("log_chance") / F.col("n_symbols")).alias("perplexity"), "held_out")
+    model = chances(grams.select("hi", "lo"), grams.where("c > 0"))
+    forget(grams)
+    parts, runs = [], min(SLICES, blocks)
+    for i in range(runs):
+        mine = lambda block: F.pmod(block, F.lit(runs)) == i
+        answers = asked.where(mine(F.col("block"))).select("block", "place", "hi", "lo").join(
+            model.select("hi", "lo", F.log("p").alias("logp")), ["hi", "lo"]).select("block", "place", "logp")
+        parts.append(stored(together(docs, labels, blocks, mine).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+            score_block, "doc_id long, lang string, n_symbols long, log_chance double, held_out boolean")))
+    forget(asked, model)
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "lang", "n_symbols", "log_chance",
+                                                       F.exp(-F.col("log_chance") / F.col("n_symbols")).alias("perplexity"), "held_out")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile=QUANTILE, slack=SLACK, prior=PRIOR, few=FEW, block_chars=BLOCK_CHARS) -> DataFrame:

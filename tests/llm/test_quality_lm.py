@@ -125,3 +125,20 @@ def test_a_block_holds_little_more_than_its_grams(monkeypatch):
     logp, weight = np.log(1 + np.arange(len(b.hi))), np.arange(len(texts)) % 2
     assert b.sums(logp).tolist() == pytest.approx(whole.sums(logp).tolist())
     assert (b.counts(weight) == whole.counts(weight)).all()
+
+
+def test_runs_of_blocks_give_the_rows_of_one_run(spark, monkeypatch):
+    """More blocks than runs, and finished tables are deleted: what is read afterwards is the result alone."""
+    docs = spark.createDataFrame([(i, "en", f"a plain text number {i} " * (1 + i % 3)) for i in range(24)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 24, 2)], "doc_id long, quality int, toxic int")
+    kept, gone = [], []
+    real, forget = q.stored, q.forget
+    monkeypatch.setattr(q, "stored", lambda *a: kept.append(real(*a)) or kept[-1])
+    monkeypatch.setattr(q, "forget", lambda *frames: gone.extend(frames) or forget(*frames))
+    got = {}
+    for runs in (1, 4):
+        monkeypatch.setattr(q, "SLICES", runs)
+        kept.clear(), gone.clear()
+        got[runs] = sorted((r["doc_id"], round(r["log_chance"], 9), r["held_out"]) for r in q.perplexities(docs, labels, block_chars=100).collect())
+        assert len(kept) - len(gone) == runs
+    assert got[1] == got[4] and len(got[1]) == 24
