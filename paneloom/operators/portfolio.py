@@ -25,8 +25,10 @@ def theme_ranks(ranked: DataFrame, themes: DataFrame, per_date: DataFrame, entit
 
 def composite_scores(tranks: DataFrame, entity="ticker", y=None, slots=()) -> DataFrame:
     """Weighted sum of theme ranks; a missing theme adds nothing, so an entity without any rank
-    scores 0 and is still ranked. `slots` lists themes whose own rank is shown beside it."""
-    aggs = [F.coalesce(F.sum(F.col("weight") * F.col("theme_rank")), F.lit(0.0)).alias("composite_score")]
+    scores 0 and is still ranked. `slots` lists themes whose own rank is shown beside it. The sum is exact (weights
+    and ranks are at most 1), so entities with the same terms tie in whatever order these arrive."""
+    term = (F.col("weight") * F.col("theme_rank")).cast("decimal(38,20)")
+    aggs = [F.coalesce(F.sum(term).cast("double"), F.lit(0.0)).alias("composite_score")]
     aggs += [F.max(y).alias(y)] if y else []
     aggs += [F.max(F.when((F.col("priority") == t) & F.col("weight").isNotNull(), F.col("theme_rank")))
              .alias(slug(t)) for t in slots]

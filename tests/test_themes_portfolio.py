@@ -139,3 +139,12 @@ def test_random_composite_against_pandas(spark):
         for k in g.index:
             want = sum(w[t] * np.nan_to_num(g.loc[k, [f for f in themes[t] if f in g]].mean()) for t in w.index if t != "T3")
             assert got[d, k] == pytest.approx(want)
+
+
+def test_equal_terms_tie_in_any_order(spark):
+    """.1 + .2 + .3 and .3 + .2 + .1 differ in the last bit; entities with the same terms tie all the same."""
+    terms = [("t1", .1), ("t2", .2), ("t3", .3)]
+    rows = [(D[0], "B", t, r, 1.0) for t, r in terms] + [(D[0], "A", t, r, 1.0) for t, r in terms[::-1]] + [(D[0], "C", None, None, None)]
+    tr = spark.createDataFrame(rows, "date DATE, ticker STRING, priority STRING, theme_rank DOUBLE, weight DOUBLE").coalesce(1)
+    got = {r["ticker"]: (r["rank"], r["composite_score"]) for r in pf.top_n(pf.composite_scores(tr), 3).collect()}
+    assert got == {"A": (1, .6), "B": (2, .6), "C": (3, 0.0)}
