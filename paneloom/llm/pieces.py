@@ -21,13 +21,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneloom.llm.common import dealt, small_batches, unpacked
 
 
 SPACE = "\u2581"
-SHARDS = 256             # of the atoms of one group of blocks
+SHARDS = 512             # of the atoms of one group of blocks, at most
 TOGETHER = 1024          # blocks in a group
 BLOCK_CHARS = 2 << 20
 SHORT = 24               # characters of atoms whose edges are few enough to be searched through for each end
@@ -139,20 +140,46 @@ def rows_of(table: pa.Table):
     return rows.column("id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
 
 
-def shards(words, block):
+def shards(words, block, many=SHARDS):
     """{shard: sorted words} of the distinct words of a block."""
     out = {}
     for w in words:
-        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARDS + SHARDS * (block // TOGETHER), []).append(w)
+        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % many + many * (block // TOGETHER), []).append(w)
     for v in out.values():
         v.sort()
     return out
 
 
+def flat_paths(paths, v):
+    """The lengths of paths and their ids one after the other, those of a character without a piece being written out."""
+    n, flat = pc.list_value_length(paths).to_numpy().astype(np.int64), pc.list_flatten(paths).to_numpy()
+    own = np.flatnonzero(flat < 0)
+    if not len(own):
+        return n, flat
+    codes, which = np.unique(flat[own], return_inverse=True)
+    ids = [v.unknown_ids(-1 - int(c)) for c in codes]
+    width = np.ones(len(flat), np.int64)
+    width[own] = np.array([len(x) for x in ids])[which]
+    start = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.int32)
+    out[start] = flat
+    for j in range(max(map(len, ids))):
+        has = width[own] > j
+        out[start[own[has]] + j] = np.array([x[j] if j < len(x) else 0 for x in ids], np.int32)[which[has]]
+    return np.bincount(np.repeat(np.arange(len(n)), n), width, len(n)).astype(np.int64), out
+
+
+def stretches(values, starts, n):
+    """The stretches of values that begin at `starts` and are `n` long, one after the other."""
+    ends = np.cumsum(n)
+    return values[np.repeat(starts - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="text", block_chars=BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: id, ids (array of token ids), text_sha256 of the text."""
     spark, v = docs.sparkSession, vocabulary
     blocks = 1 + (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // block_chars
+    many = min(SHARDS, 4 * blocks)
     x = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     x = dealt(x.withColumn("block", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)).cast("int")), blocks)
 
@@ -161,24 +188,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
         words = set()
         for t in rows_of(table)[1]:
             words.update(v.atoms(t))
-        asked = shards(words, block)
+        asked = shards(words, block, many)
         # atoms hold no space, so one can stand between them
         return pa.table({"shard": pa.array(list(asked), pa.int32()), "block": pa.array([block] * len(asked), pa.int32()),
                          "words": pa.array([" ".join(w) for w in asked.values()], pa.string())})
 
     # a task for each shard: the lattices of its words are sorted in memory
-    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words string").repartition(SHARDS * (1 + (blocks - 1) // TOGETHER), "shard")
+    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words string").repartition(many * (1 + (blocks - 1) // TOGETHER), "shard")
     atoms = asked.select("shard", "block", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.min("block").alias("some"))
     known = encode_atoms(atoms, v.frame(spark), v.longest).withColumnRenamed("shard", "of")
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        ids = {}
-        for w, path in zip(known.column("word").to_pylist(), known.column("ids").to_pylist()):
-            ids[w] = [i for p in path for i in ([p] if p >= 0 else v.unknown_ids(-1 - p))]
+        n, values = flat_paths(known.column("ids"), v)
+        starts, place = np.cumsum(n) - n, {w.as_py(): i for i, w in enumerate(known.column("word"))}
         out = []
-        for words in asked.column("words").to_pylist():
-            got = [ids[w] for w in words.split(" ")]
-            raw = np.array([n for g in got for n in (len(g), *g)], np.int32).tobytes()
+        for words in asked.column("words"):
+            at = np.array([place[w] for w in words.as_py().split(" ")], np.int64)
+            raw = np.concatenate([n[at], stretches(values, starts[at], n[at])]).astype(np.int32).tobytes()
             out.append((len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "n": pa.array([n for n, _ in out], pa.int64()),
                          "paths": pa.array([b for _, b in out], pa.binary())})
@@ -187,21 +213,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 
     def string_together(rows: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = rows_of(rows)
-        words = set()
-        for t in texts:
-            words.update(v.atoms(t))
-        asked = shards(words, rows.column("block")[0].as_py() if rows.num_rows else 0)
-        path = {}
-        for shard, n, b in zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column("paths").to_pylist()):
-            flat = np.frombuffer(pa.decompress(b, n, codec="zstd"), np.int32)
-            at = 0
-            for w in asked[shard]:
-                end = at + 1 + int(flat[at])
-                path[w] = flat[at + 1:end].tobytes()
-                at = end
-        joined = [b"".join([path[w] for w in v.atoms(t)]) for t in texts]
-        ends = np.cumsum([0] + [len(j) // 4 for j in joined])
-        values = pa.array(np.frombuffer(b"".join(joined), np.int32))
+        number = {}
+        texts_at = [np.array([number.setdefault(w, len(number)) for w in v.atoms(t)], np.int32) for t in texts]
+        asked = shards(number, rows.column("block")[0].as_py() if rows.num_rows else 0, many)
+        # path of a word: its length, and where it begins among the values
+        n, starts, values, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, np.int32)], 0
+        for shard, length, b in zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column("paths")):
+            flat, words = np.frombuffer(pa.decompress(b.as_buffer(), length, codec="zstd"), np.int32), asked.pop(shard)
+            at, lengths = np.array([number[w] for w in words]), flat[:len(words)].astype(np.int64)
+            n[at], starts[at] = lengths, size + np.cumsum(lengths) - lengths
+            values.append(flat[len(words):])
+            size += len(values[-1])
+        if asked:
+            raise ValueError("words of a block without an answer")
+        values = np.concatenate(values)
+        joined = [stretches(values, starts[at], n[at]) for at in texts_at]
+        ends = np.cumsum([0] + [len(j) for j in joined])
+        values = pa.array(np.concatenate([values[:0], *joined]))
         return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
                          "text_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())})
 
@@ -214,7 +242,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     at = kept.index("ids")
 
     def run(batches):
-        for b in small_batches(batches):
+        for b in small_batches(batches, 2 << 20):  # a list of ids takes ten times its bytes
             out = []
             for ids in b.column(at).to_pylist():
                 out.append(None if ids is None else b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:])

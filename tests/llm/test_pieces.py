@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,15 @@ def test_public_model(spark, tmp_path):
     assert len(got) == len(words) > 500
     assert all(r["ids"] == plain(v, words[r["id"]]) for r in got)
     assert sum(r["ids"] == sp.encode(words[r["id"]]) for r in got) > 0.98 * len(words)
+
+
+def test_paths_written_out_flat():
+    """Lengths and ids of paths against lists, characters without a piece among them."""
+    rng = random.Random(3)
+    for v in (small(), small(False)):
+        paths = [[rng.choice([258, 300, -1 - ord("x"), -1 - 0x1F600]) for _ in range(rng.randint(0, 5))] for _ in range(60)]
+        want = [[i for p in path for i in ([p] if p >= 0 else v.unknown_ids(-1 - p))] for path in paths]
+        n, values = pieces.flat_paths(pa.chunked_array([pa.array(paths[:20], pa.list_(pa.int32())), pa.array(paths[20:], pa.list_(pa.int32()))]), v)
+        assert n.tolist() == [len(w) for w in want] and values.tolist() == sum(want, [])
+        at = [5, 5, 59, 0]
+        assert pieces.stretches(values, (n.cumsum() - n)[at], n[at]).tolist() == sum((want[i] for i in at), [])
