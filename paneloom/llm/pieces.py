@@ -1,10 +1,10 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding over lattices of distinct atoms.
 
 The best segmentation of a text is that of its atoms put together, atoms being cut where no piece of the vocabulary
 reaches across. Texts are dealt into blocks of bounded size; each block asks once for each of its distinct atoms. Asked
-atoms meet by shard: their substrings of bounded length are exploded and equi-joined to the piece table, the matches are
-grouped by atom as the edges of a lattice, and a Viterbi pass is folded over them with Spark's higher-order `aggregate`.
-Answers go back to the blocks, where they are strung together.
+atoms meet by shard and are folded there; all their substrings that are pieces are found by walking the pieces' prefixes one
+character further for all places at once, and are the edges of lattices, over which a Viterbi pass goes end by end, for all
+atoms of about one length together. Answers go back to the blocks, where they are strung together.
 
 Scores add up; equal totals go to the path whose last piece starts earlier, then so on before it. A character that no
 piece covers costs the least score minus 10 and is written as its bytes, or as the unknown piece where the model has no
@@ -12,7 +12,7 @@ bytes. Spaces become U+2581, one is put before the text, and nothing else is nor
 
 Defined results: NULL and empty texts have no tokens and decode to the empty text; a text with U+2581 itself decodes to
 one with a space there, as in the original; repeated rows and NULL ids are encoded like any other; only the named columns
-are read. No atom and no text is cut short; long atoms are folded piecewise.
+are read. No atom and no text is cut short; long atoms are walked piecewise.
 """
 
 import hashlib
@@ -22,17 +22,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from paneloom.llm.common import dealt, small_batches, unpacked
 
 
 SPACE = "\u2581"
-SHARDS = 512             # of the atoms of one group of blocks, at most
+SHARDS = 128             # of the atoms of one group of blocks, at most
 TOGETHER = 1024          # blocks in a group
 BLOCK_CHARS = 2 << 20
-SHORT = 24               # characters of atoms whose edges are few enough to be searched through for each end
-CHUNK = 256              # positions, or edges, handled in one piece of a long atom
+CELLS = 1 << 16          # characters of the lattices that are folded together
+LONG = 256               # characters of atoms that are folded one by one
 UNKNOWN_COST = 10.0
 
 
@@ -51,7 +51,13 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece with a space inside words is not supported")
         self.longest = max(map(len, self.pieces))
-        self.atom = re.compile(self.cuts(), re.S)
+        self.lowest = min(self.scores) - UNKNOWN_COST
+        kinds = np.zeros(256, np.int8)   # of bytes: 0 holds both sides together, 1 letters and digits, 2 marks, 3 a space
+        kinds[[c for c in range(128) if chr(c).isalnum()]] = 1
+        kinds[[ord(c) for c in self.marks()]] = 2
+        kinds[32] = 3
+        self.kinds = kinds
+        self.grow_prefixes()
 
     @classmethod
     def load(cls, path):
@@ -65,73 +71,177 @@ class Vocabulary:
         return cls([p if o or sp.is_byte(i) else "" for i, (p, o) in enumerate(zip(pieces, ordinary))],
                    [sp.get_score(i) if o else None for i, o in enumerate(ordinary)], byte_ids, sp.unk_id())
 
-    def cuts(self):
-        """A pattern of atoms: runs of spaces and what follows, cut between letters or digits and the marks that no piece
-        joins to them. Other characters hold both sides together."""
+    def marks(self):
+        """The marks that no piece joins to letters or digits."""
         pairs = {(a, b) for p in self.pieces for a, b in zip(p, p[1:])}
         joined = {c for x in pairs if x[0] != SPACE and x[0].isalnum() != x[1].isalnum() for c in x if not c.isalnum()}
-        marks = {c for p in self.pieces for c in p if c != SPACE and c.isascii() and not c.isalnum()} - joined
-        m = "".join(re.escape(c) for c in sorted(marks))
+        return sorted({c for p in self.pieces for c in p if c != SPACE and c.isascii() and not c.isalnum() and c != " "} - joined)
+
+    def cuts(self):
+        """A pattern of atoms: runs of spaces and what follows, cut between letters or digits and the marks that no piece
+        joins to them. Other characters hold both sides together. `atoms` cuts the same way."""
+        m = "".join(re.escape(c) for c in self.marks())
         if not m:
             return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         run = f"(?:[a-zA-Z0-9]+|[{m}]+)"
         rest = f"[^{SPACE}a-zA-Z0-9{m}]"
         return f"{SPACE}*(?:{run}(?:{rest}+{run}?)*|(?:{rest}+{run}?)+)|{SPACE}+"
 
-    def atoms(self, text):
-        return self.atom.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def grow_prefixes(self):
+        """Prefixes of the pieces as numbered nodes: `steps` holds node * 2^21 + character in order, `into` the node reached."""
+        nodes, at = {"": 0}, []
+        for p, s in zip(self.pieces, self.scores):
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+            at.append((nodes[p], s))
+        usable = [(p.replace(SPACE, " ").encode(), i) for p, i in zip(self.pieces, self.ids) if " " not in p]  # texts keep no plain space
+        self.value_set, self.value_ids = pa.array([p for p, _ in usable], pa.binary()), np.array([i for _, i in usable], np.int32)
+        steps = np.array([(nodes[p[:-1]] << 21) + ord(p[-1]) for p in nodes if p], np.int64)
+        into = np.array([n for p, n in nodes.items() if p], np.int32)
+        order = np.argsort(steps)
+        self.steps, self.into = steps[order], into[order]
+        self.node_score = np.full(len(nodes), -np.inf)
+        for n, s in reversed(at):  # the first of equal pieces counts
+            self.node_score[n] = s
+
+    def atoms(self, texts):
+        """(words, place, n): the distinct atoms as UTF-8 with plain spaces, the place among them of each atom of the texts,
+        one after the other, and how many atoms each text has."""
+        parts = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        if not len(data):
+            return pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(len(parts), np.int64)
+        kind, first = self.kinds[data], (np.cumsum(sizes) - sizes)[sizes > 0]
+        cut = np.zeros(len(data), bool)
+        a, b = kind[:-1], kind[1:]
+        cut[1:] = ((b == 3) & (a != 3)) | ((a | b) == 3) & ((a ^ b) == 3) & (a != 3) & (b != 3)
+        cut[first] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts, len(data))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        upto = np.searchsorted(starts, np.cumsum(sizes))
+        return found.dictionary.cast(pa.binary()), found.indices.to_numpy(), np.diff(upto, prepend=0)
 
     def unknown_ids(self, code):
         return [self.bytes[b] for b in chr(code).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(zip(self.pieces, self.ids, self.scores)), "piece string, id int, score double")
-
-
-def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, keys=("shard", "word")) -> DataFrame:
-    """Adds `ids` to the distinct atoms (`word`); a character without a piece has the id -1 - its code point."""
-    lowest = pieces.agg((F.min("score") - UNKNOWN_COST).alias("lowest")).first()["lowest"]
-    chunks = atoms.select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("base"))
-    chunks = chunks.withColumn("part", F.substr("word", F.col("base") + 1, F.lit(CHUNK + longest - 1)))
-    starts = chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length("part")))).alias("at"))
-    pairs = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("at") + 1))).alias("n"))
-    pairs = pairs.withColumn("piece", F.substr("part", F.col("at"), F.col("n")))
-    # the vocabulary is a file of fixed size
-    met = pairs.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    s = F.col("base") + F.col("at") - 1
-    edge = F.struct((s + F.col("n")).alias("e"), s.alias("s"), F.coalesce("score", F.lit(lowest)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    lattice = met.groupBy(*keys).agg(F.min("some").alias("some"), F.collect_list(edge).alias("edges"))
-    cut = lambda x: f"transform(sequence(0, greatest(size({x}) - 1, 0) div {CHUNK}), i -> slice({x}, i * {CHUNK} + 1, {CHUNK}))"
-    # win: scores of the last positions, the last one being `cur`; hold: the best edge into `cur`; part, done: those before
-    step = f"""case when x.e = a.cur then
-        case when element_at(a.win, x.s - a.cur - 1) + x.w > element_at(a.win, -1)
-          then named_struct('cur', a.cur, 'win', concat(slice(a.win, 1, size(a.win) - 1), array(element_at(a.win, x.s - a.cur - 1) + x.w)),
-                            'hold', named_struct('s', x.s, 'id', x.id), 'part', a.part, 'done', a.done)
-          else a end
-      else named_struct('cur', x.e, 'win', concat(slice(a.win, greatest(1, size(a.win) - {longest - 1}), {longest}), array(element_at(a.win, x.s - a.cur - 1) + x.w)),
-                        'hold', named_struct('s', x.s, 'id', x.id), 'part', concat(a.part, array(a.hold)), 'done', a.done) end"""
-    empty = "cast(array() as array<struct<s:int,id:int>>)"
-    forward = f"""aggregate({cut('sort_array(edges)')},
-      named_struct('cur', 0, 'win', array(0D), 'hold', named_struct('s', 0, 'id', 0), 'part', {empty}, 'done', cast(array() as array<array<struct<s:int,id:int>>>)),
-      (b, y) -> aggregate(y, b, (a, x) -> {step},
-                          a -> named_struct('cur', a.cur, 'win', a.win, 'hold', a.hold, 'part', {empty}, 'done', concat(a.done, array(a.part)))),
-      a -> reverse(concat(flatten(a.done), array(a.hold))))"""
-    # back[0] is the best edge into the last position, and so on down to the start, which has an entry of its own
-    backward = f"""aggregate({cut('back')},
-      named_struct('at', size(back) - 1, 'next', size(back) - 1, 'part', cast(array() as array<int>), 'done', cast(array() as array<array<int>>)),
-      (b, y) -> aggregate(y, b, (a, x) -> case when a.at = a.next and a.at > 0
-                            then named_struct('at', a.at - 1, 'next', x.s, 'part', concat(a.part, array(x.id)), 'done', a.done)
-                            else named_struct('at', a.at - 1, 'next', a.next, 'part', a.part, 'done', a.done) end,
-                          a -> named_struct('at', a.at, 'next', a.next, 'part', cast(array() as array<int>), 'done', concat(a.done, array(a.part)))),
-      a -> reverse(flatten(a.done)))"""
-    # short atoms: for each end in turn the best edge into it, as (score, -start, id), then the path back
-    best = """aggregate(sequence(1, length(word)), array(named_struct('w', 0D, 's', 0, 'id', 0)), (a, j) -> concat(a, array(array_max(
-      transform(filter(edges, x -> x.e = j), x -> named_struct('w', element_at(a, x.s + 1).w + x.w, 's', -x.s, 'id', x.id))))))"""
-    follow = """aggregate(best, named_struct('at', size(best), 'ids', cast(array() as array<int>)), (a, x) -> case when a.at = 1 then a else
-      named_struct('at', 1 - element_at(best, a.at).s, 'ids', concat(array(element_at(best, a.at).id), a.ids)) end, a -> a.ids)"""
-    short = F.length("word") <= SHORT
-    lattice = lattice.withColumn("best", F.when(short, F.expr(best))).withColumn("back", F.when(~short, F.expr(forward)))
-    return lattice.select(*keys, "some", F.when(short, F.expr(follow)).otherwise(F.expr(backward)).alias("ids"))
+
+def edges(cells, v):
+    """The pieces in a table of characters, one atom a column, 0 where it has ended: for each length, node[start, atom], 0 where none
+    is. All starts go one character further along the prefixes at a time, until none is left."""
+    rows, wide = cells.shape
+    flat, out = cells.ravel(), []
+    at, node = np.flatnonzero(flat), np.zeros(1, np.int64)
+    for d in range(min(v.longest, rows)):
+        if d:
+            go = at < (rows - d) * wide
+            at, node = at[go], node[go]
+        key = (node << 21) + flat[at + d * wide]
+        hit = np.minimum(np.searchsorted(v.steps, key), len(v.steps) - 1)
+        ok = v.steps[hit] == key
+        at, node = at[ok], v.into[hit[ok]].astype(np.int64)
+        if not len(at):
+            break
+        ends, table = v.node_score[node] > -np.inf, np.zeros(rows * wide, np.int32)
+        table[at[ends]] = node[ends]
+        out.append(table.reshape(rows, wide))
+    return out
+
+
+def fold(cells, lengths, v):
+    """Best paths of the atoms in the columns of `cells`: how many pieces each has, and how many characters each of them, one after the other."""
+    rows, wide = cells.shape
+    found = edges(cells, v) or [np.zeros(cells.shape, np.int32)]
+    weight = [v.node_score[t] for t in found]
+    weight[0][found[0] == 0] = v.lowest
+    some = [t.any(axis=1) for t in found]
+    best, back = np.full((rows + 1, wide), -np.inf), np.zeros((rows + 1, wide), np.int16)
+    best[0] = 0.0
+    for e in range(1, rows + 1):
+        top, by = best[e], back[e]
+        for d in range(min(len(found), e), 0, -1):  # longer pieces start earlier and win ties
+            if d == 1 or some[d - 1][e - d]:
+                x = best[e - d] + weight[d - 1][e - d]
+                more = x > top
+                top[more], by[more] = x[more], d
+    who, at, path = np.arange(wide), lengths.copy(), []
+    while len(who):
+        d = back[at, who]
+        at = at - d
+        path.append((who, d))
+        who, at = who[at > 0], at[at > 0]
+    whose = np.concatenate([w for w, _ in path[::-1]])
+    return np.bincount(whose, minlength=wide), np.concatenate([d for _, d in path[::-1]])[np.argsort(whose, kind="stable")]
+
+
+def fold_long(codes, v):
+    """The same of one long atom, its pieces being looked for LONG characters at a time."""
+    best, back, kept = [0.0] * v.longest, [], []
+    for base in range(0, len(codes), LONG):
+        found = edges(codes[base:base + LONG + v.longest - 1, None], v) or [np.zeros((1, 1), np.int32)]
+        kept.append(np.stack([np.pad(t[:LONG, 0], (0, max(0, LONG - len(t)))) for t in found]))
+    nodes = [k.T.tolist() for k in kept]
+    at = lambda s, d: nodes[s // LONG][s % LONG][d - 1] if d <= len(kept[s // LONG]) else 0
+    scores = v.node_score.tolist()
+    for e in range(1, len(codes) + 1):
+        top, by = -np.inf, 0
+        for d in range(min(v.longest, e), 0, -1):
+            node = at(e - d, d)
+            if node or d == 1:
+                x = best[-d] + (scores[node] if node else v.lowest)
+                if x > top:
+                    top, by = x, d
+        best.append(top)
+        del best[0]
+        back.append(by)
+    path, e = [], len(codes)
+    while e:
+        path.append(back[e - 1])
+        e -= path[-1]
+    return path[::-1]
+
+
+def best_paths(words, v):
+    """Best paths of distinct atoms, an array of UTF-8: how many pieces each has, and how many bytes each of them, one after the other."""
+    lengths = pc.utf8_length(words.cast(pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = flat(words)[1].decode("utf-8", "surrogatepass").replace(" ", SPACE)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(lengths, kind="stable")
+    n, parts, places, i = np.zeros(len(lengths), np.int64), [np.zeros(0, np.int64)], [], 0
+    while i < len(order):
+        w = order[i]
+        if lengths[w] > LONG:
+            path = np.array(fold_long(codes[starts[w]:starts[w] + lengths[w]], v), np.int64)
+            n[w], i = len(path), i + 1
+            parts.append(path), places.append([w])
+            continue
+        some = order[i:i + CELLS // max(1, int(lengths[w]))]
+        some = some[lengths[some] <= min(LONG, max(8, 2 * lengths[w]))]
+        cells = np.zeros((int(lengths[some[-1]]), len(some)), np.int32)
+        column = np.repeat(np.arange(len(some)), lengths[some])
+        row = np.arange(len(column)) - np.repeat(np.cumsum(lengths[some]) - lengths[some], lengths[some])
+        cells[row, column] = stretches(codes, starts[some], lengths[some])
+        n[some], path = fold(cells, lengths[some], v)
+        parts.append(path), places.append(some)
+        i += len(some)
+    # back into the order of the words
+    placed = np.concatenate(places) if places else np.zeros(0, np.int64)
+    first = np.zeros(len(n), np.int64)
+    first[placed] = np.cumsum(n[placed]) - n[placed]
+    ends = np.append(0, np.cumsum(stretches(np.concatenate(parts), first, n)))
+    size = np.select([codes < 0x80, codes == ord(SPACE), codes < 0x800, codes < 0x10000], [1, 1, 2, 3], 4)
+    return n, np.diff(np.append(0, np.cumsum(size))[ends])
+
+
+def ids_of(n, sizes, body, v):
+    """Paths as lists of ids, from their pieces' numbers, sizes and bytes; a character without a piece has the id -1 - its code point."""
+    found = flat_words(sizes, body)
+    at = pc.index_in(found, value_set=v.value_set)
+    ids = v.value_ids[at.fill_null(0).to_numpy()]
+    own = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+    ids[own] = [-1 - ord(c.decode("utf-8", "surrogatepass").replace(" ", SPACE)) for c in found.take(pa.array(own)).to_pylist()]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
 
 
 def rows_of(table: pa.Table):
@@ -140,14 +250,51 @@ def rows_of(table: pa.Table):
     return rows.column("id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
 
 
-def shards(words, block, many=SHARDS):
-    """{shard: sorted words} of the distinct words of a block."""
-    out = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % many + many * (block // TOGETHER), []).append(w)
-    for v in out.values():
-        v.sort()
-    return out
+def flat(words):
+    """Where the parts of an array of bytes begin and end, and the bytes."""
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    return at - at[0], words.buffers()[2][int(at[0]):int(at[-1])].to_pybytes() if len(words) else b""
+
+
+def by_shard(words, block, many=SHARDS):
+    """(shards, order, ends): the shards of the distinct words of a block, the places of the words by shard, and where each shard ends;
+    words of a shard stand in their own order."""
+    at, raw = flat(words)
+    at = at.tolist()
+    shard = np.array([zlib.crc32(raw[a:b]) % many for a, b in zip(at, at[1:])], np.int64)
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    order = order[np.argsort(shard[order], kind="stable")]
+    last = np.flatnonzero(np.diff(shard[order], append=-1))
+    return (shard[order][last] + many * (block // TOGETHER)).astype(np.int32), order, last + 1
+
+
+def narrow(a):
+    """The bytes of whole numbers in as few bytes each as all of them need, low bytes first, and how many."""
+    n = 1 if not len(a) or a.max() < 1 << 8 else 2 if a.max() < 1 << 16 else 4
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :n].T).tobytes(), n
+
+
+def wide(raw, n, count):
+    out = np.zeros((count, 4), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, count * n).reshape(n, count).T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def pressed(lengths, body):
+    """Lengths and what is that long, the one numbers and the other bytes, compressed."""
+    raw, n = narrow(lengths)
+    raw = np.array([len(lengths), n], "<u4").tobytes() + raw + body
+    return np.array([len(raw)], "<u8").tobytes() + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def unpressed(data):
+    raw = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, "<u8", 1)[0]), codec="zstd", asbytes=True)
+    count, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+    return wide(raw[8:8 + count * n], n, count), raw[8 + count * n:]
+
+
+def flat_words(lengths, body):
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(body)])
 
 
 def flat_paths(paths, v):
@@ -177,7 +324,7 @@ def stretches(values, starts, n):
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="text", block_chars=BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: id, ids (array of token ids), text_sha256 of the text."""
-    spark, v = docs.sparkSession, vocabulary
+    v = vocabulary
     blocks = 1 + (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // block_chars
     many = min(SHARDS, 4 * blocks)
     x = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
@@ -185,52 +332,46 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        words = set()
-        for t in rows_of(table)[1]:
-            words.update(v.atoms(t))
-        asked = shards(words, block, many)
-        # atoms hold no space, so one can stand between them
-        return pa.table({"shard": pa.array(list(asked), pa.int32()), "block": pa.array([block] * len(asked), pa.int32()),
-                         "words": pa.array([" ".join(w) for w in asked.values()], pa.string())})
-
-    # a task for each shard: the lattices of its words are sorted in memory
-    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words string").repartition(many * (1 + (blocks - 1) // TOGETHER), "shard")
-    atoms = asked.select("shard", "block", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.min("block").alias("some"))
-    known = encode_atoms(atoms, v.frame(spark), v.longest).withColumnRenamed("shard", "of")
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        n, values = flat_paths(known.column("ids"), v)
-        starts, place = np.cumsum(n) - n, {w.as_py(): i for i, w in enumerate(known.column("word"))}
-        out = []
-        for words in asked.column("words"):
-            at = np.array([place[w] for w in words.as_py().split(" ")], np.int64)
-            raw = np.concatenate([n[at], stretches(values, starts[at], n[at])]).astype(np.int32).tobytes()
-            out.append((len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
-        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "n": pa.array([n for n, _ in out], pa.int64()),
-                         "paths": pa.array([b for _, b in out], pa.binary())})
-
-    answers = asked.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(answer, "block int, shard int, n long, paths binary")
+        words, _, _ = v.atoms(rows_of(table)[1])
+        asked, order, ends = by_shard(words, block, many)
+        words = words.take(pa.array(order))
+        groups = [flat(words.slice(a, b - a)) for a, b in zip(np.append(0, ends), ends)]
+        return pa.table({"shard": pa.array(asked), "block": pa.array(np.full(len(asked), block), pa.int32()),
+                         "words": pa.array([pressed(np.diff(at), body) for at, body in groups], pa.binary())})
+
+    asked = x.groupBy("block").applyInArrow(ask, "shard int, block int, words binary")
+
+    def answer(asked: pa.Table) -> pa.Table:
+        words = [flat_words(*unpressed(w)) for w in asked.column("words").to_pylist()]
+        of = pa.concat_arrays(words).dictionary_encode()
+        n, sizes = best_paths(of.dictionary, v)
+        starts, place, ends = np.cumsum(n) - n, of.indices.to_numpy(), np.cumsum([len(w) for w in words])
+        # sizes are a tenth of what ids would take; the block finds the ids again, as it has the words
+        out = [pressed(n[at], pressed(stretches(sizes, starts[at], n[at]), b"")) for at in np.split(place, ends[:-1])]
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "paths": pa.array(out, pa.binary())})
+
+    answers = (asked.repartition(many * (1 + (blocks - 1) // TOGETHER), "shard").groupBy("shard")
+               .applyInArrow(answer, "block int, shard int, paths binary"))
 
     def string_together(rows: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = rows_of(rows)
-        number = {}
-        texts_at = [np.array([number.setdefault(w, len(number)) for w in v.atoms(t)], np.int32) for t in texts]
-        asked = shards(number, rows.column("block")[0].as_py() if rows.num_rows else 0, many)
-        # path of a word: its length, and where it begins among the values
-        n, starts, values, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, np.int32)], 0
-        for shard, length, b in zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column("paths")):
-            flat, words = np.frombuffer(pa.decompress(b.as_buffer(), length, codec="zstd"), np.int32), asked.pop(shard)
-            at, lengths = np.array([number[w] for w in words]), flat[:len(words)].astype(np.int64)
-            n[at], starts[at] = lengths, size + np.cumsum(lengths) - lengths
-            values.append(flat[len(words):])
-            size += len(values[-1])
-        if asked:
+        words, place, atoms = v.atoms(texts)
+        asked, order, ends = by_shard(words, rows.column("block")[0].as_py() if rows.num_rows else 0, many)
+        paths = dict(zip(answers.column("shard").to_pylist(), answers.column("paths").to_pylist()))
+        if sorted(paths) != sorted(asked.tolist()):
             raise ValueError("words of a block without an answer")
-        values = np.concatenate(values)
-        joined = [stretches(values, starts[at], n[at]) for at in texts_at]
-        ends = np.cumsum([0] + [len(j) for j in joined])
-        values = pa.array(np.concatenate([values[:0], *joined]))
-        return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+        # path of a word: its length, and where it begins among the values
+        n, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for shard in asked.tolist():
+            lengths, body = unpressed(paths[shard])
+            n.append(lengths), sizes.append(unpressed(body)[0])
+        body = flat(words.take(pa.array(order)))[1]
+        by, values = flat_paths(pa.chunked_array([ids_of(np.concatenate(n), np.concatenate(sizes), body, v)]), v)
+        n, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        n[order], starts[order] = by, np.cumsum(by) - by
+        upto = np.append(0, np.cumsum(n[place]))
+        ends = upto[np.append(0, np.cumsum(atoms))]
+        return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(stretches(values, starts[place], n[place]))),
                          "text_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())})
 
     return x.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(string_together, "id long, ids array<int>, text_sha256 string")
@@ -239,13 +380,31 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds `text` to rows with `ids`; NULL ids give NULL."""
     table, kept = vocabulary.text, encoded.columns
-    at = kept.index("ids")
+    at, column = kept.index("ids"), np.frombuffer(b"".join(table), np.uint8)
+    size = np.array([len(t) for t in table], np.int64)
+    start = np.cumsum(size) - size
+
+    def at_once(lists):
+        """Texts of a batch, where all of them begin with a plain space or have no ids; else None."""
+        if lists.null_count:
+            return None
+        ids = pc.list_flatten(lists).to_numpy()
+        ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+        data, first = stretches(column, start[ids], size[ids]), ends[:-1][np.diff(ends) > 0]
+        if (data[first] != 32).any():
+            return None
+        out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((ends - np.append(0, np.cumsum(np.diff(ends) > 0))).astype(np.int32)),
+                                                              pa.py_buffer(np.delete(data, first))])
+        try:
+            return out.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return None
 
     def run(batches):
-        for b in small_batches(batches, 2 << 20):  # a list of ids takes ten times its bytes
-            out = []
-            for ids in b.column(at).to_pylist():
-                out.append(None if ids is None else b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*kept, "text"])
+        for b in small_batches(batches, 2 << 20):
+            out = at_once(b.column(at))
+            if out is None:
+                out = pa.array([None if ids is None else b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:] for ids in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], [*kept, "text"])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("text")).schema)
+    return encoded.mapInArrow(run, encoded.select("*", F.lit(None).cast("string").alias("text")).schema)

@@ -1,7 +1,9 @@
 import hashlib
 import os
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,64 @@ def test_paths_written_out_flat():
         assert n.tolist() == [len(w) for w in want] and values.tolist() == sum(want, [])
         at = [5, 5, 59, 0]
         assert pieces.stretches(values, (n.cumsum() - n)[at], n[at]).tolist() == sum((want[i] for i in at), [])
+
+
+def test_atoms_cut_as_the_pattern_says():
+    """Distinct atoms, and their places in the texts, without a Python object an atom; and back from blocks to shards and bytes."""
+    rng = random.Random(4)
+    texts = ["", None, " ", "  a  b ", "a\nb\tc", "a▁b ▁", "é!?! \U0001F600#"] + ["".join(rng.choices("abcdé !#?x▁\n", k=rng.randint(1, 40))) for _ in range(500)]
+    for v in (small(), small(False)):
+        words, place, n = v.atoms(texts)
+        pattern, at, words_ = re.compile(v.cuts(), re.S), 0, [w.decode() for w in words.to_pylist()]
+        assert len(set(words_)) == len(words_) and len(n) == len(texts)
+        for t, k in zip(texts, n):
+            want = pattern.findall("▁" + t.replace(" ", "▁")) if t else []
+            assert [words_[i].replace(" ", "▁") for i in place[at:at + k]] == want
+            at += k
+        shards, order, ends = pieces.by_shard(words, 2 * pieces.TOGETHER + 1, 7)
+        assert sorted(order.tolist()) == list(range(len(words))) and ends[-1] == len(words) and all(14 <= s < 21 for s in shards)
+        ordered = words.take(pa.array(order))
+        got = [pieces.flat_words(*pieces.unpressed(pieces.pressed(np.diff(a), b))).to_pylist() for a, b in
+               (pieces.flat(ordered.slice(i, j - i)) for i, j in zip([0, *ends], ends))]
+        assert sum(got, []) == ordered.to_pylist()
+
+
+def test_paths_of_long_and_short_atoms_in_few_bytes():
+    """Atoms of all lengths against plain Viterbi; what is sent back takes less than a fifth of the ids."""
+    rng = random.Random(6)
+    v = small()
+    words = sorted({"".join(rng.choices("abcdéx", k=k)).encode() for k in [*range(1, 60), pieces.LONG, pieces.LONG + 1, 3 * pieces.LONG + 7] for _ in range(5)})
+    n, sizes = pieces.best_paths(pa.array(words, pa.binary()), v)
+    assert sizes.sum() == sum(map(len, words))
+    got = pieces.ids_of(n, sizes, b"".join(words), v)
+    count, flat = pieces.flat_paths(pa.chunked_array([got]), v)
+    at = count.cumsum() - count
+    for w, i, k in zip(words, at, count):
+        assert flat[i:i + k].tolist() == plain_word(v, w.decode())
+    assert len(pieces.pressed(n, pieces.pressed(sizes, b""))) < 4 * len(flat) / 5
+
+
+def plain_word(v, word):
+    """`plain`, of a word alone."""
+    table, low = dict(zip(v.pieces, zip(v.scores, v.ids))), min(v.scores) - 10.0
+    best = [(0.0, [])]
+    for e in range(1, len(word) + 1):
+        top = None
+        for s in range(max(0, e - v.longest), e):
+            hit = table.get(word[s:e]) or ((low, -1 - ord(word[s])) if e - s == 1 else None)
+            if hit and (top is None or best[s][0] + hit[0] > top[0]):
+                top = (best[s][0] + hit[0], best[s][1] + ([hit[1]] if hit[1] >= 0 else v.unknown_ids(-1 - hit[1])))
+        best.append(top)
+    return best[-1][1]
+
+
+def test_decoded_at_once_or_row_by_row(spark):
+    """Rows with NULL ids, ids that are no text, and none that begin with a space, beside those that do."""
+    v = small()
+    byte = lambda *b: [1 + i for i in b]
+    space, a = v.ids[v.pieces.index("▁")], v.ids[v.pieces.index("a")]
+    sets = [[[space, a], [space, *byte(0xC3, 0xA9)], [], [space]], [[space, *byte(0xC3)], [*byte(0xA9), a]], [[a, a], None, [space, a]], [[space, a, space]]]
+    want = [["a", "é", "", ""], ["\ufffd", "a"], ["a", None, "a"], ["a "]]
+    for rows, texts in zip(sets, want):
+        got = pieces.decode(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, ids array<int>").coalesce(1), v).orderBy("id").collect()
+        assert [r["text"] for r in got] == texts
