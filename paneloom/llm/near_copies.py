@@ -7,8 +7,10 @@ order of all shingles. The order is that of a sketch of shingle counts, rare one
 sketch moves work, not results. Candidates that can still reach the similarity, by their sizes and the places of the
 shingle that met, are verified on whole sets.
 
-Sets that share a first shingle are verified against the smallest of them first; after that only sets that are not yet in
-one class are compared pair by pair, so that a large group of near copies is not compared with itself.
+Sets that share a first shingle are verified against the smallest of them, their hub, first; after that only sets that are not
+yet in one class are compared: pair by pair where few share the shingle. Where more than `FEW` do, all sets that met the same
+hub go into blocks of bounded size, each pair of blocks is compared in memory, and only the links of a spanning forest leave
+it: the copies of one text share hundreds of shingles but few hubs, so pairs are neither repeated nor made as rows.
 
 Defined results: words are cut and put in lower case as in simhash, shingles are 64-bit hashes; a text of fewer words has
 one shingle of them all, NULL and empty texts one without words; texts of one set are folded; a class is named by its
@@ -23,7 +25,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from paneloom.llm import simhash
 from paneloom.llm.common import components, forget, small_batches, stored
 
-SKETCH = 1 << 18     # counters
+SKETCH_BITS = 22     # of the number of counters
+PART = 1 << 14       # counters that are summed together
+MOST = (1 << 16) - 1 # a counter stops there
+FEW = 32             # sets of one first shingle that are compared pair by pair
+BLOCK = 256          # sets of a block
+BLOCK_GRAMS = 1 << 17
 SIMILAR = (4, 5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +53,7 @@ def name_of(grams: np.ndarray) -> int:
 
 
 def bucket(grams: np.ndarray) -> np.ndarray:
-    return ((grams * MIX) >> np.uint64(64 - 18)).astype(np.int64)
+    return ((grams * MIX) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def sets_of(batches, k):
@@ -64,17 +71,29 @@ def sets_of(batches, k):
 
 
 def sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How many sets hold a shingle of each bucket."""
+    """How many sets hold a shingle of each bucket, `MOST` at most. Counters move as compressed bytes, a part of them a row."""
+    size = PART * 2
+    pack = lambda n: pa.compress(np.minimum(n, MOST).astype("<u2").tobytes(), "zstd", asbytes=True)
+
     def run(batches):
-        n = np.zeros(SKETCH, np.int64)
+        n = np.zeros(1 << SKETCH_BITS, np.uint32)
         for sets in sets_of(batches, k):
-            n += np.bincount(bucket(np.concatenate([g for _, g in sets])), minlength=SKETCH)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["b", "n"])
-
-    out = np.zeros(SKETCH, np.int64)
-    for r in texts.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # 2^18 at most
-        out[r["b"]] = r["n"]
+            np.add.at(n, bucket(np.concatenate([g for _, g in sets])), 1)
+        for i in range(0, len(n), PART):
+            if n[i:i + PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // PART], pa.int32()), pa.array([pack(n[i:i + PART])], pa.binary())], ["part", "n"])
+
+    def total(key, table):
+        n = np.zeros(PART, np.int64)
+        for b in table.column("n"):
+            n += np.frombuffer(pa.decompress(b.as_py(), size, "zstd", asbytes=True), "<u2")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([pack(n)], pa.binary())})
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint16)
+    parts = texts.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary")
+    for r in parts.collect():  # 256 rows at most
+        at = r["part"] * PART
+        out[at:at + PART] = np.frombuffer(pa.decompress(bytes(r["n"]), size, "zstd", asbytes=True), "<u2")
     return out
 
 
@@ -138,8 +157,7 @@ def links(bodies: DataFrame, k=5, similar=SIMILAR, known=None) -> DataFrame:
     # would only move more; rows are moved once, 24 bytes each
     by = W.partitionBy("key")
     all_firsts = bodies.select("text").mapInArrow(firsts, "key long, set long, n int, i int").repartition("key")
-    met = stored(all_firsts.withColumn("hub", F.min(F.struct("set", "n", "i")).over(by)).withColumn("last", F.max("set").over(by))
-                 .where("hub.set <> last").drop("last"))
+    met = stored(all_firsts.withColumn("hub", F.min(F.struct("set", "n", "i")).over(by)).withColumn("many", F.count("*").over(by)).where("many > 1"))
     tested = (met.where(F.col("set") != F.col("hub.set")).where(possible({"n": F.col("n"), "i": F.col("i")}, {"n": F.col("hub.n"), "i": F.col("hub.i")}))
               .select(F.col("hub.set").alias("a"), F.col("set").alias("b")).distinct())
     if known is not None:
@@ -151,14 +169,70 @@ def links(bodies: DataFrame, k=5, similar=SIMILAR, known=None) -> DataFrame:
     first = verified(tested, bodies, k, similar)
     first = stored(first if known is None else first.unionByName(known))
     label = components(first).select(F.col("node").alias("set"), "component")
-    left = met.select("key", "set", "n", "i").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    left = (met.select("key", "set", "n", "i", "many", F.col("hub.set").alias("hub")).join(label, "set", "left")
+            .withColumn("component", F.coalesce("component", "set")))
     mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     left = stored(left.join(mixed, "key", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
+    forget(met)
+    few = left.where(F.col("many") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
     at = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "i")}
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & possible(at("x"), at("y"))
     rest = x.join(y, on).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    return first.unionByName(verified(rest.join(tested, ["a", "b"], "left_anti"), bodies, k, similar))
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
+    many = stored(left.where(F.col("many") > FEW).select("hub", "set", "n", "component").distinct())
+    # the texts of the sets that are left, moved once
+    used = rest.select(F.explode(F.array("a", "b")).alias("set")).unionByName(many.select("set")).distinct()
+    bodies = stored(bodies.join(used, "set", "left_semi"), "zstd")
+    found = stored(verified(rest, bodies, k, similar).unionByName(in_blocks(many, bodies, k, similar)))
+    forget(left, tested, rest, many, bodies)
+    return first.unionByName(found)
+
+
+def in_blocks(groups: DataFrame, bodies: DataFrame, k, similar) -> DataFrame:
+    """Links (a, b) between similar sets of one hub: every similar pair is connected by a chain of them and of links within a component. `groups`: hub,
+    set, n, component."""
+    num, den = similar
+    size = groups.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
+    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
+    dealt = (groups.join(size, "hub").withColumn("own", own).join(bodies, "set")
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+
+    def compare(table):
+        row = np.unique(table.column("set").to_numpy(), return_index=True)[1]
+        name, of = (table.column(c).to_numpy()[row] for c in ("set", "component"))
+        grams = [shingles(t, k) for t in table.column("text").take(pa.array(row)).to_pylist()]
+        n = np.array([len(g) for g in grams])
+        a, b = simhash.forest(overlaps(grams) * (num + den) >= (n[:, None] + n) * num)
+        new = of[a] != of[b]
+        return pa.table({"a": np.minimum(name[a], name[b])[new], "b": np.maximum(name[a], name[b])[new]})
+
+    return (dealt.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "component", "text")
+            .groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def overlaps(grams) -> np.ndarray:
+    """How many shingles each two of the sets share. Shingles of few sets are counted pair by pair, others by products of matrices."""
+    m = len(grams)
+    u, v = np.unique(np.concatenate(grams), return_inverse=True)
+    owner = np.repeat(np.arange(m), [len(g) for g in grams])[np.argsort(v, kind="stable")]  # by shingle
+    n = np.bincount(v, minlength=len(u))
+    start = np.cumsum(n) - n
+    out = np.diag(np.array([len(g) for g in grams], np.float32))
+    for d in range(2, 9):
+        own = owner[start[n == d][:, None] + np.arange(d)]
+        for i in range(0, len(own), 1 << 12):
+            both = own[i:i + (1 << 12), :, None] * m + own[i:i + (1 << 12), None, :]
+            out += np.bincount(both[:, ~np.eye(d, dtype=bool)].ravel(), minlength=m * m).reshape(m, m)
+    wide = np.flatnonzero(n > 8)
+    for i in range(0, len(wide), 1024):
+        at = wide[i:i + 1024]
+        held = np.zeros((len(at), m), np.float32)
+        held[np.repeat(np.arange(len(at)), n[at]), owner[np.concatenate([np.arange(start[c], start[c] + n[c]) for c in at])]] = 1
+        product = held.T @ held
+        np.fill_diagonal(product, 0)
+        out += product
+    return out
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similar=SIMILAR) -> DataFrame:
@@ -174,6 +248,7 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similar=SIMI
     bodies = stored(named_rows.groupBy("set").agg(F.first("text").alias("text")), "zstd")
     forget(named_rows)
     label = components(links(bodies, k, similar, by_fingerprint(bodies, k, similar)))
+    forget(bodies)
     linked = stored(distinct.join(label.select(F.col("node").alias("set"), "component"), "set"))
     name = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named_sets = linked.join(name, "component").select("set", "component_id")

@@ -179,9 +179,14 @@ def links(fps: DataFrame, tau=4, groups=3, warm=32) -> DataFrame:
 def spanning(fps, tau):
     """Links of a spanning forest of the fingerprints within tau bits of each other."""
     x = np.unique(fps).view(np.uint64)
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= tau
-    a, b, new = [], [], np.ones(len(x), bool)
-    for start in range(len(x)):
+    a, b = forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= tau)
+    return pd.DataFrame({"a": x[a].view(np.int64), "b": x[b].view(np.int64)})
+
+
+def forest(near):
+    """Links (two arrays of row numbers) of a spanning forest of a symmetric matrix of which rows are near which."""
+    a, b, new = [], [], np.ones(len(near), bool)
+    for start in range(len(near)):
         front = np.array([start]) if new[start] else np.array([], np.int64)
         new[start] = False
         while len(front):
@@ -190,8 +195,7 @@ def spanning(fps, tau):
             b.append(reached)
             new[reached] = False
             front = reached
-    a, b = (np.concatenate(v) if v else np.array([], np.int64) for v in (a, b))
-    return pd.DataFrame({"a": x[a].view(np.int64), "b": x[b].view(np.int64)})
+    return (np.concatenate(v) if v else np.array([], np.int64) for v in (a, b))
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=4, tau=4, groups=3) -> DataFrame:

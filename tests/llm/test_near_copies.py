@@ -134,3 +134,46 @@ def test_a_stored_frame_leaves_no_shuffle_behind(spark):
     while held() - before and time.time() < end:
         time.sleep(.2)
     assert not held() - before and out.count() == 20000 and spark.conf.get(CLEANUP, "false") == was
+
+
+def edited(rng, base, edits):
+    t = list(base)
+    for j in rng.sample(range(len(t)), edits):
+        t[j] = "edit%d" % rng.randrange(10 ** 6)
+    return " ".join(t)
+
+
+def test_a_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Copies of one text, most of them too far apart to be one class: what is verified pair by pair grows with their number, not with
+    its square, and the classes are those of all pairs, in one block and in many."""
+    rng = random.Random(21)
+    base = rng.choices(["w%d" % i for i in range(300)], k=120)
+    rows = [(i, edited(rng, base, 2 + i % 6)) for i in range(160)]
+    rows += [(200 + i, edited(rng, base[:60] + base[:50][::-1], i % 4)) for i in range(40)]
+    want = plain_classes(plain_sets(rows))
+    assert 20 < len(set(want.values())) < 190
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    compared, real = [], nc.verified
+    monkeypatch.setattr(nc, "verified", lambda pairs, *a: compared.append(pairs.count()) or real(pairs, *a))
+    assert {r["doc_id"]: r["component_id"] for r in nc.classes(df).collect()} == want
+    assert sum(compared) < 10 * len(rows), compared
+    monkeypatch.setattr(nc, "BLOCK", 16)
+    assert {r["doc_id"]: r["component_id"] for r in nc.classes(df).collect()} == want
+
+
+def test_overlaps_match_plain_sets():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for sets, of in ((1, 5), (7, 20), (40, 60), (90, 3000)):
+        grams = [np.unique(rng.integers(0, of, rng.integers(1, of))).astype(np.uint64) for _ in range(sets)]
+        assert (nc.overlaps(grams) == [[len(np.intersect1d(a, b)) for b in grams] for a in grams]).all()
+
+
+def test_the_sketch_counts_every_set(spark):
+    import numpy as np
+    texts = ["a b c d e f", "b c d e f g", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = np.zeros(1 << nc.SKETCH_BITS, int)
+    for t in texts:
+        np.add.at(want, nc.bucket(nc.shingles(t)), 1)
+    assert (nc.sketch(df, 5) == want).all()
